@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import Workspace, fold, table
 from .embedding_dedup import dedup_embeddings
 from .minhash_dedup import dedup_documents
+from .packing import pack_documents
 from .quality_rules import BOILERPLATE, quality_rules
+from .token_files import read_tokens, write_tokens
+from .tokens import default_path
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
 
@@ -19,6 +22,16 @@ def op1_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), cleaned=False)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = Workspace(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), f"{ws.path}/ids", default_path("byte_bpe_50k.json"), ws=ws)
+    return read_tokens(spark, f"{ws.path}/ids")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -42,6 +55,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality_rules": op1_line_quality_rules,
+    "op3_packing": op3_packing,
+    "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
