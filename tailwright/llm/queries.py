@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from .common import Workspace, fold, table
 from .embedding_dedup import dedup_embeddings
 from .minhash_dedup import dedup_documents
+from .mixing import mix_documents
 from .packing import pack_documents
+from .quality_classifier import fit as fit_quality
+from .quality_classifier import score_quality
 from .quality_rules import BOILERPLATE, quality_rules
 from .token_files import read_tokens, write_tokens
 from .tokens import default_path
@@ -22,10 +25,20 @@ def op1_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), cleaned=False)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), default_path("word_bpe_49k.json"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), f"{ws.path}/ids", default_path("byte_bpe_50k.json"), ws=ws)
@@ -55,7 +68,9 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality_rules": op1_line_quality_rules,
+    "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_dedup": op7_minhash_dedup,
