@@ -19,6 +19,7 @@ from .token_files import read_tokens, write_tokens
 from .tokens import default_path
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
+from .warc import derive, responses_of_pages
 
 
 def op1_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,14 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = derive(responses_of_pages(table(spark, sf_dir, "pages")), keep={"page_id": "long"})
+    return records.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_length", "block_digest",
+        F.octet_length("record").cast("long").alias("record_bytes"), F.crc32("record").alias("record_crc32"),
+    )
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
