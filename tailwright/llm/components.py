@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least index reachable over the pairs (i, j) of n local nodes, by hooking and pointer jumping."""
+    root = np.arange(n)
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], low)
+        np.minimum.at(root, root[j], low)
+        while (root != (up := root[root])).any():
+            root = up
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return root
+
+
 def _stars(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """Least neighbour (or itself) of every node ``u``, aggregated map-side and stored.
 

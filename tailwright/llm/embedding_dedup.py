@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, each_group
 from .common import Workspace, arrow_rows
-from .components import connected_components
+from .components import connected_components, spanning
 
 PASSES = 20
 WINDOW = 64
@@ -78,20 +78,6 @@ def _keys(passes: int, seed: int):
     return run
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least index reachable, by repeated hooking and pointer jumping over the pairs."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        np.minimum.at(root, root[i], low)
-        np.minimum.at(root, root[j], low)
-        while (root != (up := root[root])).any():
-            root = up
-        apart = root[i] != root[j]
-        i, j = i[apart], j[apart]
-    return root
-
-
 def _linked(ids, group, vectors, window: int, cosine: float, split: int | None = None):
     """Star edges that span the verified pairs among ``window`` following rows of equal group.
 
@@ -114,7 +100,7 @@ def _linked(ids, group, vectors, window: int, cosine: float, split: int | None =
             a.append(p[keep])
             b.append(q[keep])
     i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (a, b))
-    root = _forest(n, i, j)
+    root = spanning(n, i, j)
     moved = np.flatnonzero(root != np.arange(n))
     return ids[moved], ids[root[moved]]
 

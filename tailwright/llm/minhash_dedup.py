@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from .blocks import block_pairs, each_group
 from .common import WordHashes, Workspace, arrow_rows, mix64
-from .components import connected_components
+from .components import connected_components, spanning
 
 SHINGLE = 5
 PERCENT = 85
 BANDS = 32
 #: Permutations in a band; each gives two signature values, its minimum and its maximum.
 BAND_PERMUTATIONS = 3
-#: Estimated similarity under which a pair in one bucket need not be confirmed: some six standard
-#: deviations of the estimate below the threshold.
-PLAUSIBLE = 0.68
+#: Estimated similarity under which a pair in one bucket need not be confirmed: five standard
+#: deviations of the estimate (0.026) below the threshold.
+PLAUSIBLE = 0.72
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 
@@ -149,31 +149,69 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the one and of the other block of a block pair; the same rows inside a block."""
+    bi, bj, blk = t.column("bi")[0].as_py(), t.column("bj")[0].as_py(), t.column("blk").to_numpy()
+    return np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+
+
+def _candidates(t: pa.Table, percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block pair, of different components, that sizes and sketches allow."""
+    comp, n = t.column("component").to_numpy(), t.column("n_shingles").to_numpy()
+    sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+    first, second = _sides(t)
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+    for i in first:
+        j = second[(comp[second] != comp[i]) & (100 * np.minimum(n[second], n[i]) >= percent * np.maximum(n[second], n[i]))]
+        if len(j):
+            j = j[((sk[j] == sk[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least]
+            a.append(np.full(len(j), i))
+            b.append(j)
+    a, b = np.concatenate(a), np.concatenate(b)
+    once = a < b if t.column("bi")[0] == t.column("bj")[0] else slice(None)
+    return a[once], b[once]
+
+
+def _star(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+    """Edges that span what the pairs (a, b) connect: no more than there are rows."""
+    names, at = np.unique(ids, return_inverse=True)
+    root = spanning(len(names), at[a], at[b])
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[root[moved]]), pa.array(names[moved])], names=["a", "b"]) if len(moved) else None
+
+
 def _plausible(percent: int, least: float):
-    """In a block pair of a bucket: pairs of different components that sizes and sketches allow."""
+    """Which components of a bucket may belong together, as spanning edges."""
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
-        bi, bj = t.column("bi")[0].as_py(), t.column("bj")[0].as_py()
-        blk, rep, comp, n = (t.column(c).to_numpy() for c in ("blk", "rep", "component", "n_shingles"))
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        first = np.flatnonzero(blk == bi) if bi != bj else np.arange(len(rep))
-        second = np.flatnonzero(blk == bj) if bi != bj else first
-        out_a, out_b = [], []
-        for i in first:
-            j = second[(comp[second] != comp[i]) & (100 * np.minimum(n[second], n[i]) >= percent * np.maximum(n[second], n[i]))]
-            if bi == bj:
-                j = j[j > i]
-            if len(j):
-                j = j[((sk[j] == sk[i]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= least]
-                out_a.append(np.minimum(rep[i], rep[j]))
-                out_b.append(np.maximum(rep[i], rep[j]))
-        if not sum(map(len, out_a)):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+        return _star(t.column("component").to_numpy(), *_candidates(t, percent, least))
 
     return lambda batches: each_group(batches, ["key", "bi", "bj"], compare)
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = WordHashes()
+    for b in batches:
+        made = [shingle_hashes(t.as_py(), words).tobytes() for t in b.column("text")]
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(made, pa.binary())], names=[*keep, "shingles"])
+
+
+def _confirm_blocks(percent: int, least: float):
+    """Links between components of a cluster, checked on full sets, as spanning edges."""
+
+    def compare(t: pa.Table) -> pa.RecordBatch | None:
+        a, b = _candidates(t, percent, least)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        ok = np.zeros(len(a), bool)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            ok[k] = 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+        return _star(t.column("component").to_numpy(), a[ok], b[ok])
+
+    return lambda batches: each_group(batches, ["cluster", "bi", "bj"], compare)
+
+
 def dedup_documents(
     docs: DataFrame,
     percent: int = PERCENT,
@@ -191,8 +229,9 @@ def dedup_documents(
     so 96 hash evaluations give 192 signature values, banded six by six. A pair at 0.85 shares no
     band with a probability of about 3e-7. Documents of equal sets become one class. In each bucket
     every class is checked against the least one on full sets; then, where a bucket still spans
-    several components, all pairs across components that sizes and sketches allow are checked
-    too, in blocks: no bucket is capped and no link that only other members show is lost.
+    several components that sizes and sketches allow to belong together, the members of these
+    components meet in blocks, all pairs across components, on full sets: no bucket is capped, no
+    link that only other members show is lost, and no list of pairs is made.
 
     Documents without words, or null, have 0 shingles, link with nothing and are kept. Repeated rows are
     copies and get equal results; rows of one doc_id with different texts are one node,
@@ -238,15 +277,28 @@ def dedup_documents(
         "open",
     )
     rest = placed.join(open_, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    more = (
+    maybe = (
         block_pairs(rest, "key", "rep", "size")
         .select("key", "bi", "bj", "blk", "rep", "component", "n_shingles", "sketch")
         .mapInArrow(_plausible(percent, plausible), "a long, b long")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    more = ws.save(more, "more")
-    links2 = ws.save(confirmed(more, texts, percent), "links2")
+    # clusters of components that may belong together; their members meet in blocks, each pair once
+    clusters = ws.save(connected_components(maybe, ws, "maybe"), "clusters").select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+    known = ws.save(reps.select("rep", "n_shingles", "sketch").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
+    inside = ws.save(known.join(clusters, "component"), "inside")
+    sizes = ws.save(inside.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
+    with_sets = ws.save(
+        texts.join(inside.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
+        .select("cluster", "doc_id", "component", "n_shingles", "sketch", "text")
+        .mapInArrow(_sets, "cluster long, doc_id long, component long, n_shingles long, sketch binary, shingles binary"),
+        "with_sets",
+    )
+    links2 = (
+        block_pairs(with_sets.join(sizes, "cluster"), "cluster", "doc_id", "size")
+        .select("cluster", "bi", "bj", "blk", "component", "n_shingles", "sketch", "shingles")
+        .mapInArrow(_confirm_blocks(percent, plausible), "a long, b long")
+    )
+    # links between components: the least document of a component stands for it
     final = ws.save(connected_components(links.unionByName(links2), ws, "last"), "final").withColumnRenamed("id", "rep")
     linked = members.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
