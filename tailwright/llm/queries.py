@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, fold, table
+from .context_mixing import score_documents
 from .embedding_dedup import dedup_embeddings
 from .minhash_dedup import dedup_documents
 from .mixing import mix_documents
@@ -71,6 +72,10 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op8_warc_derivatives": op8_warc_derivatives,
+    "op9_context_mixing": op9_context_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
