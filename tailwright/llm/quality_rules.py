@@ -128,7 +128,7 @@ def clean(text: bytes | None, rules: Rules) -> tuple:
 _NOT_CONTINUING = bytes(b for b in range(256) if not 0x80 <= b < 0xC0)
 _LONGS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _REMOVED = ["lost_words", "punctuation_lines", "navigation_lines", "boilerplate_lines"]
-_SCHEMA = f"doc_id long, {', '.join(f'{c} long' for c in _LONGS)}, base_failed boolean, kept boolean, {', '.join(f'{c} long' for c in _REMOVED)}"
+_SCHEMA = f"{', '.join(f'{c} long' for c in _LONGS)}, base_failed boolean, kept boolean, {', '.join(f'{c} long' for c in _REMOVED)}"
 
 
 def _apply(rules: Rules, cleaned: bool):
@@ -137,8 +137,9 @@ def _apply(rules: Rules, cleaned: bool):
             if not batch.num_rows:
                 continue
             cols = list(zip(*(clean(t.as_py(), rules) for t in batch.column("text")), strict=True))
-            arrays = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.bool_()) for c in cols[5:7]), *(pa.array(c, pa.int64()) for c in cols[7:11])]
-            names = ["doc_id", *_LONGS, "base_failed", "kept", *_REMOVED]
+            own = [c for c in batch.schema.names if c.startswith("kept_")]
+            arrays = [*(batch.column(c) for c in own), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.bool_()) for c in cols[5:7]), *(pa.array(c, pa.int64()) for c in cols[7:11])]
+            names = [*own, *_LONGS, "base_failed", "kept", *_REMOVED]
             if cleaned:
                 arrays.append(pa.array([c.decode("utf-8", "replace") for c in cols[11]], pa.string()))
                 names.append("cleaned_text")
@@ -147,10 +148,11 @@ def _apply(rules: Rules, cleaned: bool):
     return run
 
 
-def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = True, keep: list[str] | None = None) -> DataFrame:
     """Counts, verdict and cleaned text of every document.
 
-    ``docs``: doc_id long, text string; further columns are ignored. One row per input row. Words
+    ``docs``: doc_id long, text string; further columns are ignored but those of ``keep``, which come
+    first (by default doc_id). One row per input row. Words
     are runs of bytes other than ASCII white space. Every line with words is held against the
     navigation, punctuation and boilerplate rules (a line equal to an earlier one is boilerplate);
     failing lines are left out of ``cleaned_text``. A document with few words or much repetition
@@ -161,5 +163,10 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = True)
     results; an empty table gives no rows. Texts are never cut; a task holds one batch of them.
     """
     arrow_rows(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_apply(rules, cleaned), _SCHEMA + (", cleaned_text string" if cleaned else ""))
+    keep = keep or ["doc_id"]
+    kinds = {k: t for k, t in docs.dtypes if k in keep} | {"doc_id": "long"}
+    rows = docs.select(*(F.col(k).cast(kinds[k]).alias(f"kept_{k}") for k in keep), F.col("text").cast("binary").alias("text"))
+    schema = ", ".join([*(f"kept_{k} {kinds[k]}" for k in keep), _SCHEMA, *(["cleaned_text string"] if cleaned else [])])
+    out = rows.mapInArrow(_apply(rules, cleaned), schema)
+    names = [*_LONGS, "base_failed", "kept", *_REMOVED, *(["cleaned_text"] if cleaned else [])]
+    return out.select(*(F.col(f"kept_{k}").alias(k) for k in keep), *names)
