@@ -14,9 +14,16 @@ import regex
 PIECES = 900_000
 WORDS = 600_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: How the two kinds of file split a text without apostrophes.
-_SPACED = regex.compile(r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_DROPPED = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Stands between pieces that are split into words together.
+_BETWEEN = "\x01"
+#: How the two kinds of file split a text without apostrophes into words.
+_SPACED = regex.compile(r"\x01| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?![^\s\x01])|\s+")
+_DROPPED = regex.compile(r"\x01|\p{L}+|\p{N}|[^\s\p{L}\p{N}\x01]+")
+
+
+def _plain(text: str) -> bool:
+    """Latin letters without apostrophes, which neither compose nor change their kind in lower case."""
+    return max(text) < "\u0250" and "'" not in text and "\u0130" not in text
 
 
 def default_path(name: str) -> str:
@@ -43,7 +50,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.drops_space = drops_space
         self.begin: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
@@ -64,28 +71,34 @@ class Encoder:
                 known[p] = np.array(e.ids, self.dtype).tobytes()
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Ids of new pieces, from the words in them where the split into words is plain to see.
-
-        That is so for Latin letters without apostrophes, which neither compose nor change their
-        kind in lower case; any other piece is encoded whole.
-        """
-        new = pieces - known.keys()
+        """Ids of new pieces, from the words in them where the split into words is plain, else encoded whole."""
+        new = list(pieces - known.keys())
         if len(known) + len(new) > PIECES:
             self._make_room(known, len(new), PIECES)
-            new = pieces - known.keys()
-        split: dict[str, list[str]] = {}
-        whole = []
-        for p in new:
-            if p and max(p) < "\u0250" and "'" not in p and "\u0130" not in p:
-                split[p] = [w.lower() for w in _DROPPED.findall(p)] if self.drops_space else _SPACED.findall(lead + p)
-            else:
-                whole.append(p)
-        words = set().union(*split.values()) if split else set()
-        self._make_room(self.words, len(words), WORDS)
-        self._encode(self.words, list(words - self.words.keys()))
-        get = self.words.__getitem__
-        for p, own in split.items():
-            known[p] = b"".join(map(get, own))
+            new = list(pieces - known.keys())
+        if not new:
+            return
+        whole: list[str] = []
+        joined = _BETWEEN.join([lead + p for p in new])
+        if not (joined and _plain(joined) and joined.count(_BETWEEN) == len(new) - 1):
+            whole = [p for p in new if not (p and _plain(p) and _BETWEEN not in p)]
+            odd = set(whole)
+            new = [p for p in new if p not in odd]
+            joined = _BETWEEN.join([lead + p for p in new])
+        if new:
+            words = _DROPPED.findall(joined.lower()) if self.drops_space else _SPACED.findall(joined)
+            kinds = set(words)
+            kinds.discard(_BETWEEN)
+            self._make_room(self.words, len(kinds), WORDS)
+            self._encode(self.words, list(kinds - self.words.keys()))
+            mark = np.iinfo(self.dtype).max  # no vocabulary is full
+            self.words[_BETWEEN] = np.array([mark], self.dtype).tobytes()
+            ids = b"".join(map(self.words.__getitem__, words))
+            del self.words[_BETWEEN]
+            cut = (np.flatnonzero(np.frombuffer(ids, self.dtype) == mark) * self.dtype.itemsize).tolist()
+            step = self.dtype.itemsize
+            for p, a, b in zip(new, [0, *(c + step for c in cut)], [*cut, len(ids)], strict=True):
+                known[p] = ids[a:b]
         done: dict[str, bytes] = {}
         self._encode(done, [lead + p for p in whole])
         for p in whole:
