@@ -21,13 +21,13 @@ def prepare_records(records: DataFrame, record_bytes: int = RECORD_BYTES, reques
     If a cut record is still over ``request_bytes`` it is cut again, shorter. Only oversized records
     reach Python. ``shed`` marks what was over the budget, changed or not.
     """
-    over = F.col("wire_bytes") > record_bytes
+    over = F.col("shed")
     cut = fit_records(request_bytes, first_cap, second_cap)(F.when(over, F.col("raw")))
     return (
-        records.withColumn("cut", cut)
+        records.withColumn("shed", F.col("wire_bytes") > record_bytes)
+        .withColumn("cut", cut)
         .withColumn("record", F.when(over, F.col("cut.record")).otherwise(F.col("raw")))
         .withColumn("wire_bytes", F.when(over, F.col("cut.wire_bytes")).otherwise(F.col("wire_bytes")).cast("long"))
-        .withColumn("shed", over)
         .drop("cut", "raw")
     )
 
