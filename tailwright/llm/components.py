@@ -46,9 +46,8 @@ def connected_components(edges: DataFrame, ws: Workspace, name: str = "cc") -> D
         .distinct(),
         f"{name}_0",
     )
-    sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before, k = sign(now), 0
-    while before[0]:
+    k, done = 0, now.isEmpty()
+    while not done:
         k += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _stars(both, ws, f"{name}_l{k}").select("u", F.least("u", "m").alias("m"))
@@ -59,12 +58,12 @@ def connected_components(edges: DataFrame, ws: Workspace, name: str = "cc") -> D
         least = _stars(large, ws, f"{name}_s{k}")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = ws.save(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}_{k}")
-        after = sign(new)
         for old in (f"{name}_{k - 1}", f"{name}_l{k}", f"{name}_a{k}", f"{name}_s{k}"):
             ws.drop(old)
         now = new
-        if after == before:
-            break
-        before = after
+        # done when every node has one edge down at most, and none of those that have one is the end of another
+        ends = now.select(F.col("u").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(now.select(F.col("v").alias("id"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        nodes = ends.groupBy("id").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+        done = nodes.where("down > 1 OR (down = 1 AND up = 1)").agg(F.count("*")).first()[0] == 0
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

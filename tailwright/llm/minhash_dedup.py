@@ -265,7 +265,7 @@ def dedup_documents(
         shared.where("rep <> p.rep").where(apart).select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct(), "stars"
     )
     links = ws.save(confirmed(stars, texts, percent), "links")
-    parts = ws.save(connected_components(links, ws, "first"), "parts").withColumnRenamed("id", "rep")
+    parts = ws.save(connected_components(links, ws, "first").withColumnRenamed("id", "rep"), "parts")
 
     placed = shared.select("key", "rep").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = ws.save(placed, "placed")
@@ -278,28 +278,33 @@ def dedup_documents(
     )
     rest = placed.join(open_, "key").join(reps.select("rep", "n_shingles", "sketch"), "rep")
     maybe = (
-        block_pairs(rest, "key", "rep", "size")
+        block_pairs(rest, "key", "rep", "size", least=256)  # small rows, and a document is in many buckets
         .select("key", "bi", "bj", "blk", "rep", "component", "n_shingles", "sketch")
         .mapInArrow(_plausible(percent, plausible), "a long, b long")
     )
-    # clusters of components that may belong together; their members meet in blocks, each pair once
-    clusters = ws.save(connected_components(maybe, ws, "maybe"), "clusters").select(F.col("id").alias("component"), F.col("component").alias("cluster"))
-    known = ws.save(reps.select("rep", "n_shingles", "sketch").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "known")
-    inside = ws.save(known.join(clusters, "component"), "inside")
-    sizes = ws.save(inside.groupBy("cluster").agg(F.count("*").alias("size")), "sizes")
-    with_sets = ws.save(
-        texts.join(inside.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
-        .select("cluster", "doc_id", "component", "n_shingles", "sketch", "text")
-        .mapInArrow(_sets, "cluster long, doc_id long, component long, n_shingles long, sketch binary, shingles binary"),
-        "with_sets",
-    )
-    links2 = (
-        block_pairs(with_sets.join(sizes, "cluster"), "cluster", "doc_id", "size")
-        .select("cluster", "bi", "bj", "blk", "component", "n_shingles", "sketch", "shingles")
-        .mapInArrow(_confirm_blocks(percent, plausible), "a long, b long")
-    )
-    # links between components: the least document of a component stands for it
-    final = ws.save(connected_components(links.unionByName(links2), ws, "last"), "final").withColumnRenamed("id", "rep")
+    maybe = ws.save(maybe, "maybe_edges")
+    final = parts
+    if not maybe.isEmpty():
+        # clusters of components that may belong together; their members meet in blocks, each pair once
+        clusters = ws.save(connected_components(maybe, ws, "maybe"), "clusters").select(F.col("id").alias("component"), F.col("component").alias("cluster"))
+        known = reps.select("rep", "n_shingles", "sketch").join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        inside = ws.save(known.join(clusters, "component"), "inside")
+        sizes = inside.groupBy("cluster").agg(F.count("*").alias("size"))
+        with_sets = ws.save(
+            texts.join(inside.withColumnRenamed("rep", "doc_id").hint("shuffle_hash"), "doc_id")
+            .select("cluster", "doc_id", "component", "n_shingles", "sketch", "text")
+            .mapInArrow(_sets, "cluster long, doc_id long, component long, n_shingles long, sketch binary, shingles binary"),
+            "with_sets",
+        )
+        links2 = (
+            block_pairs(with_sets.join(ws.save(sizes, "sizes"), "cluster"), "cluster", "doc_id", "size")
+            .select("cluster", "bi", "bj", "blk", "component", "n_shingles", "sketch", "shingles")
+            .mapInArrow(_confirm_blocks(percent, plausible), "a long, b long")
+        )
+        # links between components: the least document of a component stands for it
+        joined = ws.save(connected_components(links2, ws, "last"), "joined").select(F.col("id").alias("component"), F.col("component").alias("over"))
+        own = inside.select("rep", "component").distinct().join(joined, "component").select("rep", F.col("over").alias("component"))
+        final = ws.save(parts.join(own.select("rep"), "rep", "left_anti").unionByName(own), "final")
     linked = members.join(final, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
