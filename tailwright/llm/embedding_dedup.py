@@ -35,19 +35,21 @@ def _vectors(column: pa.Array) -> tuple[list, np.ndarray]:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Scaled to length one; by the largest component first, so that squares neither overflow nor vanish."""
+    """Scaled to length one in double precision; by the largest component first, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=-1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        kind = b.schema.field("embedding").type.value_type
         vectors, ok = _vectors(b.column("embedding"))
         label = b.column("label")
         good = ok & label.is_valid().to_numpy(zero_copy_only=False)
         digest = [xxhash.xxh3_128_digest(v.tobytes()) if g else None for v, g in zip(vectors, good, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [b.column("vec_id"), label, pa.array(digest, pa.binary()), pa.array([v if g else None for v, g in zip(vectors, good, strict=True)], pa.list_(pa.float64()))],
+            [b.column("vec_id"), label, pa.array(digest, pa.binary()), pa.array([v if g else None for v, g in zip(vectors, good, strict=True)], pa.list_(kind))],
             names=["vec_id", "label", "digest", "x"],
         )
 
@@ -105,15 +107,15 @@ def _linked(ids, group, vectors, window: int, cosine: float, split: int | None =
     return ids[moved], ids[root[moved]]
 
 
-_FOUND = "a long, b long, at int, side int, pos int, pass int, label int, rep long, x array<double>"
+_FOUND = "a long, b long, at int, side int, pos int, pass int, label int, rep long"
 
 
-def _found(a=None, b=None, at=None, side=None, pos=None, pas=None, label=None, rep=None, x=None) -> pa.RecordBatch:
+def _found(kind, a=None, b=None, at=None, side=None, pos=None, pas=None, label=None, rep=None, x=None) -> pa.RecordBatch:
     n = len(a) if a is not None else len(rep)
     col = lambda v, t: pa.nulls(n, t) if v is None else pa.array(v, t)
     i32, i64 = pa.int32(), pa.int64()
     return pa.RecordBatch.from_arrays(
-        [col(a, i64), col(b, i64), col(at, i32), col(side, i32), col(pos, i32), col(pas, i32), col(label, i32), col(rep, i64), col(x, pa.list_(pa.float64()))],
+        [col(a, i64), col(b, i64), col(at, i32), col(side, i32), col(pos, i32), col(pas, i32), col(label, i32), col(rep, i64), col(x, pa.list_(kind))],
         names=["a", "b", "at", "side", "pos", "pass", "label", "rep", "x"],
     )
 
@@ -126,21 +128,22 @@ def _slide(window: int, cosine: float):
         held = None  # passes, labels, ids, vectors not yet compared with all that follow
         head_left, tail = window, None
 
-        def ends(rows, side):
+        def ends(rows, side, kind):
             k = len(rows[2])
-            return _found(at=[at] * k, side=[side] * k, pos=np.arange(k), pas=rows[0], label=rows[1], rep=rows[2], x=list(rows[3]))
+            return _found(kind, at=[at] * k, side=[side] * k, pos=np.arange(k), pas=rows[0], label=rows[1], rep=rows[2], x=list(rows[3]))
 
-        def compare(rows):
+        def compare(rows, kind):
             group = rows[0].astype(np.int64) << 32 | (rows[1].astype(np.int64) & 0xFFFFFFFF)
             a, b = _linked(rows[2], group, rows[3], window, cosine)
-            return _found(a=a, b=b) if len(a) else None
+            return _found(kind, a=a, b=b) if len(a) else None
 
         join = lambda r, s: s if r is None else tuple(np.concatenate(v) for v in zip(r[:3], s[:3], strict=True)) + (r[3] + s[3],)
         cut = lambda r, i, j: tuple(v[i:j] for v in r)
-        head = None
+        head = kind = None
         for b in batches:
             if not b.num_rows:
                 continue
+            kind = b.schema.field("x").type.value_type
             new = (
                 b.column("pass").to_numpy(), b.column("label").to_numpy(), b.column("rep").to_numpy(),
                 [v.values.to_numpy() for v in b.column("x")],
@@ -152,14 +155,14 @@ def _slide(window: int, cosine: float):
             tail = cut(tail, max(0, len(tail[2]) - window), len(tail[2]))
             held = join(held, new)
             while len(held[2]) >= CHUNK + window:
-                if (out := compare(cut(held, 0, CHUNK + window))) is not None:
+                if (out := compare(cut(held, 0, CHUNK + window), kind)) is not None:
                     yield out
                 held = cut(held, CHUNK, len(held[2]))
         if held is not None:
-            if (out := compare(held)) is not None:
+            if (out := compare(held, kind)) is not None:
                 yield out
-            yield ends(head, 1)
-            yield ends(tail, 0)
+            yield ends(head, 1, kind)
+            yield ends(tail, 0, kind)
 
     return run
 
@@ -223,8 +226,10 @@ def dedup_embeddings(
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "embedding-dedup")
     arrow_rows(spark, 2000)
-    cols = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>"))
-    seen = ws.save(cols.mapInArrow(_digests, "vec_id long, label int, digest binary, x array<double>"), "seen")
+    # single precision is moved as it is; comparing is in double precision
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    cols = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast(kind))
+    seen = ws.save(cols.mapInArrow(_digests, f"vec_id long, label int, digest binary, x {kind}"), "seen")
     valid = seen.where("digest is not null")
     sizes = ws.save(valid.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "sizes")
     members = ws.save(valid.select("vec_id", "label", "digest").join(sizes, ["label", "digest"]).select("vec_id", "rep", "copies"), "members")
@@ -238,11 +243,11 @@ def dedup_embeddings(
     )
     ordered = (
         reps.select("rep", "label", "x")
-        .mapInArrow(_keys(passes, seed), "pass int, label int, key long, rep long, x array<double>")
+        .mapInArrow(_keys(passes, seed), f"pass int, label int, key long, rep long, x {kind}")
         .repartitionByRange("pass", "label", "key", "rep")
         .sortWithinPartitions("pass", "label", "key", "rep")
     )
-    found = ws.save(ordered.mapInArrow(_slide(window, cosine), _FOUND), "found")
+    found = ws.save(ordered.mapInArrow(_slide(window, cosine), f"{_FOUND}, x {kind}"), "found")
     ends = found.where("at is not null")
     # the partitions that hold rows, in order: as many numbers as partitions
     filled = sorted(r[0] for r in ends.select("at").distinct().collect())
