@@ -72,10 +72,10 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
         """Ids of new pieces, from the words in them where the split into words is plain, else encoded whole."""
-        new = list(pieces - known.keys())
+        new = [p for p in pieces if p not in known]
         if len(known) + len(new) > PIECES:
             self._make_room(known, len(new), PIECES)
-            new = list(pieces - known.keys())
+            new = [p for p in pieces if p not in known]
         if not new:
             return
         whole: list[str] = []
@@ -90,7 +90,7 @@ class Encoder:
             kinds = set(words)
             kinds.discard(_BETWEEN)
             self._make_room(self.words, len(kinds), WORDS)
-            self._encode(self.words, list(kinds - self.words.keys()))
+            self._encode(self.words, [w for w in kinds if w not in self.words])
             mark = np.iinfo(self.dtype).max  # no vocabulary is full
             self.words[_BETWEEN] = np.array([mark], self.dtype).tobytes()
             ids = b"".join(map(self.words.__getitem__, words))
