@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,7 +31,8 @@ def dedup_counts(incoming: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def dedup_batches(batches: DataFrame, history: DataFrame) -> DataFrame:
-    """file_path, sha256 and whether the batch is accepted: the first with these bytes, and new to ``history``."""
-    first = F.row_number().over(Window.partitionBy("sha256").orderBy("file_path")) == 1
+    """file_path, sha256 and whether the batch is accepted: of the least path with these bytes, and new to ``history``."""
+    first = batches.groupBy("sha256").agg(F.min("file_path").alias("first"))
     known = history.select("sha256").distinct().withColumn("known", F.lit(True))
-    return batches.join(known, "sha256", "left").select("file_path", "sha256", (first & F.col("known").isNull()).alias("accepted"))
+    accepted = (F.col("file_path") == F.col("first")) & F.col("known").isNull()
+    return batches.join(first, "sha256").join(known, "sha256", "left").select("file_path", "sha256", accepted.alias("accepted"))
