@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_rows
-from .tokens import Encoder
+from .tokens import encoder
 
 WINDOW = 2048
 END_ID = 1
@@ -127,10 +127,10 @@ def slots(strategies: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
 
 def _pieces(tokenizer: str, end_id: int, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, drops_space=True)
+        coder = encoder(tokenizer, drops_space=True)
         for batch in batches:
             doc, start, length, crc, total, kept = [], [], [], [], [], []
-            for d, e in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+            for d, e in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.append(e, e.dtype.type(end_id)).astype("<u4")
                 for s in range(0, len(ids), window):
                     piece = ids[s : s + window]

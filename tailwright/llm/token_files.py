@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_rows
-from .tokens import Encoder
+from .tokens import encoder
 
 END_ID = 2
 
@@ -54,16 +54,16 @@ def open_ints(uri: str, dtype: str) -> np.ndarray:
 
 def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, drops_space=False)
+        coder = encoder(tokenizer, drops_space=False)
         part = f"part-{TaskContext.get().partitionId():06d}"
         ids: list[int] = []
         lengths: list[int] = []
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], coder.dtype).tobytes()
 
         def chunks() -> Iterator[bytes]:
             for batch in batches:
                 ids.extend(batch.column("doc_id").to_pylist())
-                for e in encoder.encode(batch.column("text").to_pylist()):
+                for e in coder.encode(batch.column("text").to_pylist()):
                     lengths.append(len(e) + 1)
                     yield e.tobytes()
                     yield end
@@ -73,7 +73,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         if ids:
             _publish(f"{folder}/{part}.ids", iter([np.array(ids, "<i8").tobytes()]))
             _publish(f"{folder}/{part}.len", iter([np.array(lengths, "<i8").tobytes()]))
-            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(ids)], "tokens": [sum(lengths)], "bytes_each": [encoder.dtype.itemsize]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(ids)], "tokens": [sum(lengths)], "bytes_each": [coder.dtype.itemsize]})
 
     return run
 

@@ -11,8 +11,8 @@ import numpy as np
 import regex
 
 #: Pieces between spaces, and words inside them, remembered in a worker; about 200 bytes each.
-PIECES = 900_000
-WORDS = 600_000
+PIECES = 400_000
+WORDS = 300_000
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Stands between pieces that are split into words together.
 _BETWEEN = "\x01"
@@ -32,6 +32,18 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, drops_space: bool) -> Encoder:
+    """The worker's encoder for a file: what one task has learned serves the next ones."""
+    key = (path, drops_space)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()  # one at a time holds memory
+        _ENCODERS[key] = Encoder(path, drops_space)
+    return _ENCODERS[key]
+
+
 class Encoder:
     """Ids of whole texts, equal to those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
