@@ -72,23 +72,32 @@ class Mixture:
     rounds: int
 
 
+def _indexed(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, float]]) -> tuple[list, list, list, list]:
+    """By dimension: its values, the one of each cell, which of them have tokens and a target, and their targets, of sum 1."""
+    names, at, has, goal = [], [], [], []
+    for k, d in enumerate(targets):
+        own = sorted({c[k] for c in cells})
+        index = {v: i for i, v in enumerate(own)}
+        names.append(own)
+        at.append(np.array([index[c[k]] for c in cells], int))
+        g = np.array([max(0.0, targets[d].get(v, 0.0)) for v in own])
+        fit = np.array([v in targets[d] for v in own], bool) & (np.bincount(at[k], tokens, len(own)) > 0)
+        fit &= bool(g[fit].sum())
+        has.append(fit)
+        goal.append(np.where(fit, g, 0) / (g[fit].sum() or 1))
+    return names, at, has, goal
+
+
 def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Mixture:
     """Scale each dimension in turn to its target shares until all hold.
 
     cells: tuples of values, in the order of ``targets``. Values without tokens or without a target
-    are left out of the fit; targets are scaled to one over those present. ``top`` is the largest
-    weight of a cell, ``error`` the largest difference of a share from its target at the end.
+    are left out of the fit and keep factor 1; targets are scaled to one over the others, and are shares of
+    the others' tokens. ``top`` is the largest weight of a cell, ``error`` the largest difference of a
+    share from its target at the end.
     """
     dims = list(targets)
-    at, goal = [], []
-    names = []
-    for k, d in enumerate(dims):
-        own = sorted({c[k] for c in cells})
-        index = {v: i for i, v in enumerate(own)}
-        names.append(own)
-        at.append(np.array([index[c[k]] for c in cells], int))
-        g = np.array([max(0.0, targets[d].get(v, 0.0)) for v in own])
-        goal.append(g / g.sum() if g.sum() else np.full(len(own), 1 / max(1, len(own))))
+    names, at, has, goal = _indexed(cells, tokens, targets)
     w = np.ones(len(cells))
     factor = [np.ones(len(n)) for n in names]
     done, error = 0, 0.0
@@ -98,10 +107,10 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, fl
         done += 1
         for k in range(len(dims)):
             now = share(k)
-            step = np.divide(goal[k], now, out=np.ones_like(now), where=now > 0)
+            step = np.divide(goal[k] * now[has[k]].sum(), now, out=np.ones_like(now), where=has[k] & (now > 0))
             factor[k] *= step
             w *= step[at[k]]
-        error = max(float(np.abs(share(k) - goal[k])[np.bincount(at[k], tokens, len(names[k])) > 0].max()) for k in range(len(dims)))
+        error = max(float(np.abs(share(k) - goal[k] * share(k)[has[k]].sum())[has[k]].max(initial=0)) for k in range(len(dims)))
         if error < tolerance:
             break
     top = float(w[tokens > 0].max()) if total else 1.0
@@ -109,32 +118,39 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, fl
 
 
 def _common(docs: DataFrame, dim: str, most: int) -> dict[str, int]:
-    """The values with most tokens, at most ``most``, and their tokens."""
-    rows = docs.groupBy(dim).agg(F.sum("n_tokens").alias("n")).where("n > 0").orderBy(F.desc("n"), dim).limit(most).collect()
-    return {r[dim]: r["n"] for r in rows}
+    """The values with most tokens, at most ``most``, and their tokens; '' has those of all further values, if there are any."""
+    counted = docs.groupBy(dim).agg(F.sum("n_tokens").alias("n")).where("n > 0")
+    out = {r[dim]: r["n"] for r in counted.orderBy(F.desc("n"), dim).limit(most).collect()}
+    if len(out) == most and (rest := counted.agg(F.sum("n")).first()[0] - sum(out.values())):
+        out[OTHER] = out.get(OTHER, 0) + rest
+    return out
 
 
 def fit_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, most: int = CATEGORIES) -> tuple[Mixture, DataFrame]:
     """The fitted mixture, and the measured ``docs`` with pooled values.
 
     ``targets``: shares of tokens by source, lang and topic; by default the observed shares,
-    tempered. The driver holds the table of cells: at most ``most`` values in a dimension, and at most
-    as many cells as their combinations that occur.
+    tempered; the values beyond the ``most`` common ones are one value, '', with the share of all of
+    them. Values that given targets name are not pooled. The driver holds the table of cells: at most
+    ``most`` values in a dimension, '' and those named, and at most as many cells as their combinations
+    that occur.
     """
     dims = list(temper)
     pooled = docs
     goals: dict[str, dict[str, float]] = {}
     for d in dims:
         common = _common(docs, d, most)
-        if len(common) == most:
-            pooled = pooled.join(F.broadcast(docs.sparkSession.createDataFrame([(v,) for v in common], f"{d} string").withColumn(f"is_{d}", F.lit(True))), d, "left").withColumn(d, F.when(F.col(f"is_{d}"), F.col(d)).otherwise(F.lit(OTHER))).drop(f"is_{d}")
+        given = (targets or {}).get(d)
+        if len(common) >= most:
+            own = [(v,) for v in sorted({*common, *(given or {})})]
+            pooled = pooled.join(F.broadcast(docs.sparkSession.createDataFrame(own, f"{d} string").withColumn(f"is_{d}", F.lit(True))), d, "left").withColumn(d, F.when(F.col(f"is_{d}"), F.col(d)).otherwise(F.lit(OTHER))).drop(f"is_{d}")
         total = sum(common.values()) or 1
-        goals[d] = (targets or {}).get(d) or {v: (n / total) ** temper[d] for v, n in common.items()}
+        goals[d] = given or {v: (n / total) ** temper[d] for v, n in common.items()}
     cells = pooled.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).where("n > 0").orderBy(*dims).collect()
     return rake([tuple(r[d] for d in dims) for r in cells], np.array([r["n"] for r in cells], float), goals), pooled
 
 
-def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, topics: int = TOPICS, ws: Workspace | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, topics: int = TOPICS, most: int = CATEGORIES, ws: Workspace | None = None) -> DataFrame:
     """Calibrated weight, probability and verdict for every document.
 
     ``docs``: doc_id long, text, source and lang strings; further columns are ignored. Returns per
@@ -149,12 +165,12 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "mixing")
-    m, pooled = fit_mixture(ws.save(measured(docs, topics), "measured"), targets, temper)
+    m, pooled = fit_mixture(ws.save(measured(docs, topics), "measured"), targets, temper, most)
     weight = F.lit(1.0)
     for d, factors in m.factors.items():
         part = [(v, f) for v, f in factors.items()]
         if part:
-            # at most CATEGORIES rows
+            # at most ``most`` rows, '' and those that targets name
             table = spark.createDataFrame(part, f"{d} string, f_{d} double")
             pooled = pooled.join(F.broadcast(table), d, "left")
             weight = weight * F.coalesce(F.col(f"f_{d}"), F.lit(1.0))

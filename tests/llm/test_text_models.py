@@ -63,6 +63,27 @@ def test_mixing_odd_documents(spark, odd_docs, no_docs):
         assert abs(got[s] / sum(got.values()) - g / sum(goal.values())) < 0.06
 
 
+def test_values_beyond_the_common_ones_are_pooled(spark):
+    """Three sources are common, three share '' with its own target; values without a target are not dropped."""
+    sizes = {"a": 400, "b": 300, "c": 200, "d": 60, "e": 40, "": 20}
+    docs = spark.createDataFrame([(i, " ".join(words(i, 30)), "en", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, text string, lang string, source string")
+    temper = {"source": 0.7}
+    rows = mix_documents(docs, temper=temper, most=3).collect()
+    got, goal = Counter(), {s: (n / 1020) ** 0.7 for s, n in {"a": 400, "b": 300, "c": 200, "": 120}.items()}
+    for r in rows:
+        got[r.source] += r.n_tokens * r.probability
+    assert len(rows) == 1020 and sum(r.kept for r in rows if r.source == "") > 60
+    assert all(abs(got[s] / got.total() - g / sum(goal.values())) < 1e-6 for s, g in goal.items())
+    # a given target holds for a rare value too, and others keep their weight
+    rows = mix_documents(docs, {"source": {"a": 0.5, "e": 0.5}}, temper, most=3).collect()
+    weights = {r.source: r.weight for r in rows}
+    assert set(weights) == {"a", "b", "c", "e", ""} and weights["b"] == weights["c"] == weights[""] == 1
+    got = Counter()
+    for r in rows:
+        got[r.source] += r.n_tokens * r.weight
+    assert abs(got["a"] - got["e"]) < 1e-6 * got["a"] and {r.source for r in rows if r.kept} == set(weights)
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     docs, labels = [], []
