@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ TOPICS = 8
 CATEGORIES = 2000
 #: Target shares are observed shares of tokens to this power, as usual for multilingual mixtures.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+#: Share of all tokens that is kept at least, also where only fewer would have all target shares.
+BUDGET = 0.6
 ROUNDS = 200
 TOLERANCE = 1e-9
 OTHER = ""
@@ -70,6 +73,12 @@ class Mixture:
     top: float
     error: float
     rounds: int
+    #: A row is kept with the product of these over its values as probability, one at most.
+    chances: dict[str, dict[str, float]] = field(default_factory=dict)
+    #: Expected share of the tokens that is kept.
+    rate: float = 1.0
+    #: By dimension and value: the target share that the kept tokens miss by over 1 %, and the share they have.
+    unmet: dict[str, dict[str, tuple[float, float]]] = field(default_factory=dict)
 
 
 def _indexed(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, float]]) -> tuple[list, list, list, list]:
@@ -117,6 +126,83 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, fl
     return Mixture({d: dict(zip(n, f.tolist(), strict=True)) for d, n, f in zip(dims, names, factor, strict=True)}, top, error, done)
 
 
+def _capped(goal: np.ndarray, have: np.ndarray, total: float) -> np.ndarray:
+    """``total`` dealt in proportion to ``goal``, to none more than it has; what it lacks goes to the others."""
+    out, free = np.zeros_like(have), goal > 0
+    while free.any():
+        left = total - out.sum()
+        part = goal * (left / goal[free].sum())
+        full = free & (part >= have)
+        if not full.any():
+            out[free] = part[free]
+            break
+        out[full] = have[full]
+        free &= ~full
+    return out
+
+
+def _scaled(at: np.ndarray, q: np.ndarray, tokens: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Factors by value with which min(1, factor * q) of the tokens are the wanted ones.
+
+    Newton's steps from below on a concave function of straight pieces end after as many as pieces.
+    """
+    count = lambda x: np.bincount(at, x, len(want))
+    rising = count(q * tokens)
+    f = np.divide(want, rising, out=np.ones_like(want), where=rising > 0)
+    for _ in range(100):
+        now = f[at] * q
+        missing = want - count(np.minimum(1, now) * tokens)
+        slope = count(np.where(now < 1, q, 0) * tokens)
+        move = (missing > 1e-12 * want) & (slope > 0)
+        if not move.any():
+            break
+        f[move] += missing[move] / slope[move]
+    return f
+
+
+def thin(m: Mixture, cells: list[tuple], tokens: np.ndarray, targets: dict[str, dict[str, float]], budget: float = BUDGET, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Mixture:
+    """Chances to keep rows: weights over the largest one, if ``budget`` of the tokens or more are kept so.
+
+    Else rare values of large weights would set the rate of all. Weights are then scaled until
+    min(1, scaled weight) keeps ``budget`` of the tokens, and raked once more under this bound: a value
+    with fewer tokens than its target is kept whole, what it lacks is dealt to the others in
+    proportion, and ``unmet`` has the shares that come out.
+    """
+    dims = list(targets)
+    names, at, has, goal = _indexed(cells, tokens, targets)
+    factor = [np.array([m.factors[d][v] for v in n], float) for d, n in zip(dims, names, strict=True)]
+    total = float(tokens.sum())
+    if not total or not dims:
+        m.chances = {d: dict(f) for d, f in m.factors.items()}
+        return m
+    product = lambda: np.prod([f[a] for f, a in zip(factor, at, strict=True)], axis=0)
+    factor[0] /= m.top or 1.0
+    q = product()
+    if (q * tokens).sum() < budget * total:
+        have = [np.bincount(a, tokens * (q > 0), len(n)) for a, n in zip(at, names, strict=True)]
+        wanted = min(budget * total, float(tokens[q > 0].sum()))
+        factor[0] *= _scaled(np.zeros(len(q), int), q, tokens, np.array([wanted]))[0]
+        for _ in range(rounds):
+            moved = 0.0
+            for k in range(len(dims)):
+                q = product()
+                now = np.bincount(at[k], np.minimum(1, q) * tokens, len(names[k]))
+                want = np.where(has[k], _capped(goal[k], have[k], max(0.0, wanted - now[~has[k]].sum())), now)
+                moved = max(moved, float(np.abs(want - now).max()) / total)
+                step = _scaled(at[k], q, tokens, want)
+                factor[k] = np.where(has[k], np.clip(factor[k] * step, 0, 1e15), factor[k])
+            if moved < tolerance:
+                break
+    chance = np.minimum(1, product()) * tokens
+    m.rate = float(chance.sum() / total)
+    m.chances = {d: dict(zip(n, f.tolist(), strict=True)) for d, n, f in zip(dims, names, factor, strict=True)}
+    for k, d in enumerate(dims):
+        got = np.bincount(at[k], chance, len(names[k]))
+        got /= got[has[k]].sum() or 1
+        m.unmet[d] = {names[k][i]: (float(goal[k][i]), float(got[i])) for i in np.flatnonzero(has[k] & (np.abs(got - goal[k]) > 0.01 * goal[k]))}
+    return m
+
+
 def _common(docs: DataFrame, dim: str, most: int) -> dict[str, int]:
     """The values with most tokens, at most ``most``, and their tokens; '' has those of all further values, if there are any."""
     counted = docs.groupBy(dim).agg(F.sum("n_tokens").alias("n")).where("n > 0")
@@ -126,7 +212,7 @@ def _common(docs: DataFrame, dim: str, most: int) -> dict[str, int]:
     return out
 
 
-def fit_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, most: int = CATEGORIES) -> tuple[Mixture, DataFrame]:
+def fit_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, most: int = CATEGORIES, budget: float = BUDGET) -> tuple[Mixture, DataFrame]:
     """The fitted mixture, and the measured ``docs`` with pooled values.
 
     ``targets``: shares of tokens by source, lang and topic; by default the observed shares,
@@ -147,35 +233,44 @@ def fit_mixture(docs: DataFrame, targets: dict[str, dict[str, float]] | None = N
         total = sum(common.values()) or 1
         goals[d] = given or {v: (n / total) ** temper[d] for v, n in common.items()}
     cells = pooled.groupBy(*dims).agg(F.sum("n_tokens").alias("n")).where("n > 0").orderBy(*dims).collect()
-    return rake([tuple(r[d] for d in dims) for r in cells], np.array([r["n"] for r in cells], float), goals), pooled
+    values, tokens = [tuple(r[d] for d in dims) for r in cells], np.array([r["n"] for r in cells], float)
+    m = thin(rake(values, tokens, goals), values, tokens, goals, budget)
+    for d, missed in m.unmet.items():
+        if missed:
+            worst = sorted(missed.items(), key=lambda x: (-abs(x[1][0] - x[1][1]), x[0]))[:10]
+            logging.getLogger(__name__).warning("%d target shares of %s are not met at a keep rate of %.3f; (target, share): %s", len(missed), d, m.rate, dict(worst))
+    return m, pooled
 
 
-def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, topics: int = TOPICS, most: int = CATEGORIES, ws: Workspace | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: dict[str, float] = TEMPER, topics: int = TOPICS, most: int = CATEGORIES, budget: float = BUDGET, ws: Workspace | None = None) -> DataFrame:
     """Calibrated weight, probability and verdict for every document.
 
     ``docs``: doc_id long, text, source and lang strings; further columns are ignored. Returns per
     row doc_id, source, lang, topic, n_tokens, weight, probability, kept. A topic is the most common
     hash bucket of a text's longer words. Weights are raked until the weighted tokens have the
-    target share of each source, language and topic; the probability of a row is its weight over
-    the largest one, and it is kept where a draw that rests on its id and text alone is below: the kept
-    tokens have the target shares in expectation, and any partitioning keeps the same rows.
+    target share of each source, language and topic. The probability of a row is its weight over
+    the largest one, if that keeps ``budget`` of the tokens or more; the kept tokens then have the target
+    shares in expectation. Else rows of rare values are kept with probability 1 and the others so that ``budget``
+    of the tokens are kept (see ``thin``); target shares that cannot be met are logged. A row is kept
+    where a draw that rests on its id and text alone is below: any partitioning keeps the same rows.
 
     Null sources and languages are 'unknown'; texts without words (null, empty) have no tokens to weigh and keep
     weight 1 and probability 1. Repeated rows share a draw. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "mixing")
-    m, pooled = fit_mixture(ws.save(measured(docs, topics), "measured"), targets, temper, most)
-    weight = F.lit(1.0)
+    m, pooled = fit_mixture(ws.save(measured(docs, topics), "measured"), targets, temper, most, budget)
+    weight = chance = F.lit(1.0)
     for d, factors in m.factors.items():
-        part = [(v, f) for v, f in factors.items()]
+        part = [(v, f, m.chances[d][v]) for v, f in factors.items()]
         if part:
             # at most ``most`` rows, '' and those that targets name
-            table = spark.createDataFrame(part, f"{d} string, f_{d} double")
+            table = spark.createDataFrame(part, f"{d} string, f_{d} double, p_{d} double")
             pooled = pooled.join(F.broadcast(table), d, "left")
             weight = weight * F.coalesce(F.col(f"f_{d}"), F.lit(1.0))
+            chance = chance * F.coalesce(F.col(f"p_{d}"), F.lit(1.0))
     empty = F.col("n_tokens") == 0
-    probability = F.when(empty, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("weight") / F.lit(m.top or 1.0)))
+    probability = F.when(empty, F.lit(1.0)).otherwise(F.least(F.lit(1.0), chance))
     return (
         pooled.withColumn("weight", F.when(empty, F.lit(1.0)).otherwise(weight))
         .withColumn("probability", probability)

@@ -7,7 +7,7 @@ import pytest
 from tailwright.llm import quality_classifier as quality
 from tailwright.llm import toxicity
 from tailwright.llm.context_mixing import END, KINDS, Mixer, Tables, fit_mixer, learn_kinds, log_probabilities, own_tables, score_documents
-from tailwright.llm.mixing import mix_documents, rake
+from tailwright.llm.mixing import BUDGET, mix_documents, rake, thin
 from tailwright.llm.quality_rules import Rules, clean, quality_rules, repeated_words
 
 from .conftest import words
@@ -84,6 +84,36 @@ def test_values_beyond_the_common_ones_are_pooled(spark):
     assert abs(got["a"] - got["e"]) < 1e-6 * got["a"] and {r.source for r in rows if r.kept} == set(weights)
 
 
+def test_a_rare_value_does_not_set_the_rate_of_all(spark):
+    langs = ["en"] * 900 + ["fr"] * 500 + ["de"] * 99 + [None]
+    docs = spark.createDataFrame([(i, " ".join(words(i, 30)), x, "s") for i, x in enumerate(langs)], "doc_id long, text string, lang string, source string")
+    rows = mix_documents(docs, temper={"lang": 0.3}).collect()
+    kept = sum(r.n_tokens * r.probability for r in rows)
+    assert abs(kept / sum(r.n_tokens for r in rows) - BUDGET) < 1e-6 and 0.54 < sum(r.kept for r in rows) / 1500 < 0.66
+    assert all(r.probability == 1 for r in rows if r.lang in ("unknown", "de")) and len({r.probability for r in rows if r.lang == "en"}) == 1
+
+
+def test_thinning_meets_what_can_be_met():
+    rng = np.random.default_rng(4)
+    cells = [(f"s{i}", f"l{j}") for i in range(6) for j in range(4)]
+    tokens = rng.integers(500, 1500, len(cells)).astype(float)
+    tokens[[c[1] == "l3" for c in cells]] = 1.0
+    targets = {"source": {f"s{i}": 1.0 for i in range(6)}, "lang": {"l0": 0.4, "l1": 0.3, "l2": 0.2, "l3": 0.1}}
+    m = thin(rake(cells, tokens, targets), cells, tokens, targets, 0.6)
+    p = np.array([min(1.0, m.chances["source"][a] * m.chances["lang"][b]) for a, b in cells])
+    share = lambda k, v: sum(x for c, x in zip(cells, p * tokens, strict=True) if c[k] == v) / (p * tokens).sum()
+    assert abs((p * tokens).sum() / tokens.sum() - 0.6) < 1e-6 and abs(m.rate - 0.6) < 1e-6
+    # l3 is kept whole and misses its share, which the other languages have in proportion; sources are even
+    assert all(x == 1 for c, x in zip(cells, p, strict=True) if c[1] == "l3") and m.unmet["lang"]["l3"][0] == pytest.approx(0.1)
+    assert m.unmet["lang"]["l3"][1] == pytest.approx(share(1, "l3")) and not m.unmet["source"]
+    assert share(1, "l0") / share(1, "l2") == pytest.approx(2, abs=1e-5) and all(abs(share(0, f"s{i}") - 1 / 6) < 1e-6 for i in range(6))
+    # where all shares can be met, weights over the largest one do it
+    even = {"source": targets["source"]}
+    one = [c[:1] for c in cells]
+    m = thin(rake(one, tokens, even), one, tokens, even, 0.6)
+    assert max(m.chances["source"].values()) == pytest.approx(1) and m.rate > 0.6 and not m.unmet["source"]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     docs, labels = [], []
