@@ -17,6 +17,8 @@ from tailwright.llm.quality_rules import quality_rules
 from tailwright.llm.tokens import default_path
 from tailwright.llm.toxicity import fit, score_toxicity
 
+#: Similarity of five-word shingle sets, in percent, from which documents are near copies.
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -38,8 +40,8 @@ def line_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the least id; repeated rows of it are one."""
-    kept = _only(docs, dedup_documents(docs).where("kept"))
+    """One document of each group of near copies (similarity of 0.8 or more), that of the least id; repeated rows of it are one."""
+    kept = _only(docs, dedup_documents(docs, percent=NEAR_PERCENT).where("kept"))
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])

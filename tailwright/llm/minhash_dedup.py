@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +17,31 @@ from .components import connected_components, spanning
 
 SHINGLE = 5
 PERCENT = 85
-BANDS = 32
+#: Probability with which a pair at the threshold shares no band, at most.
+MISS = 3e-7
 #: Permutations in a band; each gives two signature values, its minimum and its maximum.
 BAND_PERMUTATIONS = 3
-#: Estimated similarity under which a pair in one bucket need not be confirmed: five standard
-#: deviations of the estimate (0.026) below the threshold.
-PLAUSIBLE = 0.72
+#: Standard deviations of the estimated similarity that a pair in one bucket may lie below the
+#: threshold and still be confirmed.
+DEVIATIONS = 5
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 
 _ODD = np.random.default_rng(0x5EED).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def bands_for(percent: int, per_band: int = BAND_PERMUTATIONS) -> int:
+    """Bands of which a pair at ``percent`` shares none with a probability of ``MISS`` at most: 32 at 85, 50 at 80."""
+    same = (percent / 100) ** (2 * per_band)
+    return 1 if same >= 1 else math.ceil(math.log(MISS) / math.log1p(-same))
+
+
+def plausible_for(percent: int, values: int) -> float:
+    """The estimate from so many signature values, rounded down, under which a pair need not be confirmed: 0.72 at 85."""
+    p = percent / 100
+    return math.floor(100 * (p - DEVIATIONS * math.sqrt(p * (1 - p) / values))) / 100
+
+
 def shingle_hashes(text: bytes | None, words: WordHashes, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text.
 
@@ -215,9 +229,9 @@ def _confirm_blocks(percent: int, least: float):
 def dedup_documents(
     docs: DataFrame,
     percent: int = PERCENT,
-    bands: int = BANDS,
+    bands: int | None = None,
     per_band: int = BAND_PERMUTATIONS,
-    plausible: float = PLAUSIBLE,
+    plausible: float | None = None,
     ws: Workspace | None = None,
 ) -> DataFrame:
     """Link documents whose sets of 5-word shingles have a Jaccard similarity of ``percent`` or more.
@@ -226,8 +240,9 @@ def dedup_documents(
     row: doc_id, n_shingles, component_id, kept.
 
     Under each permutation a document keeps the minimum and the maximum of its shingles' hashes,
-    so 96 hash evaluations give 192 signature values, banded six by six. A pair at 0.85 shares no
-    band with a probability of about 3e-7. Documents of equal sets become one class. In each bucket
+    so at 85 percent 96 hash evaluations give 192 signature values, banded six by six. Unless given, the
+    number of bands follows from ``percent``, so that a pair at the threshold shares no band with a
+    probability of 3e-7 at most, and so does the estimate below which pairs are not confirmed. Documents of equal sets become one class. In each bucket
     every class is checked against the least one on full sets; then, where a bucket still spans
     several components that sizes and sketches allow to belong together, the members of these
     components meet in blocks, all pairs across components, on full sets: no bucket is capped, no
@@ -239,6 +254,8 @@ def dedup_documents(
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "minhash-dedup")
+    bands = bands_for(percent, per_band) if bands is None else bands
+    plausible = plausible_for(percent, 2 * bands * per_band) if plausible is None else plausible
     arrow_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     signed = ws.save(

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tailwright.llm.common import Workspace
 from tailwright.llm.components import connected_components
 from tailwright.llm.embedding_dedup import dedup_embeddings
-from tailwright.llm.minhash_dedup import dedup_documents, minmax, permutations
+from tailwright.llm.minhash_dedup import bands_for, dedup_documents, minmax, permutations, plausible_for
 
 from .conftest import words
 
@@ -57,6 +58,32 @@ def test_near_copies_against_all_pairs(spark):
     assert len(set(want.values())) < len(docs)
 
 
+def test_bands_and_cut_follow_the_threshold():
+    assert bands_for(85) == 32 and plausible_for(85, 192) == 0.72
+    assert bands_for(80) == 50 and plausible_for(80, 300) == 0.68 and bands_for(100) == 1
+    assert all((1 - (p / 100) ** 6) ** bands_for(p) <= 3e-7 for p in range(50, 100))
+
+
+def test_the_stage_against_all_pairs_around_its_threshold(spark):
+    rng = np.random.default_rng(7)
+    docs = []
+    for g in range(40):
+        base = words(100 + g, 160)
+        docs.append((len(docs), " ".join(base)))
+        # similarity to the base goes down from 0.88 to 0.68
+        changed = list(base)
+        for k in range(2 + g % 5):
+            changed[10 + 25 * k] = f"x{rng.integers(1 << 30)}"
+        docs.append((len(docs), " ".join(changed)))
+    sets = {d: _shingles(t) for d, t in docs}
+    same = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.8 <= x < 0.85 for x in same.values()) >= 8 and sum(0.7 < x < 0.8 for x in same.values()) >= 8
+    want = _groups(sets, [p for p, x in same.items() if x >= 0.8])
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.minhash_dedup(spark, df, "").collect()}
+    assert got == {d for d, root in want.items() if d == root}
+
+
 def test_minmax_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
