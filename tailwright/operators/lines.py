@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ def split_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def line_offsets(lines: DataFrame) -> DataFrame:
+def line_offsets(lines: DataFrame, slices: Sequence[str] = ("file_path",)) -> DataFrame:
     """Adds byte_start and byte_end (behind the newline), relative to the slice. Give it narrow rows."""
-    up_to = Window.partitionBy("file_path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    up_to = Window.partitionBy(*slices).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("byte_len") + 1).over(up_to)
     return lines.withColumn("byte_end", end).withColumn("byte_start", F.col("byte_end") - F.col("byte_len") - 1)
 

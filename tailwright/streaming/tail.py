@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 SCHEMA = "file_path string, start long, content binary"
-#: Bytes of one file that one micro-batch takes at most, in whole lines; longer lines are taken whole.
+#: Bytes of one file that one partition takes at most, in whole lines; longer lines are taken whole.
 RANGE_BYTES = 64 << 20
 
 
@@ -33,6 +33,34 @@ def last_newline(path: str, start: int, size: int) -> int:
     return start
 
 
+def next_newline(path: str, start: int, end: int) -> int:
+    """The position behind the first newline in [start, end), or ``end``."""
+    with open(path, "rb") as f:
+        f.seek(start)
+        at = start
+        while at < end:
+            part = f.read(min(1 << 16, end - at))
+            if not part:
+                break
+            k = part.find(b"\n")
+            if k >= 0:
+                return at + k + 1
+            at += len(part)
+    return end
+
+
+def cut(path: str, start: int, end: int, most: int) -> Iterator[Range]:
+    """[start, end) in ranges of whole lines."""
+    while start < end:
+        to = end
+        if end - start > most:
+            to = last_newline(path, start, start + most)
+            if to == start:
+                to = next_newline(path, start + most, end)
+        yield Range(path, start, to)
+        start = to
+
+
 class TailReader(DataSourceStreamReader):
     """Offsets are newline-aligned sizes by path: a line still being written waits for its end."""
 
@@ -54,10 +82,8 @@ class TailReader(DataSourceStreamReader):
                 size, start = os.path.getsize(path), now.get(path, 0)
                 if size < start:
                     start = 0  # another file under the same name
-                end = last_newline(path, start, min(size, start + self.most))
-                if end == start and size > start + self.most:
-                    end = last_newline(path, start, size)
-                now[path] = end
+                # all there is: a one-shot run asks only once
+                now[path] = last_newline(path, start, size)
             except OSError:
                 continue
         self.seen = now
@@ -71,7 +97,7 @@ class TailReader(DataSourceStreamReader):
         for path, at in sorted(after.items()):
             low = before.get(path, 0)
             if at != low and at > 0:
-                out.append(Range(path, low if at > low else 0, at))
+                out.extend(cut(path, low if at > low else 0, at, self.most))
         return out
 
     def read(self, partition: Range) -> Iterator[tuple]:

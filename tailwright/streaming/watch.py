@@ -14,7 +14,7 @@ from ..operators.dedup import new_records, record_key
 from ..operators.lines import line_offsets, split_lines
 from ..operators.records import parse_lines
 from ..plans.incremental import STORE, Tables
-from .tail import tail
+from .tail import RANGE_BYTES, tail
 
 SECONDS = 60
 
@@ -23,14 +23,14 @@ def store_batch(spark: SparkSession, ranges: DataFrame, repos: DataFrame, tables
     """Store the new records of a micro-batch of byte ranges; known ones, also of a replayed batch, change nothing.
 
     Keys of records without a uuid rest on the byte position of their line, however the file was cut.
+    Lines of a file's ranges are in the order of these positions.
     """
-    lines = line_offsets(split_lines(ranges))
+    lines = line_offsets(split_lines(ranges), ["file_path", "start"]).withColumn("byte_start", F.col("start") + F.col("byte_start")).withColumn("line_no", F.col("byte_start"))
     parsed = parse_lines(lines)
     batches = privacy_gate(project_filter(build_batches(lines, parsed), project), repos)
     rows = (
         parsed.where("valid")
         .join(batches.select("file_path", "session_id", "project_path"), "file_path")
-        .withColumn("byte_start", F.col("start") + F.col("byte_start"))
         .withColumn("record_key", record_key("byte_start"))
         .withColumnRenamed("raw", "record")
     )
@@ -39,7 +39,7 @@ def store_batch(spark: SparkSession, ranges: DataFrame, repos: DataFrame, tables
     rows.join(fresh, ["record_key", "file_path", "byte_start"]).select(*names).write.mode("append").parquet(tables.store)
 
 
-def watch(spark: SparkSession, root: str, repos: Callable[[], DataFrame], tables: Tables, checkpoint: str, project: str | None = None, seconds: int | None = SECONDS) -> StreamingQuery:
+def watch(spark: SparkSession, root: str, repos: Callable[[], DataFrame], tables: Tables, checkpoint: str, project: str | None = None, seconds: int | None = SECONDS, range_bytes: int = RANGE_BYTES) -> StreamingQuery:
     """Start the stream: every ``seconds``, or (None) once over what there is.
 
     The checkpoint moves only after a batch is stored; a batch that failed is read again. ``repos`` is
@@ -50,5 +50,5 @@ def watch(spark: SparkSession, root: str, repos: Callable[[], DataFrame], tables
     def each(ranges: DataFrame, _: int) -> None:
         store_batch(ranges.sparkSession, ranges, repos(), tables, project)
 
-    writer = tail(spark, root).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = tail(spark, root, range_bytes).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()

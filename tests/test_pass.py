@@ -88,3 +88,21 @@ def test_the_stream_stores_what_passes_store(spark, tree):
     other = Tables(f"{tree}/store2", f"{tree}/cursors2", t.work)
     _pass(spark, tree, other)
     assert _store(spark, other) == streamed
+
+
+def test_one_shot_runs_take_whole_files_in_small_ranges(spark, tree):
+    t = _tables(tree)
+    path = tree / "in/-w-app/s5.jsonl"
+    # lines without a uuid rest on their position; one line is longer than a range
+    path.write_bytes(b"".join(_line(f"v{i}") + b'{"cwd":"/w/app"}\n' for i in range(40)) + _line("long", text="x" * 1000))
+    go = lambda: watch(spark, f"{tree}/in", lambda: _repos(spark), t, f"{tree}/checkpoint", seconds=None, range_bytes=200).awaitTermination(120)
+    go()
+    assert len(_store(spark, t)) == 4 + 81
+    with path.open("ab") as f:
+        f.write(b"".join(_line(f"w{i}") for i in range(20)))
+    go()
+    streamed = _store(spark, t)
+    assert len(streamed) == 4 + 101
+    other = Tables(f"{tree}/store2", f"{tree}/cursors2", t.work)
+    _pass(spark, tree, other)
+    assert _store(spark, other) == streamed
