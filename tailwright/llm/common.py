@@ -4,38 +4,61 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of documents handed to a Python worker at once: bounds a batch's memory for long texts.
+#: Rows and bytes of text that a Python worker works on at once. Spark's own batches are bounded by
+#: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) and 10,000 rows.
 BATCH_ROWS = 500
+BATCH_BYTES = 12 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch; long texts would otherwise make batches of gigabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], column: str | None = "text", rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of batches of at most so many rows and, but for a single long text, bytes in ``column`` (None: rows only)."""
+    for batch in batches:
+        if column is None:
+            yield from (batch.slice(s, rows) for s in range(0, batch.num_rows, rows))
+            continue
+        text = batch.column(column)
+        wide = np.int64 if pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type) else np.int32
+        at = np.frombuffer(text.buffers()[1], wide)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, wide)
+        s = 0
+        while s < batch.num_rows:
+            e = min(s + rows, batch.num_rows, max(s + 1, int(np.searchsorted(at, at[s] + size, side="right")) - 1))
+            yield batch.slice(s, e - s)
+            s = e
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where neither that setting nor a checkpoint directory is set, as in local tests, a
-    temporary folder becomes the checkpoint directory.
+    Where neither that setting nor a checkpoint directory is set, a temporary folder becomes the
+    checkpoint directory if everything runs in one process, as in local tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def parts_of(df: DataFrame, size: int = 64 << 20) -> int:
+    """Partitions of about ``size`` bytes by the planner's estimate, as many as the session's shuffle partitions at least."""
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(estimate) // size, 1_000_000))
+
+
 class Workspace:
     """Tables written to the shared folder, to cut lineage: they outlive lost executors."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, each_group
-from .common import Workspace, arrow_rows
+from .common import Workspace, pieces
 from .components import connected_components, spanning
 
 PASSES = 20
@@ -42,7 +42,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches, None, 2000):
         kind = b.schema.field("embedding").type.value_type
         vectors, ok = _vectors(b.column("embedding"))
         label = b.column("label")
@@ -59,7 +59,7 @@ def _keys(passes: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in pieces(batches, None, 2000):
             if not b.num_rows:
                 continue
             dims = np.array([len(v.values) for v in b.column("x")])
@@ -225,7 +225,6 @@ def dedup_embeddings(
     """
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "embedding-dedup")
-    arrow_rows(spark, 2000)
     # single precision is moved as it is; comparing is in double precision
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     cols = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast(kind))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, each_group
-from .common import WordHashes, Workspace, arrow_rows, mix64
+from .common import WordHashes, Workspace, mix64, pieces
 from .components import connected_components, spanning
 
 SHINGLE = 5
@@ -89,7 +89,7 @@ def _signatures(bands: int, per_band: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             if not batch.num_rows:
                 continue
             sets = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
@@ -205,7 +205,7 @@ def _plausible(percent: int, least: float):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = WordHashes()
-    for b in batches:
+    for b in pieces(batches):
         made = [shingle_hashes(t.as_py(), words).tobytes() for t in b.column("text")]
         keep = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(made, pa.binary())], names=[*keep, "shingles"])
@@ -256,7 +256,6 @@ def dedup_documents(
     ws = ws or Workspace(spark, "minhash-dedup")
     bands = bands_for(percent, per_band) if bands is None else bands
     plausible = plausible_for(percent, 2 * bands * per_band) if plausible is None else plausible
-    arrow_rows(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     signed = ws.save(
         texts.mapInArrow(_signatures(bands, per_band), "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary"), "signed"

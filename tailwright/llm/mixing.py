@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_rows
+from .common import Workspace, pieces
 
 TOPICS = 8
 #: Values of a dimension with marginals of their own; the rest, by tokens, share the value ''.
@@ -43,7 +43,7 @@ class _Topics(dict):
 def _measure(topics: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = _Topics(topics)
-        for b in batches:
+        for b in pieces(batches):
             tokens, topic = [], []
             for t in b.column("text"):
                 words = (t.as_py() or b"").split()
@@ -58,7 +58,6 @@ def _measure(topics: int):
 
 def measured(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens (words) and a uniform draw that rests on id and text."""
-    arrow_rows(docs.sparkSession)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) if c in docs.columns else F.lit("unknown")
     draw = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)).alias("draw")
     rows = docs.select(F.col("doc_id").cast("long"), text("source").alias("source"), text("lang").alias("lang"), F.col("text").cast("binary").alias("text"), draw)

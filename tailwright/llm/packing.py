@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_rows
+from .common import Workspace, pieces
 from .tokens import encoder
 
 WINDOW = 2048
@@ -128,23 +128,20 @@ def slots(strategies: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
 def _pieces(tokenizer: str, end_id: int, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, drops_space=True)
-        for batch in batches:
-            doc, start, length, crc, total, kept = [], [], [], [], [], []
-            for d, e in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
-                ids = np.append(e, e.dtype.type(end_id)).astype("<u4")
-                for s in range(0, len(ids), window):
-                    piece = ids[s : s + window]
-                    doc.append(d)
-                    start.append(s)
-                    length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    total.append(len(ids))
-                    if with_ids:
-                        kept.append(piece.astype(np.int64))
-            arrays = [pa.array(v, pa.int64()) for v in (doc, start, length, crc, total)]
+        for batch in pieces(batches, rows=10_000):
+            got, at = coder.encode_flat(batch.column("text"))
+            ids = np.insert(got, at[1:], end_id).astype("<u4")
+            total = np.diff(at) + 1
+            times = -(-total // window)
+            doc = np.repeat(np.arange(len(total)), times)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)) * window
+            length = np.minimum(window, total[doc] - start)
+            place = ((np.cumsum(total) - total)[doc] + start).tolist()
+            parts = [ids[p : p + n] for p, n in zip(place, length.tolist(), strict=True)]
+            arrays = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(total[doc])]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             if with_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int64())))
+                arrays.append(pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -182,7 +179,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "packing")
-    arrow_rows(spark)
     extra = ", ids array<long>" if with_ids else ""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     pieces = ws.save(

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, fold
+from .common import fold, pieces
 
 #: Labelled rows that the ensemble is fitted on at most: half of them of either label.
 FIT_ROWS = 20_000
@@ -61,7 +61,7 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         rows = np.array([statistics(t.as_py()) for t in b.column("text")]).reshape(-1, len(STATISTICS))
         keep = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], names=[*keep, *STATISTICS])
@@ -69,7 +69,6 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_statistics(docs: DataFrame, more: str = "") -> DataFrame:
     """doc_id and the statistics, from doc_id, text and the columns named in the schema ``more``."""
-    arrow_rows(docs.sparkSession)
     names = [x.split()[0] for x in more.split(",") if x.strip()]
     rows = docs.select(F.col("doc_id").cast("long"), *names, F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(_stats, ", ".join(["doc_id long", *([more] if more else []), *(f"{s} double" for s in STATISTICS)]))

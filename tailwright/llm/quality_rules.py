@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import pieces
 
 SYMBOLS = b"#*$%&|<>"
 #: Phrases of boilerplate lines, in lower case.
@@ -133,7 +133,7 @@ _SCHEMA = f"{', '.join(f'{c} long' for c in _LONGS)}, base_failed boolean, kept
 
 def _apply(rules: Rules, cleaned: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             if not batch.num_rows:
                 continue
             cols = list(zip(*(clean(t.as_py(), rules) for t in batch.column("text")), strict=True))
@@ -162,7 +162,6 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = True,
     Null and empty texts have zero counts, fail at the base and clean to ''. Repeated rows get equal
     results; an empty table gives no rows. Texts are never cut; a task holds one batch of them.
     """
-    arrow_rows(docs.sparkSession)
     keep = keep or ["doc_id"]
     kinds = {k: t for k, t in docs.dtypes if k in keep} | {"doc_id": "long"}
     rows = docs.select(*(F.col(k).cast(kinds[k]).alias(f"kept_{k}") for k in keep), F.col("text").cast("binary").alias("text"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, arrow_rows
+from .common import Workspace, parts_of, pieces
 from .tokens import encoder
 
 END_ID = 2
@@ -56,24 +56,23 @@ def _write(folder: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, drops_space=False)
         part = f"part-{TaskContext.get().partitionId():06d}"
-        ids: list[int] = []
-        lengths: list[int] = []
-        end = np.array([end_id], coder.dtype).tobytes()
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
 
         def chunks() -> Iterator[bytes]:
-            for batch in batches:
-                ids.extend(batch.column("doc_id").to_pylist())
-                for e in coder.encode(batch.column("text").to_pylist()):
-                    lengths.append(len(e) + 1)
-                    yield e.tobytes()
-                    yield end
+            for batch in pieces(batches, rows=10_000):
+                got, at = coder.encode_flat(batch.column("text"))
+                ids.append(batch.column("doc_id").to_numpy())
+                lengths.append(np.diff(at) + 1)
+                yield np.insert(got, at[1:], end_id).tobytes()
 
         _place(folder)[0].create_dir(_place(folder)[1], recursive=True)
         _publish(f"{folder}/{part}.bin", chunks())
         if ids:
-            _publish(f"{folder}/{part}.ids", iter([np.array(ids, "<i8").tobytes()]))
-            _publish(f"{folder}/{part}.len", iter([np.array(lengths, "<i8").tobytes()]))
-            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(ids)], "tokens": [sum(lengths)], "bytes_each": [coder.dtype.itemsize]})
+            docs, tokens = sum(map(len, ids)), int(sum(n.sum() for n in lengths))
+            _publish(f"{folder}/{part}.ids", (i.astype("<i8").tobytes() for i in ids))
+            _publish(f"{folder}/{part}.len", (n.astype("<i8").tobytes() for n in lengths))
+            yield pa.RecordBatch.from_pydict({"part": [part], "docs": [docs], "tokens": [tokens], "bytes_each": [coder.dtype.itemsize]})
 
     return run
 
@@ -101,19 +100,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
     """Encode every whole text, with ``end_id`` behind it, into ``folder``; returns the number of ids.
 
     ``docs``: doc_id long, text string; further columns are ignored. Null texts are empty: the end
-    id alone. Rows are in ascending doc_id order, repeated rows side by side, null ids first (as the
-    least 64-bit number). The folder
+    id alone. Rows are in ascending doc_id order, null ids first (in the files, they are the least 64-bit number;
+    ``read_tokens`` gives null for it), rows of equal id in the order of a hash of their text. The folder
     must be one that all executors share. Each part is encoded once; its place in the corpus is the
     sum of the parts before it, one number for each part. An empty table gives no parts.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     ws = ws or Workspace(spark, "token-files")
     least = F.lit(-(2**63)).cast("long")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the hash lets the range cut between rows of one id
     ordered = (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), least).alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
+        rows.withColumn("h", F.xxhash64("text"))
+        .repartitionByRange(parts_of(docs), "doc_id", "h")
+        .sortWithinPartitions("doc_id", "h")
+        .select("doc_id", "text")
     )
     written = ws.save(ordered.mapInArrow(_write(folder, tokenizer, end_id), "part string, docs long, tokens long, bytes_each long"), "parts")
     parts = sorted(written.collect())
@@ -139,7 +140,8 @@ def _read(folder: str, dtype: str, with_ids: bool):
                     wide = data[off[s] - off[0] : off[e] - off[0]].astype("<u4")
                     cut = (off[s : e + 1] - off[s]).tolist()
                     crc = [zlib.crc32(wide[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                    arrays = [pa.array(np.asarray(ids[s:e])), pa.array(np.asarray(off[s:e])), pa.array(np.diff(off[s : e + 1])), pa.array(crc, pa.int64())]
+                    doc_ids = np.asarray(ids[s:e])
+                    arrays = [pa.array(doc_ids, mask=doc_ids == -(2**63)), pa.array(np.asarray(off[s:e])), pa.array(np.diff(off[s : e + 1])), pa.array(crc, pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
                         arrays.append(pa.array([wide[a:b].astype(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int64())))

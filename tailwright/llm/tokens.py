@@ -1,29 +1,70 @@
-"""Encoding texts with a tokenizer file, remembering the ids of the pieces between spaces."""
+"""Encoding texts with a tokenizer file: texts are cut into words in numpy, and each word is encoded once."""
 
 from __future__ import annotations
 
-import gc
 import os
-import re
-from itertools import islice
+from itertools import chain
 
 import numpy as np
-import regex
-
-#: Pieces between spaces, and words inside them, remembered in a worker; about 200 bytes each.
-PIECES = 400_000
-WORDS = 300_000
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Stands between pieces that are split into words together.
-_BETWEEN = "\x01"
-#: How the two kinds of file split a text without apostrophes into words.
-_SPACED = regex.compile(r"\x01| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?![^\s\x01])|\s+")
-_DROPPED = regex.compile(r"\x01|\p{L}+|\p{N}|[^\s\p{L}\p{N}\x01]+")
-
-
-def _plain(text: str) -> bool:
-    """Latin letters without apostrophes, which neither compose nor change their kind in lower case."""
-    return max(text) < "\u0250" and "'" not in text and "\u0130" not in text
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words whose ids a worker remembers (some 40 bytes each), and the longest of them in bytes.
+REMEMBERED = 1_000_000
+LONGEST = 64
+#: Bytes of text that are cut at once.
+SLICE = 12 << 20
+_STRETCH = 1 << 18  # bytes classified at once: what fits a processor's cache
+
+#: Kinds of bytes; those of characters that the rules here do not know for sure are never cut from their neighbours.
+_UNSURE, _SPACE, _LETTER, _DIGIT, _SIGN, _QUOTE = range(6)
+
+
+def _kinds() -> np.ndarray:
+    k = np.full(256, _SIGN, np.uint8)
+    k[28:32] = _UNSURE
+    k[[9, 10, 11, 12, 13, 32]] = _SPACE
+    k[48:58] = _DIGIT
+    k[65:91] = k[97:123] = _LETTER
+    k[39] = _QUOTE
+    k[128:] = _UNSURE
+    k[0xC3:0xCA] = _LETTER  # U+00C0 to U+024F, but for what _stretch takes back
+    return k
+
+
+def _cuts(drops_space: bool) -> np.ndarray:
+    """Between which kinds both sorts of file split a text for sure, before they merge."""
+    cut = np.zeros((8, 8), bool)
+    cut[[_LETTER, _DIGIT, _SIGN, _QUOTE], _SPACE] = True
+    for a, b in ((_LETTER, _DIGIT), (_LETTER, _SIGN), (_DIGIT, _SIGN)):
+        cut[a, b] = cut[b, a] = True
+    cut[[_LETTER, _DIGIT], _QUOTE] = True  # what follows a quote may be a contraction
+    cut[_DIGIT, _DIGIT] = drops_space  # there, each digit stands alone
+    return cut.ravel()
+
+
+_KINDS = _kinds()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[[9, 10, 11, 12, 13]] = 32
+
+
+def _stretch(text: np.ndarray) -> np.ndarray:
+    """The kind of each byte."""
+    k = _KINDS[text]
+    high = np.flatnonzero(text >= 0x80)
+    if len(high):
+        lead = text[high]
+        two = high[(lead >= 0xC3) & (lead <= 0xC9) & (high + 1 < len(text))]
+        first, second = text[two], text[two + 1]
+        kind = np.full(len(two), _LETTER, np.uint8)
+        kind[(first == 0xC3) & ((second == 0x97) | (second == 0xB7))] = _SIGN  # the signs of multiplication and division
+        kind[(first == 0xC4) & (second == 0xB0)] = _UNSURE  # dotted I, two characters in lower case
+        k[two] = k[two + 1] = kind
+        three = high[(lead == 0xE2) & (high + 2 < len(text))]
+        three = three[(text[three + 1] == 0x80) & (text[three + 2] >= 0x90) & (text[three + 2] <= 0xA7)]  # dashes, quotation marks, dots
+        k[three] = k[three + 1] = k[three + 2] = _SIGN
+    return k
 
 
 def default_path(name: str) -> str:
@@ -44,15 +85,20 @@ def encoder(path: str, drops_space: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of many runs, one after another."""
+    end = np.cumsum(lengths)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(starts - end + lengths, lengths)
+
+
 class Encoder:
     """Ids of whole texts, equal to those of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Both kinds of file split a text before they merge, and never across a single space that stands
-    between other characters; so each piece between spaces is encoded once by the library and
-    then remembered. ``drops_space``: the normalizer turns white space into one space and the
-    splitter drops it (word-end vocabularies); otherwise a space belongs to the piece after it, and
-    texts where white space adjoins a space are split at lone spaces only. Strings of special
-    tokens in a text are ordinary text.
+    Both sorts of file split a text into words before they merge, so a word's ids depend on nothing
+    around it. Texts are cut where such a split is certain, with the space ahead of a word left on it; the library encodes
+    each distinct piece once, and a worker remembers the pieces that it met first, in Arrow
+    and numpy arrays. ``drops_space``: the normalizer lower-cases, turns white space into one
+    space, and the splitter drops it (word-end vocabularies). Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str, drops_space: bool):
@@ -64,83 +110,73 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.drops_space = drops_space
-        self.begin: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    @staticmethod
-    def _make_room(known: dict[str, bytes], new: int, most: int) -> None:
-        """Forget the later half: what a worker has met first is what it meets most."""
-        if len(known) + new > most:
-            kept = list(islice(known.items(), most // 2))
-            known.clear()
-            known.update(kept)
-
-    def _encode(self, known: dict[str, bytes], texts: list[str]) -> None:
-        for at in range(0, len(texts), 4096):
-            part = texts[at : at + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, self.dtype).tobytes()
-
-    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        """Ids of new pieces, from the words in them where the split into words is plain, else encoded whole."""
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > PIECES:
-            self._make_room(known, len(new), PIECES)
-            new = [p for p in pieces if p not in known]
-        if not new:
-            return
-        whole: list[str] = []
-        joined = _BETWEEN.join([lead + p for p in new])
-        if not (joined and _plain(joined) and joined.count(_BETWEEN) == len(new) - 1):
-            whole = [p for p in new if not (p and _plain(p) and _BETWEEN not in p)]
-            odd = set(whole)
-            new = [p for p in new if p not in odd]
-            joined = _BETWEEN.join([lead + p for p in new])
-        if new:
-            words = _DROPPED.findall(joined.lower()) if self.drops_space else _SPACED.findall(joined)
-            kinds = set(words)
-            kinds.discard(_BETWEEN)
-            self._make_room(self.words, len(kinds), WORDS)
-            self._encode(self.words, [w for w in kinds if w not in self.words])
-            mark = np.iinfo(self.dtype).max  # no vocabulary is full
-            self.words[_BETWEEN] = np.array([mark], self.dtype).tobytes()
-            ids = b"".join(map(self.words.__getitem__, words))
-            del self.words[_BETWEEN]
-            cut = (np.flatnonzero(np.frombuffer(ids, self.dtype) == mark) * self.dtype.itemsize).tolist()
-            step = self.dtype.itemsize
-            for p, a, b in zip(new, [0, *(c + step for c in cut)], [*cut, len(ids)], strict=True):
-                known[p] = ids[a:b]
-        done: dict[str, bytes] = {}
-        self._encode(done, [lead + p for p in whole])
-        for p in whole:
-            known[p] = done[lead + p]
-
-    def _split(self, texts: list[str | None]) -> list[list[str]]:
-        split = [t.split(" ") if t else [] for t in texts]
-        # white space beside a space: only lone spaces are sure to be boundaries
-        odd = {p for p in set().union(*split) if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            split = [s if odd.isdisjoint(s) else _LONE_SPACE.split(t) for t, s in zip(texts, split, strict=True)]
-        return split
+        self.cut = _cuts(drops_space)
+        self.known = pa.array([], pa.binary())
+        self.ids = np.zeros(0, self.dtype)
+        self.lengths = np.zeros(0, np.int64)
+
+    def _pieces(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where each piece of the texts that begin at ``starts`` begins."""
+        cut = np.empty(len(text), bool)
+        for s in range(0, len(text), _STRETCH):
+            lo = max(0, s - 4)  # a character before tells the kind of what it ends with
+            kind = _stretch(text[lo : s + _STRETCH + 4])[s - lo :][:_STRETCH]
+            last = _stretch(text[lo:s])[-1] if s else np.uint8(_UNSURE)
+            pair = kind.astype(np.uint8)
+            pair[1:] |= kind[:-1] << 3
+            pair[0] |= last << 3
+            np.take(self.cut, pair, out=cut[s : s + _STRETCH])
+        cut[starts] = True
+        return np.flatnonzero(cut)
+
+    def _encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        flat, lengths = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for s in range(0, len(pieces), 4096):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.slice(s, 4096).cast(pa.string()).to_pylist(), add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter(chain.from_iterable(got), self.dtype, int(lengths[-1].sum())))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the pieces, and by code the ids' lengths and starts; new ones are encoded and remembered."""
+        coded = pa.concat_arrays([self.known, pieces]).dictionary_encode()
+        codes, n = coded.indices.to_numpy()[len(self.known) :], len(self.known)
+        new = coded.dictionary.slice(n)
+        ids, lengths = self._encode(new)
+        all_lengths = np.concatenate([self.lengths, lengths])
+        starts = np.cumsum(all_lengths) - all_lengths
+        self.flat = np.concatenate([self.ids, ids])
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        keep = np.flatnonzero(short.to_numpy(zero_copy_only=False))
+        room = REMEMBERED - n
+        if len(keep) > room:  # forget the later half: what a worker has met first is what it meets most
+            half = min(n, REMEMBERED // 2)
+            self.known, self.lengths = self.known.slice(0, half), self.lengths[:half]
+            self.ids = self.flat[: int(self.lengths.sum())]
+            keep = keep[: REMEMBERED - half]
+        self.known = pa.concat_arrays([self.known, new.take(pa.array(keep))])
+        self.ids = np.concatenate([self.ids, self.flat[ragged(starts[n + keep], lengths[keep])]])
+        self.lengths = np.concatenate([self.lengths, lengths[keep]])
+        return codes, all_lengths, starts
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin, with the end. Null texts are empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if not len(texts) or at[-1] == at[0]:
+            return np.zeros(0, self.dtype), np.zeros(len(texts) + 1, np.int64)
+        text = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        if self.drops_space:
+            text = _LOWER[text]
+        begins = self._pieces(text, at[:-1][at[:-1] < len(text)])
+        offsets = pa.py_buffer(np.append(begins, len(text)).astype(np.int32))
+        codes, lengths, starts = self._look_up(pa.Array.from_buffers(pa.binary(), len(begins), [None, offsets, pa.py_buffer(text)]))
+        n = lengths[codes]
+        ids = self.flat[ragged(starts[codes], n)]
+        before = np.concatenate([[0], np.cumsum(n)])
+        return ids, before[np.searchsorted(begins, at)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        on = gc.isenabled()
-        gc.disable()  # the many short lists in here hold no cycles
-        try:
-            return self._encode_texts(texts)
-        finally:
-            if on:
-                gc.enable()
-
-    def _encode_texts(self, texts: list[str | None]) -> list[np.ndarray]:
-        if self.drops_space:
-            split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-            self._learn(self.later, set().union(*split), "")
-            get = self.later.__getitem__
-            return [np.frombuffer(b"".join(map(get, s)), self.dtype) for s in split]
-        split = self._split(texts)
-        self._learn(self.begin, {s[0] for s in split if s}, "")
-        self._learn(self.later, {p for s in split for p in s[1:]}, " ")
-        get = self.later.__getitem__
-        return [np.frombuffer(b"".join([self.begin[s[0]], *map(get, s[1:])]) if s else b"", self.dtype) for s in split]
+        ids, at = self.encode_flat(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import pieces
 from .token_files import _place, _publish
 
 VERSION = "WARC/1.1"
@@ -164,7 +164,7 @@ def derive_one(source_id: str, uri: str | None, date: str, block: bytes | None)
 
 def _derive(keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "block"):
             rows = [batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "block")]
             at, made = [], []
             for k, (i, u, d, b) in enumerate(zip(*rows, strict=True)):
@@ -195,7 +195,6 @@ def derive(responses: DataFrame, keep: dict[str, str] | None = None) -> DataFram
     Null ids get '<urn:uuid:...>' of the target, null dates ``DATE``; null targets leave their headers
     out; null blocks have an empty payload. An empty table gives no rows.
     """
-    arrow_rows(responses.sparkSession)
     keep = keep or {}
     rows = responses.select(
         *(F.col(k).cast(t) for k, t in keep.items()),
@@ -268,7 +267,6 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the .warc and .warc.gz files under a path: record_id, record_type, refers_to, target_uri, date, block."""
-    arrow_rows(spark, 1)
     names = ["record_id", "record_type", "refers_to", "target_uri", "date", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
