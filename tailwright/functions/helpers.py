@@ -62,7 +62,14 @@ def dump(value) -> str:
         return number(float(value))
     if isinstance(value, list):
         return f"[{','.join(map(dump, value))}]"
-    return "{" + ",".join(f"{_string(k)}:{dump(v)}" for k, v in value.items()) + "}"
+    keys = value
+    if any(map(_index, value)):  # keys that are array indices come first, by size
+        keys = [*sorted(filter(_index, value), key=int), *(k for k in value if not _index(k))]
+    return "{" + ",".join(f"{_string(k)}:{dump(value[k])}" for k in keys) + "}"
+
+
+def _index(key: str) -> bool:
+    return key.isascii() and key.isdigit() and (key == "0" or key[0] != "0") and int(key) < (1 << 32) - 1
 
 
 def width(s: str) -> int:
@@ -104,6 +111,12 @@ def fit_records(request: int, first: int, second: int):
     return run
 
 
+@F.pandas_udf(T.StringType())
+def compacted(raw: pd.Series) -> pd.Series:
+    """Records as serialising their values gives them; null in, null out."""
+    return pd.Series([None if x is None else dump(parse(x)) for x in raw], dtype=object)
+
+
 _LOOK = T.StructType([T.StructField(n, T.StringType()) for n in ("uuid", "cwd", "git_branch")] + [T.StructField("valid", T.BooleanType())])
 
 

@@ -42,18 +42,40 @@ def shed_string(c: Column, most: int) -> Column:
     return F.when(F.octet_length(c) > most, F.concat(head, F.lit(MARK[0]), lost, F.lit(MARK[1]))).otherwise(c)
 
 
-def is_json(c: Column) -> Column:
+#: Stands behind a value that is checked; text that holds it is checked another way.
+_AFTER = "~after~the~value~"
+
+
+def wrapped(c: Column) -> Column:
+    """The text in an array, ahead of a mark, parsed; null where that is no JSON. One parse serves check and fields."""
+    return F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_AFTER}"]')))
+
+
+def is_json(c: Column, parsed: Column) -> Column:
     """True for exactly one JSON value, as a strict parser sees it; very deep or long values may be missed.
 
-    The parser itself accepts text after a value. A value that is whole inside an array and inside an
-    object, and alone in the array, has none.
+    The parser itself accepts text after a value. A value that is followed by the mark, and the
+    mark by nothing, stands alone.
     """
-    one = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    two = F.try_parse_json(F.concat(F.lit('{"r":'), c, F.lit("}")))
-    return one.isNotNull() & two.isNotNull() & F.try_variant_get(one, "$[1]", "variant").isNull()
+    alone = (F.try_variant_get(parsed, "$[1]", "string") == _AFTER) & F.try_variant_get(parsed, "$[2]", "variant").isNull()
+    return F.coalesce(alone & ~F.contains(c, F.lit(_AFTER)), F.lit(False))
+
 
+def string_field(parsed: Column, name: str) -> Column:
+    """A field of a wrapped object if it is a non-empty string, else null: 5 is no path."""
+    kind = F.schema_of_variant(F.try_variant_get(parsed, f"$[0].{name}", "variant"))
+    return F.when(kind == "STRING", non_empty(F.try_variant_get(parsed, f"$[0].{name}", "string")))
 
-def string_field(variant: Column, name: str) -> Column:
-    """A field of an object if it is a non-empty string, else null: 5 is no path."""
-    kind = F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant"))
-    return F.when(kind == "STRING", non_empty(F.try_variant_get(variant, f"$.{name}", "string")))
+
+#: Where text may differ from what serialising its value gives: escapes by number, numbers with a fraction, an exponent,
+#: many digits or a sign before zero, and keys that are numbers.
+_UNLIKE = r'\\u|(^|[:\[,])(-0|-?[0-9]+[.eE]|-?[0-9]{16})|"[0-9]+":'
+
+
+def is_compact(c: Column, parsed: Column) -> Column:
+    """True where the text is for sure what serialising its value gives: no white space, repeated keys or odd escapes.
+
+    All these make the text longer than the value's compact form, but for what ``_UNLIKE`` finds.
+    """
+    size = F.octet_length(F.to_json(F.try_variant_get(parsed, "$[0]", "variant")))
+    return F.coalesce((F.octet_length(c) == size) & ~F.rlike(c, F.lit(_UNLIKE)), F.lit(False))

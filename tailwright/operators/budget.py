@@ -18,15 +18,16 @@ REQUEST_RECORDS = 1_000
 def prepare_records(records: DataFrame, record_bytes: int = RECORD_BYTES, request_bytes: int = REQUEST_BYTES, first_cap: int = FIRST_CAP, second_cap: int = SECOND_CAP) -> DataFrame:
     """Cut the long strings of records over ``record_bytes``; ``record``, ``wire_bytes`` and ``shed`` for all.
 
-    If a cut record is still over ``request_bytes`` it is cut again, shorter. Only oversized records
+    ``records``: their compact text as record (or, where there is none, as raw), and its wire_bytes. If a cut record is still over ``request_bytes`` it is cut again, shorter. Only oversized records
     reach Python. ``shed`` marks what was over the budget, changed or not.
     """
     over = F.col("shed")
-    cut = fit_records(request_bytes, first_cap, second_cap)(F.when(over, F.col("raw")))
+    text = F.col("record" if "record" in records.columns else "raw")
+    cut = fit_records(request_bytes, first_cap, second_cap)(F.when(over, text))
     return (
         records.withColumn("shed", F.col("wire_bytes") > record_bytes)
         .withColumn("cut", cut)
-        .withColumn("record", F.when(over, F.col("cut.record")).otherwise(F.col("raw")))
+        .withColumn("record", F.when(over, F.col("cut.record")).otherwise(text))
         .withColumn("wire_bytes", F.when(over, F.col("cut.wire_bytes")).otherwise(F.col("wire_bytes")).cast("long"))
         .drop("cut", "raw")
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def classify_outcomes(attempts: DataFrame, most: int = 4) -> DataFrame:
-    """request_id, attempts, status and outcome (ok, permanent, transient) of the attempt that decided.
+def classify_outcomes(attempts: DataFrame, most: int = 4, by: Sequence[str] = ("request_id",)) -> DataFrame:
+    """Of each request (by default its request_id): attempts, status and outcome (ok, permanent, transient) of the attempt that decided.
 
     2xx is success; 4xx but 429 fails for good; anything else, no answer included, is tried again up
     to ``most`` attempts. Attempts after a decision do not count.
@@ -21,26 +23,30 @@ def classify_outcomes(attempts: DataFrame, most: int = 4) -> DataFrame:
     decided = F.expr("min_by(struct(attempt, status, kind), attempt) FILTER (WHERE kind <> 'transient')")
     last = F.expr("max_by(struct(attempt, status, kind), attempt)")
     return (
-        rows.groupBy("request_id")
+        rows.groupBy(*by)
         .agg(F.coalesce(decided, last).alias("d"))
-        .select("request_id", F.col("d.attempt").alias("attempts"), F.col("d.status").alias("status"), F.col("d.kind").alias("outcome"))
+        .select(*by, F.col("d.attempt").alias("attempts"), F.col("d.status").alias("status"), F.col("d.kind").alias("outcome"))
     )
 
 
 def file_results(outcomes: DataFrame) -> DataFrame:
-    """Per file: ok if all chunks succeeded, and what the chunks before the first failure stored."""
+    """Per file: ok if all chunks succeeded, and what the chunks before the first failure stored.
+
+    If ``outcomes`` have an error, that of the first failure goes along.
+    """
     ok = F.col("status").between(200, 299)
     failed = outcomes.groupBy("file_path").agg(
         F.min(F.when(~F.coalesce(ok, F.lit(False)), F.col("chunk_no"))).alias("first_failed"),
         F.count("*").alias("chunks"),
     )
     counted = F.col("first_failed").isNull() | (F.col("chunk_no") < F.col("first_failed"))
+    error = [F.max(F.when(F.col("chunk_no") == F.col("first_failed"), F.col("error"))).alias("error")] if "error" in outcomes.columns else []
     total = lambda c: F.coalesce(F.sum(F.when(counted, F.col(c))), F.lit(0)).cast("long").alias(c)
     return (
         outcomes.join(failed, "file_path")
         .groupBy("file_path", "first_failed", "chunks")
-        .agg(total("inserted"), total("deduped"))
-        .select("file_path", F.col("first_failed").isNull().alias("ok"), "chunks", "inserted", "deduped", "first_failed")
+        .agg(total("inserted"), total("deduped"), *error)
+        .select("file_path", F.col("first_failed").isNull().alias("ok"), "chunks", "inserted", "deduped", "first_failed", *(["error"] if error else []))
     )
 
 

@@ -1,22 +1,26 @@
-"""One incremental pass: from files and cursors to stored records, new cursors and a summary."""
+"""One incremental pass: from files and cursors to delivered requests, stored records, new cursors and a summary."""
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import prepare_session
-from ..operators.batches import build_batches, privacy_gate, project_filter, run_summary
-from ..operators.cursors import merge_cursors
-from ..operators.dedup import dedup_counts, new_records, record_key
-from ..operators.lines import batch_sha256, line_offsets, split_lines
-from ..operators.records import parse_lines
-from ..sources.transcripts import load_cursors, slice_at_cursor
+from ..functions.text import decode_project_dir, session_id
+from ..operators.batches import dry_run, privacy_gate, project_filter, run_summary
+from ..operators.budget import FIRST_CAP, RECORD_BYTES, REQUEST_BYTES, REQUEST_RECORDS, SECOND_CAP, assemble_chunks, pack_chunks, prepare_records
+from ..operators.cursors import classify_outcomes, file_results, merge_cursors
+from ..operators.dedup import new_records, record_key
+from ..operators.identity import build_requests
+from ..operators.records import mark_lines, serialise
+from ..sources.transcripts import load_cursors, new_ranges, read_lines, save_cursors
 
 STORE = "record_key string, uuid string, session_id string, project_path string, file_path string, byte_start long, record string"
+REQUEST = "file_path string, chunk_no long, body string"
 
 
 @dataclass
@@ -31,6 +35,27 @@ class Tables:
         return read_or_empty(spark, self.store, STORE)
 
 
+@dataclass
+class Limits:
+    """Budgets of records and requests."""
+
+    record_bytes: int = RECORD_BYTES
+    request_bytes: int = REQUEST_BYTES
+    first_cap: int = FIRST_CAP
+    second_cap: int = SECOND_CAP
+    request_records: int = REQUEST_RECORDS
+    attempts: int = 4
+
+
+@dataclass
+class Sender:
+    """Who sends, and how: ``deliver`` takes requests (file_path, chunk_no, body) and gives attempts (file_path, chunk_no, attempt, status)."""
+
+    machine: dict[str, str | None] = field(default_factory=lambda: {"fingerprint": "unknown"})
+    account: dict[str, str | None] = field(default_factory=lambda: {"vendorAccountId": "username:unknown"})
+    deliver: Callable[[DataFrame], DataFrame] | None = None
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 
@@ -42,20 +67,61 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def gated_batches(lines: DataFrame, repos: DataFrame, project: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Batches that pass filter and gate, and the parsed lines of all files."""
-    parsed = parse_lines(lines)
-    return privacy_gate(project_filter(build_batches(lines, parsed), project), repos), parsed
+def accepted(requests: DataFrame) -> DataFrame:
+    """Attempts of a receiver that takes every request at once."""
+    return requests.select("file_path", "chunk_no", F.lit(1).alias("attempt"), F.lit(200).alias("status"))
 
 
-def run_pass(spark: SparkSession, files: DataFrame, repos: DataFrame, tables: Tables, project: str | None = None, on_shrink: str = "restart", commit_cursors: bool = True) -> DataFrame:
-    """Store what is new in ``files`` and return the summary.
+def file_batches(marked: DataFrame) -> DataFrame:
+    """Counts, attribution, digest and extent of each file with a valid record, in one aggregate without payload.
 
-    Gates come before payload moves: only records of gated files are joined and stored. New records
-    are written first and cursors after them, so a pass that dies between the two is repeated, and
-    finds its records known. ``commit_cursors=False`` stops there, as such a pass would.
+    ``marked``: lines as ``read_lines`` gives them, marked by ``mark_lines``; the row with a sha256 is the range's end.
     """
+    line = F.col("sha256").isNull()
+    first = lambda c: F.min_by(F.struct(c), F.when(F.col(c).isNotNull(), F.col("line_no")))[c]
+    last = lambda c: F.max_by(F.struct(c), F.when(F.col(c).isNotNull(), F.col("line_no")))[c]
+    return (
+        marked.groupBy("file_path", "start", "lines_before")
+        .agg(
+            F.count_if(line & F.col("valid")).alias("record_count"),
+            F.count_if(line & ~F.col("blank") & ~F.col("valid")).alias("skipped_lines"),
+            first("cwd").alias("cwd"),
+            last("git_branch").alias("git_branch"),
+            F.max("sha256").alias("sha256"),
+            F.max(F.when(~line, F.col("byte_start") - F.col("start"))).alias("new_bytes"),
+            F.max(F.when(~line, F.col("line_no"))).alias("new_lines"),
+        )
+        .where("record_count > 0")
+        .withColumn("session_id", session_id(F.col("file_path")))
+        .withColumn("project_path", F.coalesce("cwd", decode_project_dir(F.col("file_path"))))
+        .drop("cwd")
+    )
+
+
+def gated_batches(ranges: DataFrame, repos: DataFrame, project: str | None = None) -> DataFrame:
+    """Batches of the ranges that pass filter and gate: all that is shuffled before the gate are counts."""
+    return privacy_gate(project_filter(file_batches(mark_lines(read_lines(ranges))), project), repos)
+
+
+def _struct(values: dict[str, str | None]):
+    return F.struct(*(F.lit(v).cast("string").alias(k) for k, v in values.items()))
+
+
+def run_pass(
+    spark: SparkSession, files: DataFrame, repos: DataFrame, tables: Tables, project: str | None = None, on_shrink: str = "restart",
+    sender: Sender | None = None, limits: Limits | None = None, dry: bool = False, commit_cursors: bool = True,
+) -> DataFrame:
+    """Deliver and store what is new in ``files`` (file_path, length) and return the summary.
+
+    Only new bytes are read, where they lie: first for the counts that the gate needs, then those of gated
+    files for their records. These are cut to their budgets, packed and sent as requests, which ``work``
+    keeps; a file's chunks count up to its first failure, and its cursor moves only if none failed. Records
+    of delivered chunks that the store does not know are stored first and cursors moved after them, so a pass
+    that dies between the two is repeated, and finds its records known. ``commit_cursors=False`` stops there, as such a
+    pass would. ``dry``: return what would be sent of each file, and write nothing but work tables.
+    """
     prepare_session(spark)
+    sender, limits = sender or Sender(), limits or Limits()
     at = f"{tables.work}/{uuid.uuid4().hex[:12]}"
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -63,24 +129,41 @@ def run_pass(spark: SparkSession, files: DataFrame, repos: DataFrame, tables: Ta
         return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
     cursors = load_cursors(spark, tables.cursors)
-    sliced = slice_at_cursor(files, cursors, on_shrink)
-    batches, parsed = gated_batches(line_offsets(split_lines(sliced)), repos, project)
-    batches = keep(batches.join(batch_sha256(sliced).select("file_path", "sha256"), "file_path").join(sliced.select("file_path", "start", "lines_before"), "file_path"), "batches")
-    rows = parsed.where("valid").join(batches.select("file_path", "session_id", "project_path"), "file_path")
-    rows = rows.withColumn("byte_start", F.col("start") + F.col("byte_start")).withColumn("record_key", record_key("byte_start"))
-    rows = keep(rows.select("record_key", "uuid", "session_id", "project_path", "file_path", "byte_start", F.col("raw").alias("record")), "rows")
-    store = tables.stored(spark)
-    fresh = keep(new_records(rows.select("record_key", "file_path", "byte_start"), store, "byte_start"), "fresh")
-    results = keep(dedup_counts(rows, fresh).withColumn("ok", F.lit(True)), "results")
-    rows.join(fresh, ["record_key", "file_path", "byte_start"]).select(*[c.split()[0] for c in STORE.split(", ")]).write.mode("append").parquet(tables.store)
+    ranges = keep(new_ranges(files, cursors, on_shrink), "ranges")
+    batches = keep(gated_batches(ranges, repos, project), "batches")
+    if dry:
+        return dry_run(batches)
+    # up to the bytes that were counted, even if a file has grown since
+    consumed = batches.select("file_path", "start", (F.col("start") + F.col("new_bytes")).alias("end"), "lines_before")
+    rows = serialise(mark_lines(read_lines(consumed).where("sha256 is null"))).withColumn("record_key", record_key("byte_start"))
+    prepared = keep(prepare_records(rows, limits.record_bytes, limits.request_bytes, limits.first_cap, limits.second_cap), "prepared")
+    chunks = keep(pack_chunks(prepared, limits.request_bytes, limits.request_records), "chunks")
+    about = batches.select("file_path", "session_id", "project_path", "git_remote", "git_branch", "sha256")
+    requests = keep(build_requests(assemble_chunks(prepared, chunks), about, _struct(sender.machine), _struct(sender.account)), "requests")
+    attempts = keep((sender.deliver or accepted)(requests), "attempts")
+    decided = classify_outcomes(attempts, limits.attempts, ("file_path", "chunk_no"))
+    # a request without any attempt has failed
+    decided = keep(chunks.select("file_path", "chunk_no").distinct().join(decided, ["file_path", "chunk_no"], "left").withColumn("ok", F.coalesce(F.col("outcome") == "ok", F.lit(False))), "decided")
+    failed = decided.where("not ok").groupBy("file_path").agg(F.min("chunk_no").alias("first_failed"))
+    placed = prepared.select("record_key", "uuid", "file_path", "line_no", "byte_start").join(chunks, ["file_path", "line_no"]).join(failed, "file_path", "left")
+    sent = keep(placed.where("first_failed is null or chunk_no < first_failed").drop("first_failed"), "sent")
+    fresh = keep(new_records(sent.select("record_key", "file_path", "byte_start"), tables.stored(spark), "byte_start"), "fresh")
+    got = sent.join(fresh.withColumn("new", F.lit(1)), ["record_key", "file_path", "byte_start"], "left").groupBy("file_path", "chunk_no").agg(
+        F.count("new").alias("inserted"), (F.count("*") - F.count("new")).alias("deduped")
+    )
+    error = F.when(~F.col("ok"), F.concat(F.coalesce("outcome", F.lit("not sent")), F.lit(" failure, status "), F.coalesce(F.col("status").cast("string"), F.lit("none")), F.lit(", chunk "), F.col("chunk_no").cast("string")))
+    outcomes = decided.join(got, ["file_path", "chunk_no"], "left").select("file_path", "chunk_no", F.when(F.col("ok"), F.lit(200)).otherwise(F.lit(500)).alias("status"), "inserted", "deduped", error.alias("error"))
+    results = keep(file_results(outcomes), "results")
+    names = [c.split()[0] for c in STORE.split(", ")]
+    stored = prepared.join(fresh, ["record_key", "file_path", "byte_start"]).join(batches.select("file_path", "session_id", "project_path"), "file_path")
+    stored.select(*names).write.mode("append").parquet(tables.store)
     if commit_cursors:
-        moved = batches.select(
+        moved = batches.join(results.where("ok"), "file_path", "left_semi").select(
             "file_path",
             (F.col("start") + F.col("new_bytes")).alias("bytes_uploaded"),
             (F.col("lines_before") + F.col("new_lines")).alias("lines_uploaded"),
             F.col("sha256").alias("sha256_of_last_upload"),
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("last_run_at"),
         )
-        # written aside first: the old table is being read
-        keep(merge_cursors(cursors, moved), "cursors").write.mode("overwrite").parquet(tables.cursors)
+        save_cursors(merge_cursors(cursors, moved), tables.cursors)
     return run_summary(batches, results)

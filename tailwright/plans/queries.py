@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import prepare_session
+from ..functions.session import prepare_session, work_folder
 from ..functions.text import decode_project_dir, session_id, shed_string
 from ..operators.batches import counts, dry_run, format_summary, privacy_gate, project_filter, run_summary
 from ..operators.budget import assemble_chunks, pack_chunks, prepare_records
 from ..operators.cursors import classify_outcomes, file_results, merge_cursors
 from ..operators.dedup import dedup_batches, dedup_counts, new_records, record_key
 from ..operators.identity import build_requests, machine_fingerprint, resolve_account
-from ..operators.lines import batch_sha256, line_offsets, non_blank, split_lines
+from ..operators.lines import batch_sha256, consumed_bytes, line_offsets, non_blank, split_lines
 from ..operators.records import parse_lines, parse_records
 from ..sources.transcripts import slice_at_cursor, valid_cursors
+from ..sources.files import write_once
+from ..sources.transcripts import read_transcripts
+from ..streaming.tail import tail
+from ..streaming.watch import watch
 from .fixtures import fixture, nested, with_fixtures
+from .incremental import Tables
 
 #: Budgets that make small tables exercise every branch.
 REQUEST, RECORD, FIRST, SECOND, COUNT = 1500, 1200, 400, 100, 3
@@ -366,3 +373,64 @@ def summary_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {GATED} SELECT session_id, record_count, skipped_lines, project_path FROM gated")
 def dry_run_of_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dry_run(privacy_gate(_batches(spark, sf_dir), fixture(spark, sf_dir, "repos")))
+
+
+def _files_written(spark: SparkSession, sf_dir: str) -> str:
+    """The document files as real files in the shared folder; returns their root."""
+    root = work_folder(spark, "transcripts")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                write_once(root + r["file_path"], r["content"], str(TaskContext.get().taskAttemptId()))
+            yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
+
+    _doc_files(spark, sf_dir).select("file_path", "content").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
+def _under(root: str):
+    """The path of a file below the root, as the fixtures name it."""
+    return F.concat(F.lit("/t/"), F.element_at(F.split(F.col("file_path"), "/t/"), -1))
+
+
+@query("SELECT file_path, CAST(strlen(content) AS BIGINT) AS length, sha256(content) AS sha256 FROM doc_files")
+def transcripts_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _files_written(spark, sf_dir)
+    return read_transcripts(spark, root).select(_under(root).alias("file_path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query(
+    f"""WITH {DOC_LINES}, joined AS (SELECT file_path, concat(string_agg(raw, chr(10) ORDER BY line_no), chr(10)) AS used FROM split GROUP BY file_path)
+SELECT file_path, CAST(0 AS BIGINT) AS start, CAST(strlen(used) AS BIGINT) AS consumed, sha256(used) AS sha256 FROM joined"""
+)
+def transcripts_tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a one-shot stream reads of new files: all bytes up to the last newline."""
+    root, out = _files_written(spark, sf_dir), work_folder(spark, "tailed")
+    rows = tail(spark, root).select(_under(root).alias("file_path"), "start", consumed_bytes().alias("consumed"), F.sha2("content", 256).alias("sha256"))
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@query(
+    f"""WITH {GATED}, kept AS (
+  SELECT coalesce(p.uuid, concat(p.file_path, '#', p.line_no)) AS k FROM parsed p JOIN gated g ON g.file_path = p.file_path WHERE valid)
+SELECT count(DISTINCT k) AS stored FROM kept"""
+)
+def transcripts_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in the store after two one-shot runs over the files of ``lines``, the second one with nothing new."""
+    root, at = work_folder(spark, "watched"), work_folder(spark, "watch")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                write_once(root + r["file_path"], r["content"].encode(), str(TaskContext.get().taskAttemptId()))
+            yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
+
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
+    files = _lines(spark, sf_dir).groupBy("file_path").agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("content"))
+    files.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    tables = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work")
+    for _ in range(2):
+        watch(spark, root, lambda: fixture(spark, sf_dir, "repos"), tables, f"{at}/checkpoint", seconds=None).awaitTermination()
+    return tables.stored(spark).agg(F.count("*").alias("stored"))

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import read_range
+
 CURSOR = "file_path string, bytes_uploaded long, lines_uploaded long, sha256_of_last_upload string, last_run_at string"
 
 
+def list_transcripts(spark: SparkSession, root: str) -> DataFrame:
+    """file_path and length of all files under ``root`` whose names end in .jsonl; no content is read."""
+    return read_transcripts(spark, root).drop("content")
+
+
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root`` whose names end in .jsonl, as file_path, content, length; none if it is missing.
 
-    Names that begin with a dot or an underscore are hidden from Spark. A file is one row: files near
-    2 GB belong to the ``transcript_tail`` stream, which reads byte ranges.
+    Names that begin with a dot or an underscore are hidden from Spark. A file is one row, of 2 GB at most;
+    passes take ``list_transcripts``, of any size, and read byte ranges.
     """
     try:
         files = (
@@ -33,31 +46,109 @@ def valid_cursors(cursors: DataFrame) -> DataFrame:
 
 
 def load_cursors(spark: SparkSession, path: str) -> DataFrame:
-    """The cursor table stored at a path; an absent or unreadable one is empty."""
-    try:
-        return valid_cursors(spark.read.schema(CURSOR).parquet(path))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    """The newest whole cursor table stored at a path; absent and unreadable ones are empty, damaged files are left out."""
+    whole = [v for v, done in _versions(spark, path) if done]
+    if not whole:
         return spark.createDataFrame([], CURSOR)
+    return valid_cursors(spark.read.schema(CURSOR).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(f"{path}/{max(whole)}"))
 
 
-def slice_at_cursor(files: DataFrame, cursors: DataFrame, on_shrink: str = "restart") -> DataFrame:
-    """file_path, content past the cursor, start, lines_before; files with nothing new drop out.
+def save_cursors(cursors: DataFrame, path: str) -> None:
+    """Store the table beside the one before it, which counts until this one is whole; older ones go."""
+    spark = cursors.sparkSession
+    before = [v for v, _ in _versions(spark, path)]
+    number = max((int(v.split("-")[0]) for v in before), default=0) + 1
+    cursors.write.parquet(f"{path}/{number:012d}-{uuid.uuid4().hex[:8]}")
+    for v in sorted(before)[:-1]:
+        store, at = _hadoop(spark, f"{path}/{v}")
+        store.delete(at, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Names of the tables at a path, and whether each is whole."""
+    store, at = _hadoop(spark, path)
+    try:
+        names = [s.getPath().getName() for s in store.listStatus(at) if s.isDirectory()] if store.exists(at) else []
+        return [(n, store.exists(_hadoop(spark, f"{path}/{n}/_SUCCESS")[1])) for n in names if n[:12].isdigit()]
+    except Py4JError:
+        return []
+
+
+def new_ranges(files: DataFrame, cursors: DataFrame, on_shrink: str = "restart") -> DataFrame:
+    """file_path, start, end (the file's length) and lines_before of files with new bytes; only narrow rows meet.
 
     A file shorter than its cursor is read from the start again ("restart"), or left alone until it
     has grown past it ("skip").
     """
     if on_shrink not in ("restart", "skip"):
         raise ValueError(on_shrink)
-    size = F.octet_length("content").cast("long")
-    at = F.coalesce("bytes_uploaded", F.lit(0).cast("long"))
-    shrunk = at > size
-    start = F.when(shrunk, F.lit(0).cast("long") if on_shrink == "restart" else size).otherwise(at)
-    before = F.when(shrunk, F.lit(0).cast("long")).otherwise(F.coalesce("lines_uploaded", F.lit(0).cast("long")))
-    joined = files.select("file_path", F.col("content").cast("binary")).join(cursors.select("file_path", "bytes_uploaded", "lines_uploaded"), "file_path", "left")
-    return (
-        joined.select("file_path", "content", start.alias("start"), before.alias("lines_before"), size.alias("size"))
-        .where("start < size")
-        .select("file_path", F.expr("substring(content, CAST(start AS INT) + 1)").alias("content"), "start", "lines_before")
-    )
+    zero, size = F.lit(0).cast("long"), F.col("length").cast("long")
+    at = F.coalesce("bytes_uploaded", zero)
+    start = F.when(at > size, zero if on_shrink == "restart" else size).otherwise(at)
+    before = F.when(at > size, zero).otherwise(F.coalesce("lines_uploaded", zero))
+    joined = files.select("file_path", "length").join(cursors.select("file_path", "bytes_uploaded", "lines_uploaded"), "file_path", "left")
+    return joined.select("file_path", start.alias("start"), size.alias("end"), before.alias("lines_before")).where("start < end")
+
+
+LINES = "file_path string, start long, lines_before long, line_no long, byte_start long, byte_len long, raw string, sha256 string"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.string()]
+    names = [c.split()[0] for c in LINES.split(", ")]
+    for batch in batches:
+        for row in batch.to_pylist():
+            path, first, before = row["file_path"], row["start"], row["lines_before"]
+            sha, no, at = hashlib.sha256(), 0, first
+            held: list[bytes] = []  # of a line whose end is not read yet
+            try:
+                for block in read_range(path, first, row["end"]):
+                    *whole, rest = block.split(b"\n")
+                    if whole:
+                        whole[0] = b"".join([*held, whole[0]])
+                        held = []
+                        sizes = [len(x) for x in whole]
+                        sha.update(b"\n".join(whole) + b"\n")
+                        starts = [at]
+                        for n in sizes:
+                            starts.append(starts[-1] + n + 1)
+                        at = starts.pop()
+                        k = len(whole)
+                        text = [x.decode("utf-8", "replace") for x in whole]
+                        cols = [[path] * k, [first] * k, [before] * k, range(no, no + k), starts, sizes, text, [None] * k]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                        no += k
+                    held.append(rest)
+            except FileNotFoundError:
+                pass  # gone since it was listed
+            if no:
+                end = [[path], [first], [before], [no], [at], [None], [None], [sha.hexdigest()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(end, kinds, strict=True)], names=names)
+
+
+def read_lines(ranges: DataFrame) -> DataFrame:
+    """The complete lines of byte ranges, as ``LINES``, read in blocks where they lie, without a shuffle of payload.
+
+    ``line_no`` counts from 0 in the range, ``byte_start`` in the file. One more row for each range with a line, with null raw, has
+    the sha256 of exactly the bytes of its lines, their number as line_no and their end as byte_start.
+    Bytes behind the last newline are still being written and are left out; invalid UTF-8 becomes U+FFFD.
+    """
+    n = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.select("file_path", "start", "end", "lines_before").repartition(n, "file_path").mapInArrow(_read, LINES)
+
+
+def slice_at_cursor(files: DataFrame, cursors: DataFrame, on_shrink: str = "restart") -> DataFrame:
+    """file_path, content past the cursor, start, lines_before; files with nothing new drop out.
+
+    A file shorter than its cursor is read from the start again ("restart"), or left alone until it
+    has grown past it ("skip").
+    """
+    sized = files.select("file_path", F.col("content").cast("binary").alias("content")).withColumn("length", F.octet_length("content").cast("long"))
+    # narrow rows decide; contents then meet only those of files with something new
+    ranges = new_ranges(sized, cursors, on_shrink)
+    return sized.join(ranges, "file_path").select("file_path", F.expr("substring(content, CAST(start AS INT) + 1)").alias("content"), "start", "lines_before")

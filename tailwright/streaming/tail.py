@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..sources.files import place, read_range, walk
+
 SCHEMA = "file_path string, start long, content binary"
 #: Bytes of one file that one partition takes at most, in whole lines; longer lines are taken whole.
 RANGE_BYTES = 64 << 20
@@ -21,12 +22,12 @@ class Range(InputPartition):
 
 def last_newline(path: str, start: int, size: int) -> int:
     """The position behind the last newline in [start, size), or ``start``; reads backwards from the end."""
-    with open(path, "rb") as f:
+    store, at_path = place(path)
+    with store.open_input_file(at_path) as f:
         at = size
         while at > start:
             low = max(start, at - (1 << 16))
-            f.seek(low)
-            k = f.read(at - low).rfind(b"\n")
+            k = f.read_at(at - low, low).rfind(b"\n")
             if k >= 0:
                 return low + k + 1
             at = low
@@ -35,17 +36,12 @@ def last_newline(path: str, start: int, size: int) -> int:
 
 def next_newline(path: str, start: int, end: int) -> int:
     """The position behind the first newline in [start, end), or ``end``."""
-    with open(path, "rb") as f:
-        f.seek(start)
-        at = start
-        while at < end:
-            part = f.read(min(1 << 16, end - at))
-            if not part:
-                break
-            k = part.find(b"\n")
-            if k >= 0:
-                return at + k + 1
-            at += len(part)
+    at = start
+    for part in read_range(path, start, end):
+        k = part.find(b"\n")
+        if k >= 0:
+            return at + k + 1
+        at += len(part)
     return end
 
 
@@ -62,7 +58,11 @@ def cut(path: str, start: int, end: int, most: int) -> Iterator[Range]:
 
 
 class TailReader(DataSourceStreamReader):
-    """Offsets are newline-aligned sizes by path: a line still being written waits for its end."""
+    """Offsets are newline-aligned sizes by path: a line still being written waits for its end.
+
+    A new reader (a restart) knows no offset, but the latest one is the aligned size of all there is, which is never
+    behind a checkpoint of the same files; what lies between the two is read, and nothing before.
+    """
 
     def __init__(self, root: str, most: int):
         self.root, self.most = root, most
@@ -71,15 +71,11 @@ class TailReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"files": json.dumps({})}
 
-    def _listed(self) -> Iterator[str]:
-        for folder, _, names in os.walk(self.root):
-            yield from (os.path.join(folder, n) for n in names if n.endswith(".jsonl"))
-
     def latestOffset(self) -> dict:
         now = dict(self.seen)
-        for path in self._listed():
+        for path, size in walk(self.root, ".jsonl"):
             try:
-                size, start = os.path.getsize(path), now.get(path, 0)
+                start = now.get(path, 0)
                 if size < start:
                     start = 0  # another file under the same name
                 # all there is: a one-shot run asks only once
@@ -101,13 +97,11 @@ class TailReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            yield partition.path, partition.start, f.read(partition.end - partition.start)
+        yield partition.path, partition.start, b"".join(read_range(partition.path, partition.start, partition.end))
 
 
 class TranscriptTail(DataSource):
-    """``spark.readStream.format("transcript_tail").option("path", root)``; the folder must be mounted everywhere."""
+    """``spark.readStream.format("transcript_tail").option("path", root)``: a path or URI that driver and executors reach."""
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from ..functions.session import prepare_session
 from ..operators.batches import build_batches, privacy_gate, project_filter
 from ..operators.dedup import new_records, record_key
 from ..operators.lines import line_offsets, split_lines
-from ..operators.records import parse_lines
+from ..operators.records import mark_lines, serialise
 from ..plans.incremental import STORE, Tables
 from .tail import RANGE_BYTES, tail
 
@@ -26,13 +28,12 @@ def store_batch(spark: SparkSession, ranges: DataFrame, repos: DataFrame, tables
     Lines of a file's ranges are in the order of these positions.
     """
     lines = line_offsets(split_lines(ranges), ["file_path", "start"]).withColumn("byte_start", F.col("start") + F.col("byte_start")).withColumn("line_no", F.col("byte_start"))
-    parsed = parse_lines(lines)
-    batches = privacy_gate(project_filter(build_batches(lines, parsed), project), repos)
+    marked = mark_lines(lines)
+    batches = privacy_gate(project_filter(build_batches(lines, marked.where("not blank")), project), repos)
     rows = (
-        parsed.where("valid")
+        serialise(marked)
         .join(batches.select("file_path", "session_id", "project_path"), "file_path")
         .withColumn("record_key", record_key("byte_start"))
-        .withColumnRenamed("raw", "record")
     )
     fresh = new_records(rows.select("record_key", "file_path", "byte_start"), tables.stored(spark), "byte_start")
     names = [c.split()[0] for c in STORE.split(", ")]
@@ -52,3 +53,27 @@ def watch(spark: SparkSession, root: str, repos: Callable[[], DataFrame], tables
 
     writer = tail(spark, root, range_bytes).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def keep_watching(start: Callable[[], StreamingQuery], stop: threading.Event, seconds: float = SECONDS) -> int:
+    """Run the stream that ``start`` starts until ``stop`` is set; returns how often it failed.
+
+    A failed stream is logged and, ``seconds`` later, started again from its checkpoint: the batch that failed
+    is read again, so nothing is lost, and what part of it was stored is known and not stored twice. A stream that ends by itself
+    (one-shot) is started again, too.
+    """
+    failures = 0
+    while not stop.is_set():
+        query = None
+        try:
+            query = start()
+            while not stop.is_set() and not query.awaitTermination(1):
+                pass
+        except Exception:
+            failures += 1
+            logging.getLogger(__name__).exception("the stream failed; it starts again in %s seconds", seconds)
+        finally:
+            if query is not None and query.isActive:
+                query.stop()
+        stop.wait(seconds)
+    return failures

@@ -40,9 +40,9 @@ def test_deep_values_get_a_second_look(spark):
 
 
 def test_paths(spark):
-    rows = [("/r/-home-adys-src-foo/s.jsonl",), ("/r/plain-dir/t.jsonl",), ("/r/-/u.jsonl",), ("bare.jsonl",)]
+    rows = [("/r/-home-ana-src-foo/s.jsonl",), ("/r/plain-dir/t.jsonl",), ("/r/-/u.jsonl",), ("bare.jsonl",)]
     df = spark.createDataFrame(rows, "p string").select(decode_project_dir(F.col("p")), session_id(F.col("p")))
-    assert [tuple(r) for r in df.collect()] == [("/home/adys/src/foo", "s"), ("plain/dir", "t"), ("/", "u"), ("", "bare")]
+    assert [tuple(r) for r in df.collect()] == [("/home/ana/src/foo", "s"), ("plain/dir", "t"), ("/", "u"), ("", "bare")]
 
 
 def test_cursors_at_and_beyond_the_end(spark):
