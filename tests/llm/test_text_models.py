@@ -6,7 +6,6 @@ import pytest
 
 from tailwright.llm import quality_classifier as quality
 from tailwright.llm import toxicity
-from tailwright.llm.context_mixing import END, KINDS, Mixer, Tables, fit_mixer, learn_kinds, log_probabilities, own_tables, score_documents
 from tailwright.llm.mixing import BUDGET, mix_documents, rake, thin
 from tailwright.llm.quality_rules import Rules, clean, quality_rules, repeated_words
 
@@ -178,51 +177,3 @@ def test_rules_of_quality_on_held_out_rows(labelled, odd_docs, no_docs):
     odd = quality.score_quality(odd_docs, ensemble).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
     assert quality.score_quality(no_docs, ensemble).count() == 0
-
-
-def test_word_probabilities_sum_to_one():
-    """Over all strings of up to two letters and all longer ones together: the model is proper."""
-    tables = Tables(12)
-    w = [b"ab", b"a", b"", b"abc"]
-    times = np.array([[3, 1], [2, 0], [5, 5], [1, 0]])
-    tables.add(w, times, deep=False)
-    m = fit_mixer(tables, w, times, np.array([0.5, 0.5]), draws=200)
-    one = 10 ** log_probabilities(m, tables, [b"", *(bytes([i]) for i in range(256) if i != 10)])
-    assert (one.sum(axis=0) < 1.0001).all() and (one.sum(axis=0) > 0.2).all()
-    many = [b"", *(bytes([i]) for i in range(256) if i != 10), *(bytes([97, i]) for i in range(256) if i != 10)]
-    assert (10 ** log_probabilities(m, tables, many)).sum(axis=0).max() < 1.0001
-
-
-def test_scores_against_counting(spark, odd_docs, no_docs):
-    docs = [(i, " ".join(words(i % 25, 60))) for i in range(120)] + [(200, None), (201, ""), (202, "Zzz zzz")] + [(5, "twice"), (5, "twice")]
-    got = score_documents(spark.createDataFrame(docs, "doc_id long, text string"), bits=14).collect()
-    c: Counter = Counter()
-    tokens = lambda t: [*(t or "").encode().lower().split(), END]
-    for i, t in docs:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            c.update(tokens(t))
-    n, v = sum(c.values()), len(c)
-    want = sorted((i, len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), round(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t)), 6)) for i, t in docs)
-    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
-    assert all(r.train_tokens == n and r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in got)
-    rows = score_documents(odd_docs, bits=14).collect()
-    assert len(rows) == odd_docs.count()
-    assert score_documents(no_docs, bits=14).count() == 0
-
-
-def test_kinds_tell_languages_apart():
-    texts = [[b"le", b"la", b"de"] * 20 if i % 2 else [b"the", b"of", b"and"] * 20 for i in range(40)]
-    kinds = learn_kinds(texts, kinds=2)
-    of = lambda t: kinds.of(Counter(t))
-    assert of(texts[0]) != of(texts[1]) and len({of(t) for t in texts[::2]}) == 1
-
-
-def test_own_tables_follow_their_words():
-    w = [b"international", b"internationally", b"interval"]
-    times = np.ones((3, KINDS), np.int64)
-    shared = Tables(12)
-    shared.add(w, times, deep=False)
-    tables = own_tables(shared.shared, 12, w, times)
-    m = Mixer(np.full((200, 6), 0.3), np.zeros(200), np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, 33))), (200, 1)), np.full(KINDS, 1 / KINDS))
-    seen, unseen = log_probabilities(m, tables, [b"international", b"interxxtional"]).max(axis=1)
-    assert seen > unseen
