@@ -201,13 +201,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     They are taken by a hash of the id, never from the held-out fold (crc32 of the id, mod 5, is 0);
     the texts are measured where they lie and only their statistics reach the driver.
     """
-    able = labels.where(F.col(label).isin(0, 1)).where(fold() != 0).select("doc_id", F.col(label).cast("int").alias("y"))
+    able = labels.where(F.col(label).isin(0, 1)).where(fold() != 0).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))  # of several labels the largest
     chosen = None
     for value in (0, 1):
         half = able.where(F.col("y") == value).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows // 2)
         chosen = half if chosen is None else chosen.unionByName(half)
     # at most ``rows`` ids: small enough to broadcast at any size of the corpus
-    some = docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     got = sorted(with_statistics(some, "y int").collect())
     x = np.array([[r[s] for s in STATISTICS] for r in got]).reshape(-1, len(STATISTICS))
     return fit_rules(x, np.array([r["y"] for r in got], float), seed=seed)

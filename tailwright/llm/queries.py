@@ -20,7 +20,7 @@ from .token_files import read_tokens, write_tokens
 from .tokens import default_path
 from .toxicity import fit as fit_toxicity
 from .toxicity import score_toxicity
-from .warc import derive, responses_of_pages
+from .warc import derive, read_parts, response_records, responses_of_pages, write_warc
 
 
 def op1_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,10 +65,16 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = derive(responses_of_pages(table(spark, sf_dir, "pages")), keep={"page_id": "long"})
-    return records.select(
-        "page_id", "record_type", "record_id", "refers_to", "target_uri", "content_length", "block_digest",
-        F.octet_length("record").cast("long").alias("record_bytes"), F.crc32("record").alias("record_crc32"),
+    """Responses of all pages go to WARC files and are read back; what derives from them goes to WARC files, and their records are returned as read."""
+    ws = Workspace(spark, "warc")
+    sources = responses_of_pages(table(spark, sf_dir, "pages"))
+    written = ws.save(write_warc(response_records(sources), f"{ws.path}/responses"), "written")
+    derived = derive(read_parts(written, f"{ws.path}/responses"))
+    parts = ws.save(write_warc(derived, f"{ws.path}/derivatives"), "parts")
+    read = read_parts(parts, f"{ws.path}/derivatives")
+    return read.select(
+        "record_id", "record_type", "refers_to", "target_uri", "date",
+        F.octet_length("block").cast("long").alias("content_length"), F.crc32("block").alias("block_crc32"), F.sha1("block").alias("block_sha1"),
     )
 
 

@@ -8,7 +8,7 @@ import html as html_lib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -222,8 +222,25 @@ def responses_of_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def response_records(responses: DataFrame) -> DataFrame:
+    """``record``: each response as a WARC record, its block as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "block"):
+            made = []
+            for i, u, d, block in zip(*(batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "block")), strict=True):
+                headers = [("WARC-Type", "response"), ("WARC-Record-ID", i), ("WARC-Date", d), *([("WARC-Target-URI", u)] if u else []), ("Content-Type", "application/http; msgtype=response")]
+                made.append(serialize(headers, block or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+
+    return responses.select("record_id", "target_uri", "date", "block").mapInArrow(run, "record binary")
+
+
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
-    """Write the ``record`` column as gzip members into one file a partition; returns part, records."""
+    """Write the ``record`` column as gzip members into one file a partition; returns part, records.
+
+    Evaluate the result once (save it): that writes the files. A partition without rows leaves a file without records.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
@@ -245,37 +262,104 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     return records.select("record").mapInArrow(run, "part string, records long")
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a file's bytes, gzip members or plain; stops at a torn record."""
-    if data[:2] == b"\x1f\x8b":
-        out = []
-        while data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(wbits=31)
-            out.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(out)
-    at = 0
-    while (head := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:head].decode("utf-8", "replace").split("\r\n")
-        headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
-        size = int(headers.get("Content-Length", "0"))
-        if head + 4 + size > len(data):
-            return
-        yield headers, data[head + 4 : head + 4 + size]
-        at = head + 4 + size + 4
+def _plain(blocks: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of gzip members, or of a plain file, block by block; each byte is looked at once."""
+    unpack = None
+    first = True
+    for block in blocks:
+        if first and block:
+            first = False
+            if block[:2] == b"\x1f\x8b":
+                unpack = zlib.decompressobj(wbits=31)
+        if unpack is None:
+            yield block
+            continue
+        rest = memoryview(block)
+        while len(rest):
+            yield unpack.decompress(rest)
+            if not unpack.eof:
+                break
+            rest = rest[len(rest) - len(unpack.unused_data) :]
+            unpack = zlib.decompressobj(wbits=31)
+
+
+def parse_records(blocks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of a file's bytes, gzip members or plain; stops at a torn record.
+
+    Holds one record at a time, and of a file no more than a block besides.
+    """
+    held, at, need = bytearray(), 0, 0
+    for part in _plain(blocks):
+        held += part
+        if len(held) - at < need:
+            continue
+        while (head := held.find(b"\r\n\r\n", at)) >= 0:
+            lines = bytes(held[at:head]).decode("utf-8", "replace").split("\r\n")
+            headers = dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
+            end = head + 4 + int(headers.get("Content-Length", "0"))
+            if end + 4 > len(held):
+                need = end + 4 - at
+                break
+            yield headers, bytes(held[head + 4 : end])
+            at, need = end + 4, 0
+        if at > 1 << 20:
+            del held[:at]
+            at = 0
+
+
+def _blocks(data: pa.Buffer, size: int = 1 << 16) -> Iterator[bytes]:
+    view = memoryview(data)
+    return (bytes(view[s : s + size]) for s in range(0, len(view), size))
+
+
+NAMES = ["record_id", "record_type", "refers_to", "target_uri", "date", "block"]
+HEADERS = ["WARC-Record-ID", "WARC-Type", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date"]
+READ = "record_id string, record_type string, refers_to string, target_uri string, date string, block binary"
+
+
+def _rows(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+    held: list[list] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        cols = list(zip(*held, strict=True))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for c, n in zip(cols, NAMES, strict=True)], names=NAMES)
+
+    for h, b in records:
+        held.append([*(h.get(k) for k in HEADERS), b])
+        size += len(b)
+        if len(held) == 500 or size > 8 << 20:
+            yield batch()
+            size = 0
+    if held:
+        yield batch()
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the .warc and .warc.gz files under a path: record_id, record_type, refers_to, target_uri, date, block."""
-    names = ["record_id", "record_type", "refers_to", "target_uri", "date", "block"]
+    """Records of the .warc and .warc.gz files under a path: record_id, record_type, refers_to, target_uri, date, block.
+
+    Any store that Spark reads; a file is one row on its way to a task, of 2 GB at most (``read_parts`` has no such bound).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = [[*(h.get(k) for k in ("WARC-Record-ID", "WARC-Type", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date")), b] for h, b in parse_records(content.as_py())]
-                for s in range(0, len(rows), 500):
-                    cols = list(zip(*rows[s : s + 500], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for c, n in zip(cols, names, strict=True)], names=names)
+                yield from _rows(parse_records(_blocks(content.as_buffer())))
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path)
-    return files.select("content").mapInArrow(run, "record_id string, record_type string, refers_to string, target_uri string, date string, block binary")
+    return files.select("content").mapInArrow(run, READ)
+
+
+def read_parts(parts: DataFrame, folder: str) -> DataFrame:
+    """Records of the parts that ``write_warc`` has written to a shared folder, each streamed from its file by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                where, path = _place(f"{folder}/{part}")
+                with where.open_input_stream(path) as f:
+                    yield from _rows(parse_records(iter(lambda f=f: f.read(1 << 18), b"")))
+
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.select("part").repartition(n, "part").mapInArrow(run, READ)

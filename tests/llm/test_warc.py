@@ -1,5 +1,5 @@
 from tailwright.llm.common import Workspace
-from tailwright.llm.warc import derive, derive_one, digest, html_to_text, parse_http, parse_records, read_warc, responses_of_pages, write_warc
+from tailwright.llm.warc import derive, derive_one, digest, html_to_text, parse_http, parse_records, read_parts, read_warc, response_records, responses_of_pages, write_warc
 
 
 def test_text_of_pages():
@@ -25,7 +25,7 @@ def test_derivatives_refer_to_their_response(spark):
     out = derive(responses_of_pages(pages), keep={"page_id": "long"}).collect()
     assert len(out) == 8
     for r in out:
-        (headers, block), = parse_records(bytes(r.record))
+        (headers, block), = parse_records([bytes(r.record)])
         assert headers["WARC-Refers-To"] == sources[r.page_id].record_id and headers["WARC-Block-Digest"] == digest(block) == r.block_digest
         assert headers.get("WARC-Refers-To-Target-URI") == r.target_uri and len(block) == r.content_length
         if r.record_type == "metadata":
@@ -38,6 +38,21 @@ def test_files_round_trip(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>é {i}</p>" * i) for i in range(30)], "page_id long, url string, html string")
     records = derive(responses_of_pages(pages))
     folder = f"{Workspace(spark, 'warc').path}/out"
-    assert write_warc(records.repartition(3), folder).agg({"records": "sum"}).first()[0] == 60
+    ws = Workspace(spark, "warc")
+    parts = ws.save(write_warc(records.repartition(3), folder), "parts")
+    assert parts.agg({"records": "sum"}).first()[0] == 60
+    assert sorted(map(str, read_parts(parts, folder).collect())) == sorted(map(str, read_warc(spark, folder).collect()))
     got = {r.record_id: (r.record_type, r.refers_to, digest(bytes(r.block))) for r in read_warc(spark, folder).collect()}
     assert got == {r.record_id: (r.record_type, r.refers_to, r.block_digest) for r in records.collect()}
+
+
+def test_responses_are_read_as_they_were(spark):
+    """A very long page, missing values, repeated rows and a clashing extra column."""
+    rows = [(1, "http://a/", "<p>é</p>" * 200_000, "x"), (2, None, None, "y"), (3, "http://b/", "", None), (3, "http://b/", "", None), (None, "http://c/", "<p>no id", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_id string")
+    sources = responses_of_pages(pages)
+    ws = Workspace(spark, "warc")
+    parts = ws.save(write_warc(response_records(sources), f"{ws.path}/in"), "parts")
+    got = sorted((r.record_id, r.target_uri, r.date, bytes(r.block)) for r in read_parts(parts, f"{ws.path}/in").collect())
+    assert got == sorted((r.record_id, r.target_uri, r.date, bytes(r.block)) for r in sources.collect())
+    assert derive(read_parts(parts, f"{ws.path}/in")).count() == 10
