@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, each_group
-from .common import Workspace, pieces
+from .common import Workspace, parts_of, pieces
 from .components import connected_components, spanning
 
+#: Passes, at least; and the share of lone pairs at the threshold that all passes together may miss, by estimate.
 PASSES = 20
+MISSED = 1e-6
 WINDOW = 64
 CHUNK = 1024
 
@@ -167,10 +169,41 @@ def _slide(window: int, cosine: float):
     return run
 
 
+def passes_for(most: int, cosine: float, window: int = WINDOW) -> int:
+    """Passes that find a lone pair at the threshold among ``most`` vectors of a label but with a probability of ``MISSED``.
+
+    A sign differs with probability angle / pi; the pair meets if its first signs agree until about a window of vectors shares them.
+    """
+    same = 1 - np.arccos(min(1.0, cosine)) / np.pi
+    found = same ** (max(0.0, np.log2(max(most, 1) / window)) + 1)
+    return max(PASSES, int(np.ceil(np.log(MISSED) / np.log1p(-min(found, 1 - 1e-9)))))
+
+
+def seams_of(held: dict[int, int], window: int) -> list[tuple[int, int, int]]:
+    """(partition, side, seam): whose last (0) and first (1) rows lie within a window before and behind each seam.
+
+    held: by partition with rows, in order, how many of them, counted up to ``window``. A seam has the number of the
+    partition before it; small partitions are close to several seams.
+    """
+    at = sorted(held)
+    out = []
+    for k in range(len(at) - 1):
+        for side, near in ((0, at[k::-1]), (1, at[k + 1 :])):
+            rows = 0
+            for p in near:
+                out.append((p, side, at[k]))
+                rows += held[p]
+                if rows >= window:
+                    break
+    return out
+
+
 def _seams(window: int, cosine: float):
-    """Pairs across the seam of two neighbouring partitions."""
+    """Pairs across a seam of partitions: the ``window`` rows before it with those behind it."""
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
+        before = int((t.column("side").to_numpy() == 0).sum())
+        t = t.slice(max(0, before - window), min(before, window) + window)
         side = t.column("side").to_numpy()
         group = t.column("pass").to_numpy().astype(np.int64) << 32 | (t.column("label").to_numpy().astype(np.int64) & 0xFFFFFFFF)
         vectors = [v.values.to_numpy() for c in t.column("x").chunks for v in c]
@@ -205,7 +238,7 @@ def _count(cosine: float):
 
 
 def dedup_embeddings(
-    vectors: DataFrame, cosine: float = 0.98, passes: int = PASSES, window: int = WINDOW, seed: int = 20, ws: Workspace | None = None
+    vectors: DataFrame, cosine: float = 0.98, passes: int | None = None, window: int = WINDOW, seed: int = 20, partitions: int | None = None, ws: Workspace | None = None
 ) -> DataFrame:
     """Link vectors of equal label whose cosine is at least ``cosine``.
 
@@ -215,7 +248,8 @@ def dedup_embeddings(
     Equal vectors of a label become one class, compared once. In each pass the classes are ordered
     by label and then lexicographically by the concatenated signs of random projections, and each
     is compared, in double precision, with the ``window`` classes that follow it, over seams of
-    partitions too (a window spans two partitions at most). Verified pairs of all passes are united into components. Links
+    partitions too, however small these are. Unless given, the number of passes grows with the logarithm of the largest label (see
+    ``passes_for``). Verified pairs of all passes are united into components. Links
     are then counted inside components, all against all in blocks, so that windows bound no count.
 
     Null labels, null, zero or empty vectors and vectors with null, NaN or infinite components link
@@ -240,26 +274,28 @@ def dedup_embeddings(
         .drop("digest"),
         "reps",
     )
+    if passes is None:
+        largest = sizes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        passes = passes_for(largest, cosine, window)
     ordered = (
         reps.select("rep", "label", "x")
         .mapInArrow(_keys(passes, seed), f"pass int, label int, key long, rep long, x {kind}")
-        .repartitionByRange("pass", "label", "key", "rep")
+        .repartitionByRange(partitions or parts_of(reps, (64 << 20) // passes), "pass", "label", "key", "rep")
         .sortWithinPartitions("pass", "label", "key", "rep")
     )
     found = ws.save(ordered.mapInArrow(_slide(window, cosine), f"{_FOUND}, x {kind}"), "found")
     ends = found.where("at is not null")
-    # the partitions that hold rows, in order: as many numbers as partitions
-    filled = sorted(r[0] for r in ends.select("at").distinct().collect())
-    following = dict(zip(filled[1:], filled[:-1], strict=True))
+    # how many rows partitions hold, up to a window: as many numbers as partitions
+    held = {r["at"]: r["count"] for r in ends.where("side = 0").groupBy("at").count().collect()}
     edges = found.where("a is not null").select("a", "b")
-    if following:
-        before = F.create_map(*[F.lit(x) for kv in following.items() for x in kv])
+    if len(held) > 1:
+        near = spark.createDataFrame(seams_of(held, window), "at int, side int, seam int")
         seams = (
-            ends.withColumn("seam", F.when(F.col("side") == 0, F.col("at")).otherwise(F.try_element_at(before, "at")))
-            .where("seam is not null")
-            .drop("a", "b", "at")
+            ends.join(near, ["at", "side"])
+            .drop("a", "b")
             .repartition("seam")
-            .sortWithinPartitions("seam", "side", "pos")
+            .sortWithinPartitions("seam", "side", "at", "pos")
+            .drop("at")
         )
         edges = edges.unionByName(seams.mapInArrow(_seams(window, cosine), "a long, b long"))
     parts = ws.save(connected_components(edges, ws), "parts")

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tailwright.llm.common import Workspace
 from tailwright.llm.components import connected_components
-from tailwright.llm.embedding_dedup import dedup_embeddings
+from tailwright.llm.embedding_dedup import dedup_embeddings, passes_for, seams_of
 from tailwright.llm.minhash_dedup import bands_for, dedup_documents, minmax, permutations, plausible_for
 
 from .conftest import words
@@ -132,6 +133,36 @@ def test_vectors_against_all_pairs(spark):
     assert all(r.kept == (i == want[i]) for i, r in got.items())
 
 
+def test_small_partitions_cut_no_window(spark):
+    """Every pair within a window of the sorted order is found, though partitions hold a few rows each."""
+    rng = np.random.default_rng(5)
+    rows = []
+    while len(rows) < 1200:
+        c = rng.standard_normal(16)
+        rows += [(len(rows) + i, (c + rng.standard_normal(16) * 0.09).tolist(), 1) for i in range(int(rng.integers(1, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links = _brute(rows)
+    want = _groups(range(len(rows)), links)
+    assert len(links) > 300
+    few, many = ({r.vec_id: r.component_id for r in dedup_embeddings(df, passes=p, partitions=200).collect()} for p in (1, 20))
+    assert many == want  # recall of 1 against brute force at 200 partitions
+    one = {r.vec_id: r.component_id for r in dedup_embeddings(df, passes=1, partitions=1).collect()}
+    assert few == one and one != want
+
+
+def test_seams_of_small_partitions():
+    assert seams_of({0: 5, 2: 1, 3: 5}, 5) == [(0, 0, 0), (2, 1, 0), (3, 1, 0), (2, 0, 2), (0, 0, 2), (3, 1, 2)]
+    assert seams_of({4: 2}, 5) == [] and passes_for(5000, 0.98) == 20 < passes_for(30_000_000, 0.98) < 80
+
+
+def test_vectors_at_the_threshold_and_extra_columns(spark):
+    """A cosine of the threshold itself links; columns of other names go their way."""
+    v = [(1, [1.0, 1.0, 1.0, 1.0], 1), (2, [1.0, 0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>, label int").withColumn("rep", F.lit("x")).withColumn("component_id", F.lit(9)).withColumn("key", F.lit(None))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in dedup_embeddings(df, cosine=0.5).collect()) == [(1, 1, 1), (2, 1, 1)]
+    assert [r.n_links for r in dedup_embeddings(df, cosine=0.5000001).collect()] == [0, 0]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1)]])
 def test_few_vectors(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
