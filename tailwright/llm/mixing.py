@@ -8,17 +8,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .clusters import BUCKETS, Kinds, learn_kinds
 from .common import Workspace, pieces
+from .texts import word_hashes, words_of
 
 TOPICS = 8
+#: Bytes of the words that tell topics apart, at least.
+LONG = 7
 #: Values of a dimension with marginals of their own; the rest, by tokens, share the value ''.
 CATEGORIES = 2000
 #: Target shares are observed shares of tokens to this power, as usual for multilingual mixtures.
-TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
+TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.7}
 #: Share of all tokens that is kept at least, also where only fewer would have all target shares.
 BUDGET = 0.6
 ROUNDS = 200
@@ -26,42 +29,69 @@ TOLERANCE = 1e-9
 OTHER = ""
 
 
-class _Topics(dict):
-    """word -> its bucket; letters only, so that marks at a word's edge do not count."""
-
-    def __init__(self, topics: int):
-        super().__init__()
-        self.topics = topics
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b".,;:!?\"')")] = True
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each text, and the vector of its longer words, which carry the subject."""
+    for b in pieces(batches, rows=1000, size=4 << 20):
+        words, at = words_of(b.column("text"))
+        tokens, n = np.diff(at), b.num_rows
+        ends = np.frombuffer(words.buffers()[1], np.int32)[1 : len(words) + 1].astype(np.int64)
+        sizes = np.diff(np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1])
+        if len(words):
+            data = np.frombuffer(words.buffers()[2], np.uint8)
+            marked = _EDGE[data[ends - 1]]  # a mark at the end does not count
+        else:
+            marked = np.zeros(0, bool)
+        long_ = np.flatnonzero(sizes - marked >= LONG)
+        cut = words.take(pa.array(long_))
+        lengths = (sizes - marked)[long_]
+        if len(long_):
+            own = np.frombuffer(cut.buffers()[1], np.int32)[: len(cut) + 1].astype(np.int64)
+            data = np.frombuffer(cut.buffers()[2], np.uint8)
+            kept = np.arange(own[-1]) - np.repeat(own[:-1], np.diff(own)) < np.repeat(lengths, np.diff(own))
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            cut = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(data[: own[-1]][kept])])
+        bucket = (word_hashes(cut) % np.uint64(BUCKETS)).astype(np.int64)
+        text = np.repeat(np.arange(n), tokens)[long_]
+        x = np.minimum(np.bincount(text * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS), 65535).astype("<u2")
+        vectors = [v.tobytes() if any_ else None for v, any_ in zip(x, x.any(axis=1).tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(vectors, pa.binary()), pa.array(tokens, pa.int64()), b.column("draw")], names=["doc_id", "source", "lang", "vector", "n_tokens", "draw"])
+
+
+def _assign(kinds: Kinds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vector = b.column("vector")
+            has = vector.is_valid().to_numpy(zero_copy_only=False)
+            topic = np.full(b.num_rows, "none", object)
+            if has.any():
+                x = np.frombuffer(b"".join(vector.drop_null().to_pylist()), "<u2").reshape(-1, BUCKETS).astype(float)
+                topic[has] = [f"t{k}" for k in kinds.of(x).tolist()]
+            names = ["doc_id", "source", "lang", "n_tokens", "draw"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:3]), pa.array(topic, pa.string()), *(b.column(c) for c in names[3:])], names=[*names[:3], "topic", *names[3:]])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        out = self[word] = xxhash.xxh32_intdigest(word.strip(b".,;:!?\"'()").lower(), 17) % self.topics
-        return out
+    return run
 
 
-def _measure(topics: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = _Topics(topics)
-        for b in pieces(batches):
-            tokens, topic = [], []
-            for t in b.column("text"):
-                words = (t.as_py() or b"").split()
-                tokens.append(len(words))
-                # long words carry the subject; ties go to the lower bucket
-                own = [bucket[w] for w in words if len(w) >= 7]
-                topic.append(f"t{int(np.argmax(np.bincount(own, minlength=topics)))}" if own else "none")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(topic), pa.array(tokens, pa.int64()), b.column("draw")], names=["doc_id", "source", "lang", "topic", "n_tokens", "draw"])
+def draw_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A uniform number below one that rests on id and text alone."""
+    return F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(1 << 53)) / float(1 << 53)
 
-    return run
 
+def measured(docs: DataFrame, ws: Workspace, topics: int = TOPICS) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens (words) and a uniform draw that rests on id and text.
 
-def measured(docs: DataFrame, topics: int = TOPICS) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens (words) and a uniform draw that rests on id and text."""
+    Topics are the parts of a mixture of multinomials over hashed longer words, learned from all texts without labels by
+    expectation maximization; texts without longer words have the topic 'none'.
+    """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) if c in docs.columns else F.lit("unknown")
-    draw = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)).alias("draw")
-    rows = docs.select(F.col("doc_id").cast("long"), text("source").alias("source"), text("lang").alias("lang"), F.col("text").cast("binary").alias("text"), draw)
-    return rows.mapInArrow(_measure(topics), "doc_id long, source string, lang string, topic string, n_tokens long, draw double")
+    rows = docs.select(F.col("doc_id").cast("long"), text("source").alias("source"), text("lang").alias("lang"), F.col("text").cast("binary").alias("text"), draw_of().alias("draw"))
+    seen = ws.save(rows.mapInArrow(_measure, "doc_id long, source string, lang string, vector binary, n_tokens long, draw double"), "seen")
+    kinds = learn_kinds(seen.where("vector is not null").select("vector"), topics)
+    return seen.mapInArrow(_assign(kinds), "doc_id long, source string, lang string, topic string, n_tokens long, draw double")
 
 
 @dataclass
@@ -245,8 +275,8 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     """Calibrated weight, probability and verdict for every document.
 
     ``docs``: doc_id long, text, source and lang strings; further columns are ignored. Returns per
-    row doc_id, source, lang, topic, n_tokens, weight, probability, kept. A topic is the most common
-    hash bucket of a text's longer words. Weights are raked until the weighted tokens have the
+    row doc_id, source, lang, topic, n_tokens, weight, probability, draw (see ``draw_of``), kept. Topics are clusters
+    of texts by their longer words, learned from all of them (see ``measured``). Weights are raked until the weighted tokens have the
     target share of each source, language and topic. The probability of a row is its weight over
     the largest one, if that keeps ``budget`` of the tokens or more; the kept tokens then have the target
     shares in expectation. Else rows of rare values are kept with probability 1 and the others so that ``budget``
@@ -258,7 +288,7 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "mixing")
-    m, pooled = fit_mixture(ws.save(measured(docs, topics), "measured"), targets, temper, most, budget)
+    m, pooled = fit_mixture(ws.save(measured(docs, ws, topics), "measured"), targets, temper, most, budget)
     weight = chance = F.lit(1.0)
     for d, factors in m.factors.items():
         part = [(v, f, m.chances[d][v]) for v, f in factors.items()]
@@ -273,5 +303,5 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     return (
         pooled.withColumn("weight", F.when(empty, F.lit(1.0)).otherwise(weight))
         .withColumn("probability", probability)
-        .select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("kept"))
+        .select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("kept"))
     )

@@ -177,3 +177,16 @@ def test_rules_of_quality_on_held_out_rows(labelled, odd_docs, no_docs):
     odd = quality.score_quality(odd_docs, ensemble).collect()
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 for r in odd)
     assert quality.score_quality(no_docs, ensemble).count() == 0
+
+
+def test_topics_are_subjects(spark):
+    from tailwright.llm.common import Workspace
+    from tailwright.llm.mixing import measured
+
+    subjects = ["orbital telescope galaxies spectrum luminous", "sourdough fermentation kneading wholemeal bakeries", "goalkeeper midfielder penalties substitutes tournaments"]
+    rng = np.random.default_rng(1)
+    docs = [(i, " ".join(rng.choice(subjects[i % 3].split(), 20)) + " the of and.", "en", "a") for i in range(120)] + [(200, None, None, None), (201, "short ones", "en", "a")]
+    rows = measured(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), Workspace(spark, "t"), topics=3).collect()
+    topic = {r.doc_id: r.topic for r in rows}
+    assert topic[200] == topic[201] == "none" and len(rows) == 122
+    assert [len({topic[i] for i in range(k, 120, 3)}) for k in range(3)] == [1, 1, 1] and len({topic[i] for i in range(3)}) == 3
