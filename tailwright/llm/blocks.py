@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(rows: DataFrame, group: str, member: str, size: str, least: int = 64, most: int = 2048) -> DataFrame:
+def block_pairs(rows: DataFrame, group: str, member: str, size: str, least: int = 64, most: int = 8192) -> DataFrame:
     """Deal the rows of each group into blocks, and send every block to each pair of blocks.
 
     Adds ``blk``, ``bi`` and ``bj`` (bi <= bj): rows that share (group, bi, bj) are to be compared,
     inside the block where bi = bj, across blocks (blk = bi against blk = bj) otherwise. Each pair
-    of rows meets exactly once. A group of ``size`` rows has blocks of about 2 * sqrt(size) rows, so
-    that neither a task nor the number of copies of a row grows in proportion to the group.
+    of rows meets exactly once. A group of ``size`` rows has blocks of about 2 * sqrt(size) rows, at most ``most``, which
+    bounds a task: neither it nor the number of copies of a row grows in proportion to the group up to ``most`` ** 2 / 4
+    rows (17 million); beyond, copies grow with the group.
     """
     width = F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(2 * F.sqrt(size)).cast("int")))
     n = F.greatest(F.lit(1), F.ceil(F.col(size) / width)).cast("int")

@@ -226,12 +226,14 @@ def _count(cosine: float):
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
             x = unit(np.stack([vectors[k] for k in at]))
-            near = x @ x.T >= cosine
-            if bi == bj:
-                np.fill_diagonal(near, False)
-            else:
-                near &= blk[at][:, None] != blk[at][None, :]
-            links[at] = near @ copies[at]
+            for s in range(0, len(at), 1024):
+                rows = np.arange(s, min(len(at), s + 1024))
+                near = x[rows] @ x.T >= cosine
+                if bi == bj:
+                    near[np.arange(len(rows)), rows] = False
+                else:
+                    near &= blk[at[rows]][:, None] != blk[at][None, :]
+                links[at[rows]] = near @ copies[at]
         return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links)], names=["rep", "links"])
 
     return lambda batches: each_group(batches, ["component", "bi", "bj"], compare)

@@ -28,6 +28,15 @@ BOILERPLATE = (
     "terms of service",
     "terms of use",
     "this work is licensed",
+    # the same in German, French and Spanish, as far as they are plain ASCII
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "nutzungsbedingungen",
+    "accepter les cookies",
+    "politique de confidentialit",
+    "aceptar las cookies",
+    "aviso legal",
+    "todos los derechos reservados",
 )
 
 
@@ -131,12 +140,12 @@ _REMOVED = ["lost_words", "punctuation_lines", "navigation_lines", "boilerplate_
 _SCHEMA = f"{', '.join(f'{c} long' for c in _LONGS)}, base_failed boolean, kept boolean, {', '.join(f'{c} long' for c in _REMOVED)}"
 
 
-def _apply(rules: Rules, cleaned: bool):
+def _apply(rules: Rules, cleaned: bool, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, column):
             if not batch.num_rows:
                 continue
-            cols = list(zip(*(clean(t.as_py(), rules) for t in batch.column("text")), strict=True))
+            cols = list(zip(*(clean(t, rules) for t in batch.column(column).cast(pa.binary()).to_pylist()), strict=True))
             own = [c for c in batch.schema.names if c.startswith("kept_")]
             arrays = [*(batch.column(c) for c in own), *(pa.array(c, pa.int64()) for c in cols[:5]), *(pa.array(c, pa.bool_()) for c in cols[5:7]), *(pa.array(c, pa.int64()) for c in cols[7:11])]
             names = [*own, *_LONGS, "base_failed", "kept", *_REMOVED]
@@ -164,8 +173,9 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = True,
     """
     keep = keep or ["doc_id"]
     kinds = {k: t for k, t in docs.dtypes if k in keep} | {"doc_id": "long"}
-    rows = docs.select(*(F.col(k).cast(kinds[k]).alias(f"kept_{k}") for k in keep), F.col("text").cast("binary").alias("text"))
+    column = "kept_text" if kinds.get("text") == "string" else "text"  # a text that goes along goes once
+    rows = docs.select(*(F.col(k).cast(kinds[k]).alias(f"kept_{k}") for k in keep), *([F.col("text").cast("binary").alias("text")] if column == "text" else []))
     schema = ", ".join([*(f"kept_{k} {kinds[k]}" for k in keep), _SCHEMA, *(["cleaned_text string"] if cleaned else [])])
-    out = rows.mapInArrow(_apply(rules, cleaned), schema)
+    out = rows.mapInArrow(_apply(rules, cleaned, column), schema)
     names = [*_LONGS, "base_failed", "kept", *_REMOVED, *(["cleaned_text"] if cleaned else [])]
     return out.select(*(F.col(f"kept_{k}").alias(k) for k in keep), *names)
