@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -13,11 +14,35 @@ from ..sources.files import place, read_range, walk
 SCHEMA = "file_path string, start long, content binary"
 #: Bytes of one file that one partition takes at most, in whole lines; longer lines are taken whole.
 RANGE_BYTES = 64 << 20
+#: Bytes of short ranges that one task reads.
+TASK_BYTES = 8 << 20
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+class Range(NamedTuple):
+    path: str
+    start: int
+    end: int
+
+
+class Ranges(InputPartition):
+    """What one task reads: a long range, or many short ones."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def together(ranges: Iterator[Range], most: int) -> Iterator[Ranges]:
+    """Ranges in a row, so many in one task that they have about ``most`` bytes."""
+    held: list[Range] = []
+    size = 0
+    for r in ranges:
+        if held and size + r.end - r.start > most:
+            yield Ranges(held)
+            held, size = [], 0
+        held.append(r)
+        size += r.end - r.start
+    if held:
+        yield Ranges(held)
 
 
 def last_newline(path: str, start: int, size: int) -> int:
@@ -89,15 +114,12 @@ class TailReader(DataSourceStreamReader):
         before, after = json.loads(start["files"]), json.loads(end["files"])
         for path, at in after.items():
             self.seen.setdefault(path, at)
-        out: list[InputPartition] = []
-        for path, at in sorted(after.items()):
-            low = before.get(path, 0)
-            if at != low and at > 0:
-                out.extend(cut(path, low if at > low else 0, at, self.most))
-        return out
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        yield partition.path, partition.start, b"".join(read_range(partition.path, partition.start, partition.end))
+        grown = ((path, before.get(path, 0), at) for path, at in sorted(after.items()) if at != before.get(path, 0) and at > 0)
+        return list(together((r for path, low, at in grown for r in cut(path, low if at > low else 0, at, self.most)), min(self.most, TASK_BYTES)))
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        for r in partition.ranges:
+            yield r.path, r.start, b"".join(read_range(r.path, r.start, r.end))
 
 
 class TranscriptTail(DataSource):
