@@ -251,7 +251,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
             for batch in batches:
                 for r in batch.column("record"):
                     count += 1
-                    pack = zlib.compressobj(wbits=31)
+                    pack = zlib.compressobj(1, wbits=31)  # read again soon: quick rather than small
                     yield pack.compress(r.as_py()) + pack.flush()
 
         where, path = _place(folder)
