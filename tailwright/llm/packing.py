@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, pieces
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 WINDOW = 2048
 END_ID = 1
@@ -128,7 +128,7 @@ def slots(strategies: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
 def _pieces(tokenizer: str, end_id: int, window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, drops_space=True)
-        for batch in pieces(batches, rows=10_000):
+        for batch in pieces(batches, rows=10_000, size=SLICE):
             got, at = coder.encode_flat(batch.column("text"))
             ids = np.insert(got, at[1:], end_id).astype("<u4")
             total = np.diff(at) + 1

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, parts_of, pieces
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 END_ID = 2
 
@@ -60,7 +60,7 @@ def _write(folder: str, tokenizer: str, end_id: int):
         lengths: list[np.ndarray] = []
 
         def chunks() -> Iterator[bytes]:
-            for batch in pieces(batches, rows=10_000):
+            for batch in pieces(batches, rows=10_000, size=SLICE):
                 got, at = coder.encode_flat(batch.column("text"))
                 ids.append(batch.column("doc_id").to_numpy())
                 lengths.append(np.diff(at) + 1)

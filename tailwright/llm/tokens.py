@@ -10,10 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose ids a worker remembers (some 40 bytes each), and the longest of them in bytes.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 LONGEST = 64
 #: Bytes of text that are cut at once.
-SLICE = 12 << 20
+SLICE = 4 << 20
 _STRETCH = 1 << 18  # bytes classified at once: what fits a processor's cache
 
 #: Kinds of bytes; those of characters that the rules here do not know for sure are never cut from their neighbours.
