@@ -12,7 +12,9 @@ from .context_mixing import score_documents
 from .embedding_dedup import dedup_embeddings
 from .minhash_dedup import dedup_documents
 from .mixing import mix_documents
+from .oracles import part_codes_sql
 from .packing import pack_documents
+from .part_codes import code_vectors
 from .quality_classifier import fit as fit_quality
 from .quality_classifier import score_quality
 from .quality_rules import BOILERPLATE, quality_rules
@@ -86,6 +88,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality_rules": op1_line_quality_rules,
     "op2_mixing": op2_mixing,
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_context_mixing": op9_context_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_part_codes": op11_part_codes,
 }
 
 #: Line rules in the order that the operator tries them; limits are those of ``Rules``.
@@ -150,4 +157,4 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """.replace("PHRASES", "|".join(BOILERPLATE))
 
-ORACLES: dict[str, str] = {"op1_line_quality_rules": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_line_quality_rules": OP1_SQL, "op11_part_codes": part_codes_sql()}
