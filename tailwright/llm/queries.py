@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, fold, table
 from .context_mixing import score_documents
+from .decontamination import contamination, report
 from .embedding_dedup import dedup_embeddings
 from .minhash_dedup import dedup_documents
 from .mixing import mix_documents
-from .oracles import part_codes_sql
+from .oracles import DECONTAMINATION_SQL, part_codes_sql
 from .packing import pack_documents
 from .part_codes import code_vectors
 from .quality_classifier import fit as fit_quality
@@ -92,6 +93,10 @@ def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_quality_rules": op1_line_quality_rules,
     "op2_mixing": op2_mixing,
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_context_mixing": op9_context_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_part_codes": op11_part_codes,
+    "op13_decontamination": op13_decontamination,
 }
 
 #: Line rules in the order that the operator tries them; limits are those of ``Rules``.
@@ -157,4 +163,4 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """.replace("PHRASES", "|".join(BOILERPLATE))
 
-ORACLES: dict[str, str] = {"op1_line_quality_rules": OP1_SQL, "op11_part_codes": part_codes_sql()}
+ORACLES: dict[str, str] = {"op1_line_quality_rules": OP1_SQL, "op11_part_codes": part_codes_sql(), "op13_decontamination": DECONTAMINATION_SQL}

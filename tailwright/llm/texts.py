@@ -24,24 +24,40 @@ _LOWER[65:91] += 32
 _BYTES = np.arange(1, 257, dtype=np.uint64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: What parts words of letters and digits: ASCII but for those.
+NOT_ALNUM = np.zeros(256, bool)
+NOT_ALNUM[:128] = True
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+#: What ends a piece of a sentence, and what parts words beside that.
+PIECE_ENDS = np.zeros(256, bool)
+PIECE_ENDS[[*b".,;:!?", 10, 11, 12, 13]] = True
+PIECE_GAPS = PIECE_ENDS.copy()
+PIECE_GAPS[[9, 32]] = True
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def words_of(texts: pa.Array, gaps: np.ndarray = _BLANK) -> tuple[pa.Array, np.ndarray]:
     """The words of binary texts in a row, A-Z in lower case, and where each text's begin, with the end."""
+    words, starts, _, _ = placed_words(texts, gaps)
+    return words, starts
+
+
+def placed_words(texts: pa.Array, gaps: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words_of``, and the byte that each word begins at, and the bytes of all texts."""
     texts = texts.cast(pa.large_binary()).fill_null(b"")
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     text = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
     at = at - at[0]
-    full = ~_BLANK[text]
+    full = ~gaps[text]
     begins = full.copy()
     begins[1:] &= ~full[:-1]
     inner = at[:-1][at[:-1] < len(text)]
     begins[inner] = full[inner]
     places = np.flatnonzero(begins)
-    before = np.cumsum(full) - full
+    before = np.cumsum(full, dtype=np.int32 if len(text) < 1 << 31 else np.int64) - full
     offsets = np.append(before[places], int(full.sum())).astype(np.int32)
     data = _LOWER[text[full]]
-    return pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), np.searchsorted(places, at)
+    words = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return words, np.searchsorted(places, at), places, text
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
