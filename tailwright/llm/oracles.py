@@ -64,3 +64,33 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 """
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda w: w <> '') AS w FROM pieces
+), sizes AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), counts AS MATERIALIZED (
+  SELECT lang, len(p) AS size, p, count(*) AS f FROM (
+    SELECT lang, unnest(list_transform(range(1, len(w) - s + 2), lambda i: w[i:i + s - 1])) AS p FROM words, range(1, 5) t(s) WHERE len(w) >= s)
+  GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.f) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1) c
+  JOIN counts x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN counts y ON y.lang = c.lang AND y.p = c.p[k + 1:c.size]
+), best AS (
+  SELECT lang, p, a, arg_min((l, r, score), (score, k)) AS b FROM cuts GROUP BY lang, p, a
+), inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(f) AS longer FROM (
+    SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM counts WHERE size > 2)) GROUP BY ALL
+), ranked AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, b[1] AS l, b[2] AS r, CAST(b[3] AS BIGINT) AS score
+  FROM best LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""

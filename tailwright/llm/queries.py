@@ -13,9 +13,10 @@ from .decontamination import contamination, report
 from .embedding_dedup import dedup_embeddings
 from .minhash_dedup import dedup_documents
 from .mixing import mix_documents
-from .oracles import DECONTAMINATION_SQL, part_codes_sql
+from .oracles import DECONTAMINATION_SQL, PHRASES_SQL, part_codes_sql
 from .packing import pack_documents
 from .part_codes import code_vectors
+from .phrases import mine_phrases
 from .quality_classifier import fit as fit_quality
 from .quality_classifier import score_quality
 from .quality_rules import BOILERPLATE, quality_rules
@@ -93,6 +94,10 @@ def op11_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_context_mixing": op9_context_mixing,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_part_codes": op11_part_codes,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -163,4 +169,9 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM base
 """.replace("PHRASES", "|".join(BOILERPLATE))
 
-ORACLES: dict[str, str] = {"op1_line_quality_rules": OP1_SQL, "op11_part_codes": part_codes_sql(), "op13_decontamination": DECONTAMINATION_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_quality_rules": OP1_SQL,
+    "op11_part_codes": part_codes_sql(),
+    "op12_phrase_mining": PHRASES_SQL,
+    "op13_decontamination": DECONTAMINATION_SQL,
+}
