@@ -9,12 +9,13 @@ counted again by their words, so all counts are exact.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, mix64, parts_of, pieces
@@ -39,6 +40,15 @@ PACKED = "bucket int, keys binary, counts binary"
 STATE = f"{PACKED}, done_keys binary, done_counts binary, reached binary"
 
 
+def _sent(spark: SparkSession, table: np.ndarray):
+    """A broadcast of a table of bytes, most of which are alike."""
+    return spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+
+def _opened(sent) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sent.value), np.uint8)
+
+
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Texts of a few MB with their languages; a longer text is cut where a piece ends."""
     ends = PIECE_ENDS
@@ -119,7 +129,7 @@ def _counting(scan: int, shards: int, table, bucket_bits: int, mask: np.uint64):
         return pa.RecordBatch.from_pydict({"bucket": bucket[heads], "keys": [keys[a:b].tobytes() for a, b in spans], "counts": [counts[a:b].tobytes() for a, b in spans]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = table.value
+        use = _opened(table)
 
         def since(value: np.ndarray) -> np.ndarray:
             return use[_slot(value)]
@@ -187,14 +197,14 @@ def _filtering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _probes(b.column("key").to_numpy().view(np.uint64)):
             bits[p] = True
     whole = np.packbits(bits, bitorder="little").reshape(256, -1)
-    yield pa.RecordBatch.from_pydict({"block": np.arange(256, dtype=np.int32), "bits": [x.tobytes() for x in whole]})
+    yield pa.RecordBatch.from_pydict({"block": np.arange(256, dtype=np.int32), "bits": [zlib.compress(x.tobytes(), 1) for x in whole]})
 
 
 def _either(rows: pa.Table) -> pa.Table:
-    bits = rows["bits"].to_pylist()
-    whole = np.frombuffer(bits[0], np.uint8).copy()
+    bits = [np.frombuffer(zlib.decompress(x), np.uint8) for x in rows["bits"].to_pylist()]
+    whole = bits[0].copy()
     for x in bits[1:]:
-        whole |= np.frombuffer(x, np.uint8)
+        whole |= x
     return pa.table({"block": rows["block"][:1].combine_chunks(), "bits": pa.array([whole.tobytes()], pa.binary())})
 
 
@@ -202,7 +212,7 @@ def _naming(table, bits, mask: np.uint64, once: bool):
     """Language, words and count of all that was counted under a key that may be frequent: each once in a task, or (not ``once``) with all its counts; and the words of each language, without key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, use = bits.value, table.value
+        filled, use = _opened(bits), _opened(table)
 
         def since(value: np.ndarray) -> np.ndarray:
             return use[_slot(value)]
@@ -258,7 +268,7 @@ def count_phrases(docs: DataFrame, ws: Workspace, least: int = LEAST, shards: in
     table = np.full(1 << SLOT_BITS, OFF, np.uint8)
     state, scan, last = spark.createDataFrame([], STATE), 0, 0
     while scan < last + shards:
-        sent = spark.sparkContext.broadcast(table)
+        sent = _sent(spark, table)
         counted = texts.where(F.col("shard") == scan % shards).select("lang", "text").mapInArrow(_counting(scan, shards, sent, bucket_bits, mask), PACKED)
         both = state.drop("reached").unionByName(counted, allowMissingColumns=True)
         state = ws.save(both.groupBy("bucket").applyInArrow(_merging(scan, shards, bucket_bits, least), STATE), f"scan{scan}")
@@ -270,15 +280,15 @@ def count_phrases(docs: DataFrame, ws: Workspace, least: int = LEAST, shards: in
             if new.any():
                 own[new] = scan + 1
                 last = scan + 1
-        sent.unpersist()
+        sent.destroy()
         if scan:
             ws.drop(f"scan{scan - 1}")
         scan += 1
     frequent = ws.save(state.select("done_keys", "done_counts").mapInArrow(_unpacked, "key long, f long"), "frequent")
     ws.drop(f"scan{scan - 1}")
     blocks = frequent.select("key").mapInArrow(_filtering, "block int, bits binary").groupBy("block").applyInArrow(_either, "block int, bits binary").collect()
-    bits = spark.sparkContext.broadcast(np.frombuffer(b"".join(r.bits for r in sorted(blocks, key=lambda r: r.block)), np.uint8))
-    sent = spark.sparkContext.broadcast(table)
+    bits = _sent(spark, np.frombuffer(b"".join(r.bits for r in sorted(blocks, key=lambda r: r.block)), np.uint8))
+    sent = _sent(spark, table)
     schema = "key long, lang string, phrase string, f long"
     named = ws.save(texts.select("lang", "text").mapInArrow(_naming(sent, bits, mask, True), schema), "named")
     sizes = named.where("key is null").groupBy("lang").agg(F.sum("f").alias("n"))
