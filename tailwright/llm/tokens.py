@@ -98,15 +98,17 @@ class Encoder:
     around it. Texts are cut where such a split is certain, with the space ahead of a word left on it; the library encodes
     each distinct piece once, and a worker remembers the pieces that it met first, in Arrow
     and numpy arrays. ``drops_space``: the normalizer lower-cases, turns white space into one
-    space, and the splitter drops it (word-end vocabularies). Strings of special tokens in a text are ordinary text.
+    space, and the splitter drops it (word-end vocabularies). Texts that name a special token are encoded whole by the library,
+    which gives them that token's id; with ``special_as_text`` such names are ordinary text.
     """
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str, drops_space: bool, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.named = [] if special_as_text else sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.drops_space = drops_space
@@ -161,6 +163,18 @@ class Encoder:
 
     def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin, with the end. Null texts are empty."""
+        texts = texts.cast(pa.large_string())
+        names = np.zeros(len(texts), bool)
+        for name in self.named:  # in any case: a normalizer may change it
+            names |= pc.match_substring(texts, name, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        if not names.any():
+            return self._encode_flat(texts)
+        ids, at = self._encode_flat(pc.if_else(pa.array(names), "", texts))
+        whole = iter([np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts.filter(pa.array(names)).to_pylist(), add_special_tokens=False)])
+        parts = [next(whole) if names[k] else ids[at[k] : at[k + 1]] for k in range(len(texts))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if not len(texts) or at[-1] == at[0]:

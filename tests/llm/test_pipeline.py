@@ -110,7 +110,6 @@ def test_the_sample_follows_draws(spark, stages):
 
 def test_packed_pieces_are_the_documents(stages):
     t = Tokenizer.from_file(default_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = Counter((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in stages[4])
     got = Counter()
     for r in stages[5]:

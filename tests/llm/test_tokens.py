@@ -15,9 +15,7 @@ FILES = {"byte_bpe_50k.json": False, "word_bpe_49k.json": True}
 
 
 def _plain(name):
-    t = Tokenizer.from_file(default_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_path(name))
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +23,7 @@ def encoders():
     return {n: (Encoder(default_path(n), d), _plain(n)) for n, d in FILES.items()}
 
 
-ODD = ["", " ", "  ", "a  b", "a   b", " a", "a ", "a \n b", "a\n\n b", "it's 's  x", "é́ ́a", "<|endoftext|> a<|endoftext|>", "a\t b", "ΑΣ Σ.", "日本 語　 x", "a\x1c b", "a\x01b \x01 c", "x\n\n", "İa b", "don't  I'LL"]
+ODD = ["", " ", "  ", "a  b", "a   b", " a", "a ", "a \n b", "a\n\n b", "it's 's  x", "é́ ́a", "<|endoftext|> a<|endoftext|>", "a\t b", "ΑΣ Σ.", "日本 語　 x", "a\x1c b", "a\x01b \x01 c", "x\n\n", "İa b", "don't  I'LL", "hello <|endoftext|> world", "x <|ENDOFTEXT|>y <|startoftext|>", "<|endoftext|>"]
 
 
 @pytest.mark.parametrize("name", FILES)
@@ -34,6 +32,13 @@ def test_odd_texts(encoders, name):
     assert [e.tolist() for e in ours.encode([*ODD, None])] == [plain.encode(t, add_special_tokens=False).ids for t in ODD] + [[]]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_names_of_special_tokens_as_text(name):
+    plain = _plain(name)
+    plain.encode_special_tokens = True
+    assert [e.tolist() for e in Encoder(default_path(name), FILES[name], special_as_text=True).encode(ODD)] == [plain.encode(t, add_special_tokens=False).ids for t in ODD]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(" \n\tabAéÉ×—“'.!?0_9\x01Σİ́　€😀<|>"), max_size=30), max_size=4))
 def test_any_text(encoders, texts):
