@@ -63,11 +63,20 @@ def dry_run(batches: DataFrame) -> DataFrame:
     return batches.select("session_id", "record_count", "skipped_lines", "project_path")
 
 
+def dry_summary(batches: DataFrame) -> DataFrame:
+    """Totals of what a dry run would send."""
+    return batches.agg(
+        F.count("*").alias("scanned_files"),
+        F.coalesce(F.sum("record_count"), F.lit(0)).cast("long").alias("records_sent"),
+        F.coalesce(F.sum("skipped_lines"), F.lit(0)).cast("long").alias("skipped_lines"),
+    )
+
+
 def run_summary(batches: DataFrame, results: DataFrame) -> DataFrame:
     """One row of totals. ``batches`` passed all filters; ``results``: file_path, ok, inserted, deduped.
 
     Records of failed files count as sent, what was inserted of them does not; batches without a result
-    are neither uploaded nor failed.
+    are neither uploaded nor failed. If ``results`` say which are duplicates, these are counted beside the accepted ones.
     """
     joined = batches.join(results, "file_path", "left")
     long = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
@@ -80,6 +89,7 @@ def run_summary(batches: DataFrame, results: DataFrame) -> DataFrame:
         long(F.sum(F.when(F.col("ok"), F.col("inserted"))), "inserted"),
         long(F.sum(F.when(F.col("ok"), F.col("deduped"))), "deduped"),
         long(F.sum("skipped_lines"), "skipped_lines"),
+        *([F.count_if(F.col("ok") & ~F.col("duplicate")).alias("accepted_files"), F.count_if("duplicate").alias("duplicate_files")] if "duplicate" in results.columns else []),
     )
 
 

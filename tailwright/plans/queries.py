@@ -407,7 +407,7 @@ SELECT file_path, CAST(0 AS BIGINT) AS start, CAST(strlen(used) AS BIGINT) AS co
 def transcripts_tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a one-shot stream reads of new files: all bytes up to the last newline."""
     root, out = _files_written(spark, sf_dir), work_folder(spark, "tailed")
-    rows = tail(spark, root).select(_under(root).alias("file_path"), "start", consumed_bytes().alias("consumed"), F.sha2("content", 256).alias("sha256"))
+    rows = tail(spark, root, f"{out}/log").select(_under(root).alias("file_path"), "start", consumed_bytes().alias("consumed"), F.sha2("content", 256).alias("sha256"))
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,47 +12,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.session import prepare_session
-from ..operators.batches import build_batches, privacy_gate, project_filter
-from ..operators.dedup import new_records, record_key
-from ..operators.lines import line_offsets, split_lines
-from ..operators.records import mark_lines, serialise
-from ..plans.incremental import STORE, Tables
+from ..plans.delivery import Sender
+from ..plans.incremental import Limits, Run, Tables, ingest
+from ..sources.store import read_or_empty
+from ..sources.transcripts import drop_folder, read_text, write_text
 from .tail import RANGE_BYTES, tail
 
 SECONDS = 60
+HELD = "file_path string, length long"
 
 
-def store_batch(spark: SparkSession, ranges: DataFrame, repos: DataFrame, tables: Tables, project: str | None = None) -> None:
-    """Store the new records of a micro-batch of byte ranges; known ones, also of a replayed batch, change nothing.
+def pass_over(spark: SparkSession, grown: DataFrame, repos: DataFrame, tables: Tables, held: str, key: str, project: str | None = None, sender: Sender | None = None, limits: Limits | None = None) -> Run:
+    """A pass over files that grew, up to where they grew (file_path, end), and over those that an earlier batch could not deliver.
 
-    Keys of records without a uuid rest on the byte position of their line, however the file was cut.
-    Lines of a file's ranges are in the order of these positions.
+    What is read begins at the files' cursors, as in any pass. Files that fail are held for the next batch. The batch's ``key`` names its work: a batch
+    that is replayed goes on from its finished steps, and if it was committed does nothing.
     """
-    lines = line_offsets(split_lines(ranges), ["file_path", "start"]).withColumn("byte_start", F.col("start") + F.col("byte_start")).withColumn("line_no", F.col("byte_start"))
-    marked = mark_lines(lines)
-    batches = privacy_gate(project_filter(build_batches(lines, marked.where("not blank")), project), repos)
-    rows = (
-        serialise(marked)
-        .join(batches.select("file_path", "session_id", "project_path"), "file_path")
-        .withColumn("record_key", record_key("byte_start"))
-    )
-    fresh = new_records(rows.select("record_key", "file_path", "byte_start"), tables.stored(spark), "byte_start")
-    names = [c.split()[0] for c in STORE.split(", ")]
-    rows.join(fresh, ["record_key", "file_path", "byte_start"]).select(*names).write.mode("append").parquet(tables.store)
-
-
-def watch(spark: SparkSession, root: str, repos: Callable[[], DataFrame], tables: Tables, checkpoint: str, project: str | None = None, seconds: int | None = SECONDS, range_bytes: int = RANGE_BYTES) -> StreamingQuery:
-    """Start the stream: every ``seconds``, or (None) once over what there is.
-
-    The checkpoint moves only after a batch is stored; a batch that failed is read again. ``repos`` is
-    called for each batch, so that new remotes count.
+    table = f"{held}.d"
+    waiting = read_or_empty(spark, f"{table}/{told}", HELD) if (told := read_text(spark, held)) else spark.createDataFrame([], HELD)
+    files = grown.select("file_path", F.col("end").alias("length")).unionByName(waiting).groupBy("file_path").agg(F.max("length").alias("length"))
+    run = ingest(spark, files, repos, tables, project, sender=sender, limits=limits, key=key)
+    failed = run.files.where("not ok").select("file_path").join(files, "file_path")
+    if failed.isEmpty():
+        write_text(spark, held, None)
+    else:
+        failed.select("file_path", "length").write.mode("overwrite").parquet(f"{table}/{key}")
+        write_text(spark, held, key)
+    if told and told != key:
+        drop_folder(spark, f"{table}/{told}")
+    return run
+
+
+def watch(
+    spark: SparkSession, root: str, repos: Callable[[], DataFrame], tables: Tables, checkpoint: str, project: str | None = None, seconds: int | None = SECONDS,
+    range_bytes: int = RANGE_BYTES, sender: Sender | None = None, limits: Limits | None = None, told: Callable[[Run], None] | None = None,
+) -> StreamingQuery:
+    """Start the stream: every ``seconds``, or (None) once over what there is, a pass over the files that grew.
+
+    The checkpoint moves only after a pass is committed; a batch that failed is taken up again. Files whose requests failed are tried again by
+    the next batch, which comes even if nothing grew. ``repos`` is called for each batch, so that new remotes count; ``told`` gets each pass' results.
     """
     prepare_session(spark)
-
-    def each(ranges: DataFrame, _: int) -> None:
-        store_batch(ranges.sparkSession, ranges, repos(), tables, project)
-
-    writer = tail(spark, root, range_bytes).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    held, own = f"{checkpoint}/held", f"{checkpoint}/name"
+    name = read_text(spark, own)
+    if not name:
+        write_text(spark, own, name := uuid.uuid4().hex[:12])
+
+    def each(ranges: DataFrame, batch: int) -> None:
+        run = pass_over(ranges.sparkSession, ranges, repos(), tables, held, f"watch-{name}-{batch}", project, sender, limits)
+        if told:
+            told(run)
+
+    stream = tail(spark, root, f"{checkpoint}/tail", range_bytes, content=False, held=held)
+    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/stream")
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
@@ -59,7 +72,7 @@ def keep_watching(start: Callable[[], StreamingQuery], stop: threading.Event, se
     """Run the stream that ``start`` starts until ``stop`` is set; returns how often it failed.
 
     A failed stream is logged and, ``seconds`` later, started again from its checkpoint: the batch that failed
-    is read again, so nothing is lost, and what part of it was stored is known and not stored twice. A stream that ends by itself
+    is taken up again, so nothing is lost, and what part of it was stored is known and not stored twice. A stream that ends by itself
     (one-shot) is started again, too.
     """
     failures = 0

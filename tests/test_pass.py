@@ -6,7 +6,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tailwright.plans.incremental import Limits, Sender, Tables, gated_batches, run_pass
+from tailwright.plans.delivery import Sender
+from tailwright.plans.incremental import Limits, Tables, gated_batches, ingest, run_pass, sweep
 from tailwright.sources.transcripts import list_transcripts, load_cursors, new_ranges, read_transcripts, save_cursors
 from tailwright.streaming.watch import keep_watching, watch
 
@@ -28,8 +29,8 @@ def tree(tmp_path):
     return tmp_path
 
 
-def _tables(path):
-    return Tables(f"{path}/store", f"{path}/cursors", f"{path}/work")
+def _tables(path, keep=("results", "requests")):
+    return Tables(f"{path}/store", f"{path}/cursors", f"{path}/work", keep=keep, buckets=4)
 
 
 def _repos(spark):
@@ -47,7 +48,7 @@ def _store(spark, tables):
 def test_passes_appends_and_replays(spark, tree):
     t = _tables(tree)
     first = _pass(spark, tree, t)
-    assert first == {"scanned_files": 2, "uploaded_files": 2, "failed_files": 0, "records_sent": 5, "inserted": 4, "deduped": 1, "skipped_lines": 1}
+    assert first == {"scanned_files": 2, "uploaded_files": 2, "failed_files": 0, "records_sent": 5, "inserted": 4, "deduped": 1, "skipped_lines": 1, "accepted_files": 2, "duplicate_files": 0}
     assert not any("secret" in r for _, r in _store(spark, t))
     assert _pass(spark, tree, t)["scanned_files"] == 0
     with (tree / "in/-w-app/s1.jsonl").open("ab") as f:
@@ -89,7 +90,7 @@ def test_a_failing_chunk_holds_its_files_cursor(spark, tree):
 
     limits = Limits(request_records=2)
     first = _pass(spark, tree, t, sender=Sender(deliver=deliver), limits=limits)
-    assert first == {"scanned_files": 2, "uploaded_files": 1, "failed_files": 1, "records_sent": 7, "inserted": 2, "deduped": 0, "skipped_lines": 1}
+    assert first == {"scanned_files": 2, "uploaded_files": 1, "failed_files": 1, "records_sent": 7, "inserted": 2, "deduped": 0, "skipped_lines": 1, "accepted_files": 1, "duplicate_files": 0}
     assert sorted(k for k, _ in _store(spark, t)) == ["k0", "k1", "u1", "u2"]  # chunks before the failure are stored
     assert [r.file_path[-8:] for r in load_cursors(spark, t.cursors).collect()] == ["s1.jsonl"]
     results = spark.read.parquet(f"{t.work}/*/results").where("not ok").collect()
