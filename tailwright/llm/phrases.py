@@ -28,7 +28,9 @@ SLOT_BITS = 24
 #: Bits of the filter for frequent phrases in the last scan.
 FILTER_BITS = 26
 #: Keys that a task holds before it sorts them, and counts before it hands them on.
-HELD = 4 << 20
+HELD = 2 << 20
+#: Bytes of input, by the planner's estimate, that one task scans: the more, the fewer times a common phrase is sent.
+TASK_BYTES = 32 << 20
 PIECE_BYTES = 4 << 20
 #: A key: the hash, two bits of its length, five bits of the scan that its count began with.
 LENGTH_AT, START = 5, np.uint64(31)
@@ -263,13 +265,16 @@ def count_phrases(docs: DataFrame, ws: Workspace, least: int = LEAST, shards: in
     mask = np.uint64(((1 << hash_bits) - 1) << (64 - hash_bits))
     bucket_bits = min(20, max(5, (parts_of(docs) - 1).bit_length()))
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
+    task = spark.sparkContext.defaultParallelism
+    estimate = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     rows.write.partitionBy("shard").parquet(f"{ws.path}/shards")
     texts = spark.read.schema("lang string, text string, shard int").parquet(f"{ws.path}/shards")
+    of_shard, of_all = (max(task, min(estimate // n // TASK_BYTES, 1_000_000)) for n in (shards, 1))
     table = np.full(1 << SLOT_BITS, OFF, np.uint8)
     state, scan, last = spark.createDataFrame([], STATE), 0, 0
     while scan < last + shards:
         sent = _sent(spark, table)
-        counted = texts.where(F.col("shard") == scan % shards).select("lang", "text").mapInArrow(_counting(scan, shards, sent, bucket_bits, mask), PACKED)
+        counted = texts.where(F.col("shard") == scan % shards).select("lang", "text").coalesce(of_shard).mapInArrow(_counting(scan, shards, sent, bucket_bits, mask), PACKED)
         both = state.drop("reached").unionByName(counted, allowMissingColumns=True)
         state = ws.save(both.groupBy("bucket").applyInArrow(_merging(scan, shards, bucket_bits, least), STATE), f"scan{scan}")
         # a bit for each slot, however many phrases there are
@@ -290,14 +295,14 @@ def count_phrases(docs: DataFrame, ws: Workspace, least: int = LEAST, shards: in
     bits = _sent(spark, np.frombuffer(b"".join(r.bits for r in sorted(blocks, key=lambda r: r.block)), np.uint8))
     sent = _sent(spark, table)
     schema = "key long, lang string, phrase string, f long"
-    named = ws.save(texts.select("lang", "text").mapInArrow(_naming(sent, bits, mask, True), schema), "named")
+    named = ws.save(texts.select("lang", "text").coalesce(of_all).mapInArrow(_naming(sent, bits, mask, True), schema), "named")
     sizes = named.where("key is null").groupBy("lang").agg(F.sum("f").alias("n"))
     name = named.where("key is not null").groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name"), F.max(F.struct("lang", "phrase")).alias("other"))
     met = ws.save(frequent.join(name, "key").withColumn("alone", F.col("name") == F.col("other")), "met")
     out = met.where("alone").select("name.lang", "name.phrase", "f")
     shared = met.where("not alone").select("key").distinct()
     if not shared.isEmpty():
-        again = texts.select("lang", "text").mapInArrow(_naming(sent, bits, mask, False), schema).join(shared, "key", "left_semi")
+        again = texts.select("lang", "text").coalesce(of_all).mapInArrow(_naming(sent, bits, mask, False), schema).join(shared, "key", "left_semi")
         out = out.unionByName(again.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     return ws.save(out, "phrases"), sizes
 
