@@ -68,8 +68,9 @@ def _round(front: DataFrame, deliver: Callable[[DataFrame], DataFrame], most: in
     """Attempts at the requests of a round: transient failures are tried again, up to ``most`` attempts."""
     every, waiting, before = None, front, 0
     while True:
-        got = deliver(waiting).select("file_path", "chunk_no", (F.col("attempt") + before).cast("int").alias("attempt"), F.col("status").cast("int").alias("status"))
-        got = keep(got, f"{name}-{before}")
+        numbered = (F.col("attempt") + before).cast("int").alias("attempt")
+        # a function: what was kept before is not sent again
+        got = keep(lambda w=waiting, n=numbered: deliver(w).select("file_path", "chunk_no", n, F.col("status").cast("int").alias("status")), f"{name}-{before}")
         every = got if every is None else every.unionByName(got)
         before = got.agg(F.max("attempt")).first()[0] or most  # no attempt at all: not sent
         again = classify_outcomes(every, most, BY).where("outcome = 'transient'").select(*BY)

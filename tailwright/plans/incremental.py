@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,10 +75,11 @@ class Work:
     def __init__(self, spark: SparkSession, folder: str, key: str):
         self.spark, self.at = spark, f"{folder}/{key}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
+        """The table if it is whole, else that of ``df``, which is called only then if it is a function."""
         if not is_whole(self.spark, f"{self.at}/{name}"):
-            self.again(df, name)
-        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+            self.again(df() if callable(df) else df, name)
+        return self.spark.read.parquet(f"{self.at}/{name}")
 
     def again(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.at}/{name}")

@@ -22,7 +22,7 @@ GROUP = 1_000_000
 #: Keys that are broadcast to the files that may hold them; more are joined by a shuffle of both.
 BROADCAST_KEYS = 2_000_000
 
-Keep = Callable[[DataFrame, str], DataFrame]
+Keep = Callable[[DataFrame | Callable[[], DataFrame], str], DataFrame]
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
