@@ -77,9 +77,9 @@ class Work:
 
     def keep(self, df: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
         """The table if it is whole, else that of ``df``, which is called only then if it is a function."""
-        if not is_whole(self.spark, f"{self.at}/{name}"):
-            self.again(df() if callable(df) else df, name)
-        return self.spark.read.parquet(f"{self.at}/{name}")
+        if is_whole(self.spark, f"{self.at}/{name}"):
+            return (self.spark.read if callable(df) else self.spark.read.schema(df.schema)).parquet(f"{self.at}/{name}")
+        return self.again(df() if callable(df) else df, name)
 
     def again(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.at}/{name}")

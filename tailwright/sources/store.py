@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .transcripts import read_text, write_text
 
 STORE = "record_key string, uuid string, session_id string, project_path string, file_path string, byte_start long, record string"
+STORED = f"{STORE}, bucket int"
 SKETCH = "file string, bucket int, bits binary"
 BUCKETS = 64
 #: Bits of a sketch for each key, and probes of a key: one key in 400 is looked up in a file that does not have it.
@@ -83,18 +84,20 @@ def _sketch_of_file(rows: pa.Table) -> pa.Table:
     return pa.table({"file": rows["file"][:1].combine_chunks(), "bucket": rows["bucket"][:1].combine_chunks(), "bits": pa.array([bits], pa.binary())})
 
 
-def sketches(spark: SparkSession, path: str) -> DataFrame:
-    """The sketches of all files of a store; files without one, as after a crash, get theirs first."""
+def sketches(spark: SparkSession, path: str) -> DataFrame | None:
+    """The sketches of all files of a store, None without any record; files without a sketch, as after a crash, get theirs first."""
     at, have = f"{path}-sketches", read_or_empty(spark, f"{path}-sketches", SKETCH)
     try:
-        files = spark.read.parquet(path).inputFiles()
-    except AnalysisException:  # no store yet, or one without a record
-        return spark.createDataFrame([], SKETCH)
+        files = spark.read.schema(STORED).parquet(path).inputFiles()
+    except AnalysisException:
+        files = []
+    if not files:
+        return None
     name = lambda f: F.concat_ws("/", F.element_at(F.split(f, "/"), -2), F.element_at(F.split(f, "/"), -1))
     there = spark.createDataFrame([(f,) for f in files], "uri string").withColumn("file", name(F.col("uri")))
     missing = [r.uri for r in there.join(have, "file", "left_anti").collect()]
     if missing:
-        keys = spark.read.option("basePath", path).parquet(*missing).select(name(F.col("_metadata.file_path")).alias("file"), "bucket", F.xxhash64("record_key").alias("h"))
+        keys = spark.read.schema(STORED).option("basePath", path).parquet(*missing).select(name(F.col("_metadata.file_path")).alias("file"), "bucket", F.xxhash64("record_key").alias("h"))
         keys.groupBy("file", "bucket").applyInArrow(_sketch_of_file, SKETCH).write.mode("append").parquet(at)
         have = read_or_empty(spark, at, SKETCH)
     return have.join(there, "file", "left_semi").dropDuplicates(["file"])
@@ -117,7 +120,7 @@ def known_keys(keys: DataFrame, path: str, keep: Keep, buckets: int = BUCKETS) -
     """
     spark = keys.sparkSession
     have = sketches(spark, path)
-    if have.isEmpty():
+    if have is None:
         return keys.limit(0)
     buckets = buckets_of(spark, path, buckets)
     hashed = keys.select("record_key", F.xxhash64("record_key").alias("h")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
@@ -131,5 +134,5 @@ def known_keys(keys: DataFrame, path: str, keep: Keep, buckets: int = BUCKETS) -
         return keys.limit(0)
     wanted = suspects.select("record_key").distinct()
     few = wanted.count() <= BROADCAST_KEYS
-    stored = spark.read.option("basePath", path).parquet(*(f"{path}/{f}" for f in files)).select("record_key")
+    stored = spark.read.schema(STORED).option("basePath", path).parquet(*(f"{path}/{f}" for f in files)).select("record_key")
     return stored.join(F.broadcast(wanted) if few else wanted, "record_key", "left_semi").distinct()
