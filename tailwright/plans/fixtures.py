@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _PATH = "concat('/t/projects/-home-u', CAST(conv_id % 5 AS STRING), '-src-app', CAST(conv_id % 3 AS STRING), '/s', CAST(conv_id AS STRING), '.jsonl')"
 
 
-def _escaped(c: str) -> str:
+def escaped(c: str) -> str:
     """A JSON string's content: the texts hold no control characters but newline and tab."""
     return f"replace(replace(replace(replace({c}, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), chr(10), concat(chr(92), 'n')), chr(9), concat(chr(92), 't'))"
 
@@ -18,7 +18,7 @@ def nested(text: str) -> str:
     """A nested record around a text (an SQL expression)."""
     return (
         "concat('{\"uuid\":\"', md5(CAST(doc_id AS STRING)), '\",\"n\":', CAST(doc_id AS STRING), ',\"message\":{\"content\":[{\"type\":\"text\",\"text\":\"', "
-        + _escaped(text)
+        + escaped(text)
         + ", '\"},{\"type\":\"tag\",\"text\":\"', lang, '\"}],\"keep\":null}}')"
     )
 
@@ -32,7 +32,7 @@ SELECT {_PATH} AS file_path,
        ELSE concat('{{"uuid":"', md5(concat(CAST(conv_id % 60 AS STRING), '-', CAST(turn AS STRING))), '","role":"', role, '"',
          CASE WHEN conv_id % 4 <> 0 AND turn % 3 = 1 THEN concat(',"cwd":"/home/u', CAST(conv_id % 5 AS STRING), '/src/app-', CAST(turn % 2 AS STRING), '"') ELSE '' END,
          CASE WHEN turn % 4 = 2 THEN concat(',"gitBranch":"b', CAST(turn AS STRING), '"') ELSE '' END,
-         ',"text":"', {_escaped("text")}, '"}}') END AS raw
+         ',"text":"', {escaped("text")}, '"}}') END AS raw
 FROM conversations""",
     "doc_files": """
 SELECT concat('/t/docs/-srv-', source, '/d', CAST(doc_id AS STRING), '.jsonl') AS file_path,

@@ -20,11 +20,12 @@ from ..operators.lines import batch_sha256, consumed_bytes, line_offsets, non_bl
 from ..operators.records import parse_lines, parse_records
 from ..sources.transcripts import slice_at_cursor, valid_cursors
 from ..sources.files import write_once
-from ..sources.transcripts import read_transcripts
+from ..sources.transcripts import list_transcripts, read_transcripts
 from ..streaming.tail import tail
 from ..streaming.watch import watch
-from .fixtures import fixture, nested, with_fixtures
-from .incremental import Tables
+from .delivery import Sender
+from .fixtures import escaped, fixture, nested, with_fixtures
+from .incremental import Limits, Tables, ingest
 
 #: Budgets that make small tables exercise every branch.
 REQUEST, RECORD, FIRST, SECOND, COUNT = 1500, 1200, 400, 100, 3
@@ -412,14 +413,9 @@ def transcripts_tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{out}/rows")
 
 
-@query(
-    f"""WITH {GATED}, kept AS (
-  SELECT coalesce(p.uuid, concat(p.file_path, '#', p.line_no)) AS k FROM parsed p JOIN gated g ON g.file_path = p.file_path WHERE valid)
-SELECT count(DISTINCT k) AS stored FROM kept"""
-)
-def transcripts_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records in the store after two one-shot runs over the files of ``lines``, the second one with nothing new."""
-    root, at = work_folder(spark, "watched"), work_folder(spark, "watch")
+def _lines_written(spark: SparkSession, sf_dir: str) -> str:
+    """The files of ``lines`` as real files in the shared folder; returns their root."""
+    root = work_folder(spark, "sessions")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,7 +426,62 @@ def transcripts_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
     files = _lines(spark, sf_dir).groupBy("file_path").agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("content"))
     files.mapInArrow(write, "files long").agg(F.sum("files")).collect()
+    return root
+
+
+#: Records of gated files as the pass cuts them: their text is the last field of a line.
+SENT_TEXT = f"""texts AS (
+  SELECT p.*, json_extract_string(p.raw, '$.text') AS t FROM parsed p JOIN gated g ON g.file_path = p.file_path WHERE valid
+), ends AS (SELECT *, {escaped("t")} AS e, {_cut("t", FIRST)} AS t1 FROM texts
+), once AS (SELECT *, concat(left(raw, length(raw) - length(e) - 2), {escaped("t1")}, '"}}') AS r1, {_cut("t1", SECOND)} AS t2 FROM ends
+), made AS (SELECT *, concat(left(raw, length(raw) - length(e) - 2), {escaped("t2")}, '"}}') AS r2 FROM once
+), kept AS (SELECT file_path, line_no, uuid, CASE WHEN strlen(raw) <= {RECORD} THEN raw WHEN strlen(r1) <= {REQUEST} THEN r1 ELSE r2 END AS record FROM made)"""
+
+
+@query(
+    f"""WITH {GATED}, {SENT_TEXT}
+SELECT count(*) AS stored, CAST(coalesce(sum(strlen(record)), 0) AS BIGINT) AS stored_bytes
+FROM (SELECT record FROM kept QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY file_path, line_no) = 1) t"""
+)
+def transcripts_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in the store, and their bytes, after two one-shot runs over the files of ``lines``, the second one with nothing new; long ones are cut as in any pass."""
+    root, at = _lines_written(spark, sf_dir), work_folder(spark, "watch")
     tables = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work")
     for _ in range(2):
-        watch(spark, root, lambda: fixture(spark, sf_dir, "repos"), tables, f"{at}/checkpoint", seconds=None).awaitTermination()
-    return tables.stored(spark).agg(F.count("*").alias("stored"))
+        watch(spark, root, lambda: fixture(spark, sf_dir, "repos"), tables, f"{at}/checkpoint", seconds=None, limits=Limits(RECORD, REQUEST, FIRST, SECOND, COUNT)).awaitTermination()
+    return tables.stored(spark).agg(F.count("*").alias("stored"), F.coalesce(F.sum(F.octet_length("record")), F.lit(0)).cast("long").alias("stored_bytes"))
+
+
+@query(
+    PACKED.replace(PARSED, GATED)
+    + """, chunks AS (
+  SELECT p.file_path, p.line_no, p.chunk_no, q.uuid, CAST(replace(split_part(p.file_path, '/s', 2), '.jsonl', '') AS BIGINT) AS conv
+  FROM p JOIN parsed q ON q.file_path = p.file_path AND q.line_no = p.line_no JOIN gated g ON g.file_path = p.file_path
+), failed AS (
+  SELECT file_path, count(DISTINCT chunk_no) AS chunks, min(chunk_no) FILTER (WHERE (conv + chunk_no) % 4 = 3) AS first_failed FROM chunks GROUP BY file_path
+), sent1 AS (
+  SELECT chunks.* FROM chunks JOIN failed USING (file_path) WHERE first_failed IS NULL OR chunk_no < first_failed
+), fresh1 AS (SELECT * FROM sent1 QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY file_path, line_no) = 1
+), sent2 AS (SELECT chunks.* FROM chunks JOIN failed USING (file_path) WHERE first_failed IS NOT NULL
+), fresh2 AS (SELECT * FROM sent2 WHERE uuid NOT IN (SELECT uuid FROM fresh1) QUALIFY row_number() OVER (PARTITION BY uuid ORDER BY file_path, line_no) = 1
+), per AS (
+  SELECT 1 AS pass, file_path, (SELECT count(*) FROM sent1 s WHERE s.file_path = f.file_path) AS sent, (SELECT count(*) FROM fresh1 s WHERE s.file_path = f.file_path) AS inserted, chunks, first_failed FROM failed f
+  UNION ALL
+  SELECT 2, file_path, (SELECT count(*) FROM sent2 s WHERE s.file_path = f.file_path), (SELECT count(*) FROM fresh2 s WHERE s.file_path = f.file_path), chunks, NULL FROM failed f WHERE first_failed IS NOT NULL)
+SELECT pass, file_path, first_failed IS NULL AS ok, chunks, CAST(inserted AS BIGINT) AS inserted, CAST(sent - inserted AS BIGINT) AS deduped, first_failed,
+  CASE WHEN first_failed IS NOT NULL THEN concat('transient failure, status 503, chunk ', first_failed) END AS error, false AS duplicate
+FROM per"""
+)
+def passes_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes over the files of ``lines``: in the first one the receiver refuses some requests, in the second one none."""
+    root, at = _lines_written(spark, sf_dir), work_folder(spark, "passes")
+    tables, repos = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work"), fixture(spark, sf_dir, "repos")
+    conv = F.regexp_extract("file_path", "/s([0-9]+)\\.jsonl$", 1).cast("long")
+
+    def refusing(requests: DataFrame) -> DataFrame:
+        return requests.select("file_path", "chunk_no", F.lit(1).alias("attempt"), F.when((conv + F.col("chunk_no")) % 4 == 3, 503).otherwise(200).alias("status"))
+
+    limits = Limits(1 << 40, REQUEST, FIRST, SECOND, COUNT, attempts=2)
+    runs = [ingest(spark, list_transcripts(spark, root), repos, tables, sender=Sender(deliver=d), limits=limits) for d in (refusing, None)]
+    first, second = (r.files.withColumn("pass", F.lit(k + 1)) for k, r in enumerate(runs))
+    return first.unionByName(second).withColumn("file_path", _under(root))
