@@ -17,7 +17,7 @@ from ..operators.cursors import classify_outcomes, file_results, merge_cursors
 from ..operators.dedup import dedup_batches, dedup_counts, new_records, record_key
 from ..operators.identity import build_requests, machine_fingerprint, resolve_account
 from ..operators.lines import batch_sha256, consumed_bytes, line_offsets, non_blank, split_lines
-from ..operators.records import parse_lines, parse_records
+from ..operators.records import mark_lines, parse_lines, parse_records, serialise
 from ..sources.transcripts import slice_at_cursor, valid_cursors
 from ..sources.files import write_once
 from ..sources.transcripts import list_transcripts, read_transcripts
@@ -54,6 +54,13 @@ def _doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "doc_files").withColumn("content", F.col("content").cast("binary"))
 
 
+def _saved(df: DataFrame) -> DataFrame:
+    """The table in the shared folder: what several branches of a plan read is worked out once."""
+    path = work_folder(df.sparkSession, "saved")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(parse_lines(_lines(spark, sf_dir)))
 
@@ -252,7 +259,7 @@ def pack_chunks_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM p JOIN r USING (file_path, line_no) GROUP BY file_path, chunk_no"""
 )
 def chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _prepared(spark, sf_dir)
+    rows = _saved(_prepared(spark, sf_dir))
     return assemble_chunks(rows, pack_chunks(rows, REQUEST, COUNT)).withColumn("records", F.array_join("records", ","))
 
 
@@ -281,15 +288,15 @@ SELECT file_path, chunk_no, concat('{"machine":{"fingerprint":"f1","os":"linux"}
 FROM chunks JOIN gated USING (file_path) JOIN hashed USING (file_path)"""
 )
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
-    known = privacy_gate(_batches(spark, sf_dir), fixture(spark, sf_dir, "repos"))
+    marked = _saved(mark_lines(_lines(spark, sf_dir)))
+    known = privacy_gate(counts(marked.where("not blank")), fixture(spark, sf_dir, "repos"))
     whole = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]), "\n"), F.lit("\n"))
-    files = lines.groupBy("file_path").agg(whole.cast("binary").alias("content"))
-    rows = _prepared(spark, sf_dir)
+    hashed = marked.groupBy("file_path").agg(F.sha2(whole, 256).alias("sha256"))
+    rows = serialise(marked).select("file_path", "line_no", "record", "wire_bytes")
     chunks = assemble_chunks(rows, pack_chunks(rows, REQUEST, COUNT))
     machine = F.struct(F.lit("f1").alias("fingerprint"), F.lit(None).cast("string").alias("hostname"), F.lit("linux").alias("os"))
     account = F.struct(F.lit("v").alias("vendor"), F.lit("a1").alias("vendorAccountId"))
-    return build_requests(chunks, known.join(batch_sha256(files), "file_path"), machine, account)
+    return build_requests(chunks, known.join(hashed, "file_path"), machine, account)
 
 
 KEYED = f"""{PARSED}, keyed AS (SELECT file_path, line_no, coalesce(uuid, sha256(concat_ws('|', file_path, line_no, raw))) AS record_key FROM parsed WHERE valid
@@ -298,7 +305,7 @@ KEYED = f"""{PARSED}, keyed AS (SELECT file_path, line_no, coalesce(uuid, sha256
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = parse_records(_lines(spark, sf_dir)).select("file_path", "line_no", record_key().alias("record_key"))
+    rows = _saved(parse_lines(_lines(spark, sf_dir)).where("valid").select("file_path", "line_no", record_key().alias("record_key")))
     return rows, rows.where("line_no < 2")
 
 
