@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,3 +159,61 @@ def packer(budget: int, records: int):
 
     return run
 
+
+def exits(sizes: np.ndarray, own: int, budget: int, records: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk that begins at each of the first ``records`` places: where the first chunk begins that begins at ``own`` or beyond, and how many begin before.
+
+    ``sizes``: of the segment's ``own`` records, and of those behind it that a chunk of the segment may reach. Jumps from a chunk to the next one are
+    composed by doubling.
+    """
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(own)
+    after = np.searchsorted(before, before[at] + budget, side="right") - 1
+    jump = np.minimum(np.maximum(after, at + 1), at + records)
+    steps = np.ones(own, np.int64)
+    while (inside := jump < own).any():
+        to = jump[inside]
+        steps[inside] += steps[to]
+        jump[inside] = jump[to]
+    return jump[:records], steps[:records]
+
+
+def segment_exits(budget: int, records: int, segment: int):
+    def run(group: pa.Table) -> pa.Table:
+        at = group["at"].to_numpy()
+        order = np.argsort(at)
+        own = int((at < segment).sum())
+        jump, steps = exits(group["wire_bytes"].to_numpy()[order], own, budget, records)
+        cols = [group["file_path"][:1], group["seg"][:1], pa.array([own]), pa.array([(jump - own).astype("<i8").tobytes()]), pa.array([steps.astype("<i8").tobytes()])]
+        return pa.table(cols, names=["file_path", "seg", "own", "jump", "steps"])
+
+    return run
+
+
+def entries(group: pa.Table) -> pa.Table:
+    """Where in each segment of a file its first chunk begins, and that chunk's number: one look for each segment."""
+    order = np.argsort(group["seg"].to_numpy())
+    at, chunk, out = 0, 0, []
+    for k in order.tolist():
+        own = group["own"][k].as_py()
+        out.append((group["seg"][k].as_py(), at, chunk))
+        if at < own:
+            jump, steps = (np.frombuffer(group[c][k].as_py(), "<i8")[at] for c in ("jump", "steps"))
+            at, chunk = int(jump), chunk + int(steps)
+        else:  # a chunk of an earlier segment goes on beyond this one
+            at -= own
+    segs, places, chunks = zip(*out, strict=True)
+    return pa.table({"file_path": pa.array([group["file_path"][0].as_py()] * len(out)), "seg": pa.array(segs, pa.int64()), "first": pa.array(places, pa.int64()), "chunk": pa.array(chunks, pa.int64())})
+
+
+def segment_packer(budget: int, records: int):
+    def run(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        order = np.argsort(rows["at"].to_numpy())
+        rows = rows.take(pa.array(order))
+        first, chunk = entry["first"][0].as_py(), entry["chunk"][0].as_py()
+        # what comes before the first chunk that begins here belongs to the one before it
+        own = np.full(rows.num_rows, chunk - 1, np.int64)
+        own[first:] = chunk + chunk_numbers(rows["wire_bytes"].to_numpy()[first:], budget, records)
+        return pa.table({"file_path": rows["file_path"], "line_no": rows["line_no"], "chunk_no": pa.array(own)})
+
+    return run
