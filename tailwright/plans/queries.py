@@ -492,3 +492,11 @@ def passes_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = [ingest(spark, list_transcripts(spark, root), repos, tables, sender=Sender(deliver=d), limits=limits) for d in (refusing, None)]
     first, second = (r.files.withColumn("pass", F.lit(k + 1)) for k, r in enumerate(runs))
     return first.unionByName(second).withColumn("file_path", _under(root))
+
+
+@query(f"WITH {GATED} SELECT session_id, record_count, skipped_lines, project_path FROM gated")
+def dry_pass_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a dry pass over the files of ``lines`` says: listed, read from their cursors, gated, and nothing sent."""
+    root, at = _lines_written(spark, sf_dir), work_folder(spark, "dry")
+    tables = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work")
+    return ingest(spark, list_transcripts(spark, root), fixture(spark, sf_dir, "repos"), tables, dry=True).files
