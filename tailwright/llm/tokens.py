@@ -165,8 +165,11 @@ class Encoder:
         """The ids of all texts in a row, and where each text's begin, with the end. Null texts are empty."""
         texts = texts.cast(pa.large_string())
         names = np.zeros(len(texts), bool)
-        for name in self.named:  # in any case: a normalizer may change it
-            names |= pc.match_substring(texts, name, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+        for name in self.named:
+            head = name[: next((k for k, c in enumerate(name) if c.isalpha()), len(name))]  # quick to find, and rare
+            some = np.flatnonzero(pc.match_substring(texts, head).fill_null(False).to_numpy(zero_copy_only=False))
+            if len(some):  # in any case: a normalizer may change it
+                names[some] |= pc.match_substring(texts.take(pa.array(some)), name, ignore_case=True).to_numpy(zero_copy_only=False)
         if not names.any():
             return self._encode_flat(texts)
         ids, at = self._encode_flat(pc.if_else(pa.array(names), "", texts))
