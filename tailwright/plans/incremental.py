@@ -30,14 +30,14 @@ MANIFEST = "manifest"
 class Tables:
     """Folders of the stored records, of the cursors, of the batches delivered before, and of work between steps; all shared by executors.
 
-    Of a committed pass only the work tables in ``keep`` stay.
+    Of a committed pass only the results and the work tables in ``keep`` stay.
     """
 
     store: str
     cursors: str
     work: str
     history: str = ""
-    keep: Sequence[str] = ("results",)
+    keep: Sequence[str] = ()
     buckets: int = BUCKETS
 
     def __post_init__(self) -> None:
@@ -197,7 +197,7 @@ def ingest(
     )
     results = work.again(delivered.unionByName(twice), "results")
     stored = prepared.join(fresh, ["record_key", "file_path", "byte_start"]).join(batches.select("file_path", "session_id", "project_path"), "file_path")
-    append_records(stored, tables.store, tables.buckets)
+    append_records(stored, tables.store, fresh.count(), tables.buckets)
     total = run_summary(batches, results).first().asDict()
     if commit_cursors:
         done = batches.join(results.where("ok"), "file_path", "left_semi")
@@ -211,9 +211,10 @@ def ingest(
         fully = done.join(results.where("not duplicate"), "file_path", "left_semi")
         fully.select(F.lit(account).cast("string").alias("account"), "session_id", "start", "sha256").write.mode("append").parquet(tables.history)
         add_cursors(moved, tables.cursors)
-        spark.createDataFrame([(name, list(tables.keep), json.dumps(total))], "key string, keep array<string>, summary string").coalesce(1).write.mode("overwrite").json(f"{work.at}/{MANIFEST}")
+        kept = sorted({"results", *tables.keep})
+        spark.createDataFrame([(name, kept, json.dumps(total))], "key string, keep array<string>, summary string").coalesce(1).write.mode("overwrite").json(f"{work.at}/{MANIFEST}")
         for table in list_folders(spark, work.at):
-            if table not in (*tables.keep, MANIFEST):
+            if table not in (*kept, MANIFEST):
                 drop_folder(spark, f"{work.at}/{table}")
     return _run(spark, name, total, results)
 

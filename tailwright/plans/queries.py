@@ -453,7 +453,7 @@ FROM (SELECT record FROM kept QUALIFY row_number() OVER (PARTITION BY uuid ORDER
 def transcripts_watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in the store, and their bytes, after two one-shot runs over the files of ``lines``, the second one with nothing new; long ones are cut as in any pass."""
     root, at = _lines_written(spark, sf_dir), work_folder(spark, "watch")
-    tables = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work")
+    tables = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work", buckets=4)
     for _ in range(2):
         watch(spark, root, lambda: fixture(spark, sf_dir, "repos"), tables, f"{at}/checkpoint", seconds=None, limits=Limits(RECORD, REQUEST, FIRST, SECOND, COUNT)).awaitTermination()
     return tables.stored(spark).agg(F.count("*").alias("stored"), F.coalesce(F.sum(F.octet_length("record")), F.lit(0)).cast("long").alias("stored_bytes"))
@@ -482,14 +482,13 @@ FROM per"""
 def passes_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two passes over the files of ``lines``: in the first one the receiver refuses some requests, in the second one none."""
     root, at = _lines_written(spark, sf_dir), work_folder(spark, "passes")
-    tables, repos = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work"), fixture(spark, sf_dir, "repos")
-    conv = F.regexp_extract("file_path", "/s([0-9]+)\\.jsonl$", 1).cast("long")
+    tables, repos = Tables(f"{at}/store", f"{at}/cursors", f"{at}/work", buckets=4), fixture(spark, sf_dir, "repos")
 
-    def refusing(requests: DataFrame) -> DataFrame:
-        return requests.select("file_path", "chunk_no", F.lit(1).alias("attempt"), F.when((conv + F.col("chunk_no")) % 4 == 3, 503).otherwise(200).alias("status"))
+    def refusing(path: str, chunk: int, body: str) -> int:
+        return 503 if (int(path.rsplit("/s", 1)[1].removesuffix(".jsonl")) + chunk) % 4 == 3 else 200
 
-    limits = Limits(1 << 40, REQUEST, FIRST, SECOND, COUNT, attempts=2)
-    runs = [ingest(spark, list_transcripts(spark, root), repos, tables, sender=Sender(deliver=d), limits=limits) for d in (refusing, None)]
+    limits = Limits(1 << 40, REQUEST, FIRST, SECOND, COUNT, attempts=1)
+    runs = [ingest(spark, list_transcripts(spark, root), repos, tables, sender=Sender(send=s), limits=limits) for s in (refusing, None)]
     first, second = (r.files.withColumn("pass", F.lit(k + 1)) for k, r in enumerate(runs))
     return first.unionByName(second).withColumn("file_path", _under(root))
 

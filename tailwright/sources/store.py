@@ -18,6 +18,8 @@ SKETCH = "file string, bucket int, bits binary"
 BUCKETS = 64
 #: Bits of a sketch for each key, and probes of a key: one key in 400 is looked up in a file that does not have it.
 KEY_BITS, PROBES = 16, 4
+#: Rows of a bucket that one file of a pass has.
+FILE_ROWS = 500_000
 #: Keys of a bucket that one task probes.
 GROUP = 1_000_000
 #: Keys that are broadcast to the files that may hold them; more are joined by a shuffle of both.
@@ -47,12 +49,13 @@ def buckets_of(spark: SparkSession, path: str, buckets: int = BUCKETS) -> int:
     return int(told)
 
 
-def append_records(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Add rows as ``STORE`` says: a bucket's rows of one pass are few files, each of one bucket."""
+def append_records(rows: DataFrame, path: str, count: int, buckets: int = BUCKETS) -> None:
+    """Add rows (so many) as ``STORE`` says: of one pass a bucket gets one file for each half million rows or so."""
     buckets = buckets_of(rows.sparkSession, path, buckets)
     bucket = F.pmod(F.xxhash64("record_key"), F.lit(buckets)).cast("int")
     rows = rows.select(*(c.split()[0] for c in STORE.split(", ")), bucket.alias("bucket"))
-    rows.repartition("bucket", F.pmod(F.xxhash64("record_key", F.lit(1)), F.lit(4))).sortWithinPartitions("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    parts = F.pmod(F.xxhash64("record_key", F.lit(1)), F.lit(1 + count // (buckets * FILE_ROWS)))
+    rows.repartition("bucket", parts).sortWithinPartitions("bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def _probes(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:

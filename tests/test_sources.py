@@ -124,8 +124,8 @@ def test_only_files_that_may_hold_a_key_are_read_and_none_is_shuffled(spark, tmp
     record = lambda ks: spark.createDataFrame([(k, k, "s", "p", "f", 0, "{}") for k in ks], RECORD)
     keys = lambda ks: spark.createDataFrame([(k,) for k in ks], "record_key string")
     assert known_keys(keys(["a"]), at, keep).count() == 0
-    append_records(record([f"k{i}" for i in range(400)]), at, 8)
-    append_records(record([f"m{i}" for i in range(400)]), at, 8)
+    append_records(record([f"k{i}" for i in range(400)]), at, 400, 8)
+    append_records(record([f"m{i}" for i in range(400)]), at, 400, 8)
     found = known_keys(keys(["k7", "m9", "x1", "x2"]), at, keep, buckets=99)  # the store's own number of buckets counts
     assert sorted(r.record_key for r in found.collect()) == ["k7", "m9"]
     whole = sketches(spark, at).count()
