@@ -20,16 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import place as _place
 from .common import Workspace, parts_of, pieces
 from .tokens import SLICE, encoder
 
 END_ID = 2
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
-
-
 def _publish(uri: str, chunks: Iterator[bytes]) -> None:
     """Write under a name of this attempt, then move: a repeated task leaves one whole file."""
     at, path = _place(uri)
