@@ -144,6 +144,33 @@ def test_toxicity_on_held_out_rows(labelled, odd_docs, no_docs):
     assert toxicity.score_toxicity(no_docs, model).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """A mark that only one toxic text in some 60 has, and that in a text of over 64 KB, is learned; shards agree with their mean."""
+    docs, labels, rare = [], [], []
+    for i in range(6000):
+        toxic, w = i % 2, words(i % 50, 12)
+        odd = toxic and i % 60 == 1
+        w[5] = ("quizzling" if odd else "blaggard") if toxic else w[5]
+        learned = zlib.crc32(str(i).encode()) % 5 != 0
+        if odd:
+            rare.append(i)
+        docs.append((i, " ".join(w + (words(7, 40) * 400 if odd and learned else []))))
+        labels.append((i, toxic))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    fitted = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), shard_rows=600)
+    held = {r.doc_id: r.score for r in toxicity.score_toxicity(df, fitted).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    assert np.mean([(s >= 0.5) == i % 2 for i, s in held.items()]) > 0.98
+    assert min(held[i] for i in rare if i in held) > 0.5
+
+
+def test_thresholds_count_every_row(spark):
+    rows = [(("a", "b")[i % 2], i % 4 // 2, 0.2 + 0.1 * (i % 2) + 0.4 * (i % 4 // 2)) for i in range(4000)] + [("c", 1, 0.05)]
+    got = toxicity.calibrate(spark.createDataFrame(rows, "lang string, y int, score double"))
+    assert set(got) == {None, "a", "b"}
+    assert got["a"] == pytest.approx(0.4) and got["b"] == pytest.approx(0.5) and got[None] == pytest.approx(0.45)
+    assert toxicity.calibrate(spark.createDataFrame([("a", 1, 0.5)], "lang string, y int, score double")) == {None: 0.5}
+
+
 def test_the_folded_convolution_is_a_convolution():
     rng = np.random.default_rng(0)
     n = len(toxicity.WIDTHS) * toxicity.FILTERS
