@@ -49,9 +49,10 @@ TRAIN_WORDS = 300_000
 LOCAL_WORDS = 30_000
 #: Slots of an own table for each byte that it counts; some four decisions each.
 OWN_SLOTS = 16
-#: The mixer of first bytes is fitted on one text in so many, and that of words on one beginning in so many.
-FIT_TEXTS = 8
-FIT_SHARE = 8
+#: The mixer of first bytes learns from either half of the texts with counts of the other half; that of words from all words,
+#: a visit for so many times a word's share of the occurrences.
+HALVES = 2
+VISIT = 4.0
 #: Words, by occurrences, whose values are sent to all tasks; the others are joined.
 HEAD_WORDS = 1 << 18
 #: Bytes of texts that one shard's mixer learns from, in a fixed order; and shards whose mixers are averaged in one go.
@@ -161,22 +162,23 @@ class Mixer:
         z, p = self.raw(x, gate)
         return np.clip(0.5 * p + 0.5 * self.refined(gate, z)[0], 1e-7, 1 - 1e-7)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, one: np.ndarray, rate: float) -> None:
-        """A step down the slope of the code length, and of the map towards what was seen."""
+    def learn(self, x: np.ndarray, gate: np.ndarray, one: np.ndarray, rate: float, weight: np.ndarray | None = None) -> None:
+        """A step down the slope of the code length, and of the map towards what was seen; weight: of each decision, one if not given."""
         g, p = len(self.bias), len(x)
         z, guess = self.raw(x, gate)
-        err = one - guess
-        scale = rate / np.sqrt(np.maximum(np.bincount(gate, minlength=g), 1))
+        err = one - guess if weight is None else (one - guess) * weight
+        scale = rate / np.sqrt(np.maximum(np.bincount(gate, weight, g), 1))
         for k in range(p):
             self.weights[:, k] += scale * np.bincount(gate, err * x[k], g)
         self.bias += scale * np.bincount(gate, err, g)
         _, low, part = self.refined(gate, z)
         cell = gate * STEPS + low
-        hit = np.bincount(cell, 1 - part, g * STEPS) + np.bincount(cell + 1, part, g * STEPS)[: g * STEPS]
-        ones = np.bincount(cell, (1 - part) * one, g * STEPS) + np.bincount(cell + 1, part * one, g * STEPS)[: g * STEPS]
+        before, part = (1 - part, part) if weight is None else ((1 - part) * weight, part * weight)
+        hit = np.bincount(cell, before, g * STEPS) + np.bincount(cell + 1, part, g * STEPS)[: g * STEPS]
+        ones = np.bincount(cell, before * one, g * STEPS) + np.bincount(cell + 1, part * one, g * STEPS)[: g * STEPS]
         flat = self.refine.reshape(-1)
         flat += (ones - hit * flat) / (hit + 200.0)
-        self.seen += len(one)
+        self.seen += len(one) if weight is None else float(weight.sum())
 
     def packed(self) -> bytes:
         return np.concatenate([self.weights.ravel(), self.bias, self.refine.ravel()]).tobytes()
@@ -390,25 +392,31 @@ def log_probabilities(m: Mixer, tables: Tables, words: list[bytes], kind: int, d
     return out
 
 
-def fit_words(tables: Tables, words: list[bytes], times: np.ndarray, deep_at: np.ndarray, draws: float = 1.0, batch: int = 256, rate: float = 0.02, seed: int = 9) -> Mixer:
-    """Learn the mixer online, a batch of drawn occurrences after another, as many as there are words with a count.
+def visits(mass: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """All entries with a mass in a mixed order, each at least once, and the weight of each visit: in all, an entry's weight is in proportion to its mass."""
+    weight = mass * ((mass > 0).sum() / max(mass.sum(), 1.0))
+    times = np.ceil(weight / VISIT).astype(np.int64)
+    order = rng.permutation(np.repeat(np.arange(len(mass)), times))
+    return order, weight[order] / times[order]
+
+
+def fit_words(tables: Tables, words: list[bytes], times: np.ndarray, deep_at: np.ndarray, batch: int = 256, rate: float = 0.02, seed: int = 9) -> Mixer:
+    """Learn the mixer online, a batch of words after another, from all words with a count, each weighted by its occurrences.
 
     Each occurrence is predicted from counts without itself, so that words seen once stand for
     words not seen. times: word x kind.
     """
     m = Mixer.fresh(WORD_GATES, PREDICTORS)
     mass = times.astype(float).ravel()
-    if not mass.sum():
-        return m
-    drawn = np.random.default_rng(seed).choice(len(mass), int(draws * (mass > 0).sum()), p=mass / mass.sum())
+    order, weights = visits(mass, np.random.default_rng(seed))
     kinds = times.shape[1]
-    for s in range(0, len(drawn), batch):
-        some = drawn[s : s + batch]
+    for s in range(0, len(order), batch):
+        some, weight = order[s : s + batch], weights[s : s + batch]
         at = some // kinds
         flat, word, place = spelled([words[i] for i in at])
-        lr = rate / (1 + 3 * s / len(drawn))
-        for _, x, gate, one in _decisions(tables, flat, word, place, (some % kinds)[word], deep_at[at], mass[some] == 1):
-            m.learn(x, gate, one, lr)
+        lr = rate / (1 + 3 * s / len(order))
+        for on, x, gate, one in _decisions(tables, flat, word, place, (some % kinds)[word], deep_at[at], mass[some] == 1):
+            m.learn(x, gate, one, lr, weight[word[on]])
     return m
 
 
@@ -574,7 +582,7 @@ def opening_counts(pairs: np.ndarray, code: Code) -> np.ndarray:
 
 
 def _count(model):
-    """Words of each kind of text (in training texts, and in all), and first bytes by context, of texts that fit mixers and of the others.
+    """Words of each kind of text (in training texts, and in all), and first bytes by context, of either half of the texts.
 
     Rows of two sorts: a distinct word of a stretch of texts with its counts; a stretch of the counts of first bytes.
     """
@@ -627,7 +635,7 @@ def _names(k: int) -> list[str]:
 
 
 def _fit_openings(model):
-    """A mixer for each shard of texts, which it learns online in the order of the texts' hashes; what it mixes are counts of other texts."""
+    """A mixer for each shard of texts, which it learns online in the order of the texts' hashes; what it mixes are counts of the other half of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, code, logits, seen = _opened(model.value)
@@ -853,7 +861,7 @@ def fit_model(rows: DataFrame, bits: int = TABLE_BITS, kinds: int = KINDS, ws: W
     longs = [x for x in names if x[0] in "ch" and x[1:].isdigit()]
     schema = ", ".join(["word binary", *(f"{x} long" for x in longs), "part int, cells binary"])
     told = F.xxhash64("text")
-    fits = (F.pmod(told, F.lit(FIT_TEXTS)) == FIT_TEXTS - 1).alias("fits")
+    fits = (F.pmod(told, F.lit(HALVES)) == HALVES - 1).alias("fits")
     first = ws.save(rows.select("text", "learn", fits).mapInArrow(_count(spark.sparkContext.broadcast(known)), schema), "first")
     counted = ws.save(with_beginnings(ws.save(first.where("word is not null").groupBy("word").agg(*(F.sum(x).alias(x) for x in longs)), "words"), LOCAL_WORDS // 2, ws), "counted")
     pairs = np.zeros((2, CELLS), np.float32)
@@ -861,14 +869,17 @@ def fit_model(rows: DataFrame, bits: int = TABLE_BITS, kinds: int = KINDS, ws: W
         got = np.frombuffer(zlib.decompress(r.cells), np.float32)
         to = pairs.reshape(-1)[r.part * _SEGMENT : (r.part + 1) * _SEGMENT]
         to[:] = got[: len(to)]
-    # the mixer of first bytes: texts that were counted apart, dealt to shards by their hashes
-    sample = rows.where("learn").where(fits).select("text", told.alias("h"))
-    held = sample.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, min(4096, held // SHARD_BYTES))
-    sample = sample.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "h")
-    model = spark.sparkContext.broadcast(_packed(known, firsts, *opening_inputs(opening_counts(pairs[0], firsts))))
-    opening = _averaged(sample.select("shard", "text").mapInArrow(_fit_openings(model), MIXERS), OPEN_GATES, OPENERS)
-    model.destroy()
+    # the mixer of first bytes: each half of the texts meets the counts of the other one, dealt to shards by hashes
+    halves = []
+    for half in range(HALVES):
+        some = rows.where("learn").where(fits if half else ~fits).select("text", told.alias("h"))
+        held = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        shards = max(1, min(4096, held // SHARD_BYTES))
+        some = some.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "h")
+        model = spark.sparkContext.broadcast(_packed(known, firsts, *opening_inputs(opening_counts(pairs[1 - half], firsts))))
+        halves.append(_averaged(some.select("shard", "text").mapInArrow(_fit_openings(model), MIXERS), OPEN_GATES, OPENERS))
+        model.destroy()
+    opening = Mixer.average([(m.packed(), m.seen) for m in halves if m.seen], OPEN_GATES, OPENERS)
     counts = opening_counts(pairs.sum(axis=0), firsts)
 
     every = sum((F.col(f"c{k}") for k in range(1, kinds)), F.col("c0"))
@@ -883,8 +894,7 @@ def fit_model(rows: DataFrame, bits: int = TABLE_BITS, kinds: int = KINDS, ws: W
     beginning = F.xxhash64(F.when(F.col("deep") < NEVER, F.substring(F.col("word"), F.lit(1), F.col("deep"))).otherwise(F.col("word")))
     tasks = max(1, -(-v_all // LOCAL_WORDS))
     model = spark.sparkContext.broadcast(_packed(code, shared, bits))
-    share = F.pmod(beginning, F.lit(FIT_SHARE)) == 0
-    fitted = counted.where(every > 0).where(share).repartition(max(1, -(-v // (FIT_SHARE * LOCAL_WORDS))), beginning).mapInArrow(_fit(model, kinds), MIXERS)
+    fitted = counted.where(every > 0).repartition(max(1, -(-v // LOCAL_WORDS)), beginning).mapInArrow(_fit(model, kinds), MIXERS)
     mixer = _averaged(fitted, WORD_GATES, PREDICTORS)
     lps = ", ".join(f"lp{k} double" for k in range(kinds))
     scored = ws.save(counted.repartition(tasks, beginning).mapInArrow(_score_words(model, mixer, kinds), f"h long, c long, c_all long, {lps}"), "scored")

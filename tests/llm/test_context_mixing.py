@@ -207,3 +207,30 @@ def test_scores_do_not_rest_on_how_texts_are_dealt(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
     for k, r in got[0].items():
         assert got[1][k].score == pytest.approx(r.score, rel=1e-9) and got[1][k].base_score == pytest.approx(r.base_score, rel=1e-9)
+
+
+def test_mixers_learn_from_all_texts_and_words(spark):
+    """Every training text meets the mixer of first bytes, and every word of every kind that of words, as often as it occurs."""
+    docs = [(i, " ".join([*words(i, 30), f"only{i}"])) for i in range(60)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"), (fold() != 1).alias("learn"))
+    m = fit_model(rows, bits=12, ws=Workspace(spark, "t"))
+    decisions = sum(int(m.firsts.length[w[0]]) for i, t in docs if learned(i) for w in tokens(t))
+    assert m.opening.seen == decisions
+    assert m.mixer.seen == pytest.approx(_word_decisions(m), rel=1e-6)
+
+
+def _word_decisions(m):
+    """Of each distinct (word, kind) its decisions, weighted by its occurrences over the mean; by task as the words are dealt, here one."""
+    total = 0.0
+    got = [(b"" if r.word == END else bytes(r.word), [r[f"c{k}"] for k in range(len(m.kinds.prior))]) for r in m.counted.collect()]
+    n, mass = sum(c > 0 for _, cs in got for c in cs), sum(sum(cs) for _, cs in got)
+    for w, cs in got:
+        total += sum(int(m.code.length[b]) for b in (w + END)[1:]) * sum(cs) * n / mass
+    return total
+
+
+def test_visits_take_all():
+    mass = np.array([0, 1, 1, 3, 95, 0, 400.0])
+    order, weight = cm.visits(mass, np.random.default_rng(0))
+    assert set(order) == {1, 2, 3, 4, 6} and np.allclose(np.bincount(order, weight, 7), mass * 5 / 500) and weight.max() <= cm.VISIT
+    assert len(cm.visits(np.zeros(3), np.random.default_rng(0))[0]) == 0
