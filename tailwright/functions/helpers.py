@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,13 +103,26 @@ def fit_record(text: str, request: int, first: int, second: int) -> tuple[str, i
     return out, width(out)
 
 
-def fit_records(request: int, first: int, second: int):
-    """Vectorized ``fit_record``; null in, null out."""
+#: Bytes of records that are parsed and cut at once.
+CUT_BYTES = 2 << 20
+
 
-    @F.pandas_udf("record string, wire_bytes long")
-    def run(raw: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if x is None else fit_record(x, request, first, second) for x in raw]
-        return pd.DataFrame(rows, columns=["record", "wire_bytes"]).astype({"wire_bytes": "Int64"})
+def fit_records(request: int, first: int, second: int):
+    """``fit_record`` over columns; null in, null out. Of a batch, some megabytes of records at a time are Python objects."""
+
+    @F.arrow_udf("record string, wire_bytes long")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for raw in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            s = 0
+            while s < len(raw):
+                before = sizes[s - 1] if s else 0
+                e = max(s + 1, int(np.searchsorted(sizes, before + CUT_BYTES, side="right")))
+                rows = [(None, None) if x is None else fit_record(x, request, first, second) for x in raw.slice(s, e - s).to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["record", "wire_bytes"])
+                s = e
+            if not len(raw):
+                yield pa.StructArray.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64())], names=["record", "wire_bytes"])
 
     return run
 

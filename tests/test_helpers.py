@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tailwright.functions.helpers import chunk_numbers, dump, fit_record, number, parse, shed
+from tailwright.functions.helpers import chunk_numbers, dump, fit_record, fit_records, number, parse, shed
 
 
 def test_shed_keeps_what_fits():
@@ -79,3 +80,15 @@ def test_chunks_of_the_budget_exactly():
     assert chunk_numbers(np.array([99]), 10, 9).tolist() == [0]
     assert chunk_numbers(np.ones(10, int), 100, 3).tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
     assert chunk_numbers(np.zeros(0, int), 10, 9).tolist() == []
+
+
+def test_large_batches_of_records_are_cut_in_parts(spark):
+    """Of a batch of 12 MB no more than some 2 MB are taken at once, and rows stay in order."""
+    texts = ['{"a":"' + "x" * 50_000 + str(i) + '"}' if i % 7 else None for i in range(280)]
+    parts = list(fit_records(10, 40, 20).func(iter([pa.array(texts, pa.string())])))
+    assert len(parts) >= 5 and sum(map(len, parts)) == 280
+    want = [None if t is None else fit_record(t, 10, 40, 20)[0] for t in texts]
+    assert [r["record"] for p in parts for r in p.to_pylist()] == want
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = {r.i: r.cut.record for r in df.select("i", fit_records(10, 40, 20)("t").alias("cut")).collect()}
+    assert got == dict(enumerate(want))
