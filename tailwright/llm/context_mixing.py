@@ -53,6 +53,7 @@ OWN_SLOTS = 16
 #: a visit for so many times a word's share of the occurrences.
 HALVES = 2
 VISIT = 4.0
+AHEAD = 8  # batches of words that are looked up at once
 #: Words, by occurrences, whose values are sent to all tasks; the others are joined.
 HEAD_WORDS = 1 << 18
 #: Bytes of texts that one shard's mixer learns from, in a fixed order; and shards whose mixers are averaged in one go.
@@ -101,6 +102,13 @@ class Code:
     node: np.ndarray
     bit: np.ndarray
 
+    def __post_init__(self):
+        self.salt = (self.node.astype(np.uint64) + np.uint64(1)) * _NODE
+
+    def step(self, d: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the node of each byte's decision d adds to its contexts, and the outcome."""
+        return np.take(self.salt[:, d], f), np.take(self.bit[:, d], f)
+
 
 def byte_code(counts: np.ndarray) -> Code:
     """Huffman's code of the counts; bytes that never occur have codes, too, and no code is much longer than twelve."""
@@ -143,24 +151,37 @@ class Mixer:
         return Mixer(np.full((gates, predictors), 2.0 / predictors), np.zeros(gates), first)
 
     def raw(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = self.bias.astype(np.float32)[gate]
+        z = np.take(self.bias.astype(np.float32), gate)
         by_predictor = np.ascontiguousarray(self.weights.T, np.float32)
-        for k in range(len(x)):
-            z += x[k] * by_predictor[k][gate]
-        return z, 1 / (1 + np.exp(-np.clip(z, -14, 14)))
-
-    def refined(self, gate: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Interpolated entries of the adaptive map, the lower step and how far beyond it z lies."""
-        x = (np.clip(z, -11.99, 11.99) + 12) * ((STEPS - 1) / 24)
-        low = x.astype(np.int32)
-        part = x - low
+        if len(z) < 4096:
+            for term in x * np.take(by_predictor, gate, axis=1):
+                z += term
+        else:
+            for k in range(len(x)):
+                z += x[k] * np.take(by_predictor[k], gate)
+        p = np.maximum(np.minimum(z, np.float32(14)), np.float32(-14))
+        np.exp(np.negative(p, out=p), out=p)
+        p += 1
+        return z, np.reciprocal(p, out=p)
+
+    @staticmethod
+    def steps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lower step of the adaptive map, and how far beyond it z lies."""
+        x = (np.maximum(np.minimum(z, np.float32(11.99)), np.float32(-11.99)) + 12) * ((STEPS - 1) / 24)
+        low = x.astype(np.int64)
+        return low, x - low.astype(np.float32)
+
+    def refined(self, gate: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Interpolated entries of the adaptive map."""
+        low, part = self.steps(z)
         cell, flat = gate * STEPS + low, self.refine.ravel()
-        return (1 - part) * flat[cell] + part * flat[cell + 1], low, part
+        below = np.take(flat, cell)
+        return below + part * (np.take(flat, cell + 1) - below)
 
     def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Of a one."""
         z, p = self.raw(x, gate)
-        return np.clip(0.5 * p + 0.5 * self.refined(gate, z)[0], 1e-7, 1 - 1e-7)
+        return np.clip(0.5 * p + 0.5 * self.refined(gate, z), 1e-7, 1 - 1e-7)
 
     def learn(self, x: np.ndarray, gate: np.ndarray, one: np.ndarray, rate: float, weight: np.ndarray | None = None) -> None:
         """A step down the slope of the code length, and of the map towards what was seen; weight: of each decision, one if not given."""
@@ -168,16 +189,27 @@ class Mixer:
         z, guess = self.raw(x, gate)
         err = one - guess if weight is None else (one - guess) * weight
         scale = rate / np.sqrt(np.maximum(np.bincount(gate, weight, g), 1))
-        for k in range(p):
-            self.weights[:, k] += scale * np.bincount(gate, err * x[k], g)
-        self.bias += scale * np.bincount(gate, err, g)
-        _, low, part = self.refined(gate, z)
-        cell = gate * STEPS + low
-        before, part = (1 - part, part) if weight is None else ((1 - part) * weight, part * weight)
-        hit = np.bincount(cell, before, g * STEPS) + np.bincount(cell + 1, part, g * STEPS)[: g * STEPS]
-        ones = np.bincount(cell, before * one, g * STEPS) + np.bincount(cell + 1, part * one, g * STEPS)[: g * STEPS]
-        flat = self.refine.reshape(-1)
-        flat += (ones - hit * flat) / (hit + 200.0)
+        if len(one) < 4096:  # few decisions cost a call each rather than their sums
+            terms = np.empty((p + 1, len(one)))
+            np.multiply(x, err, out=terms[:p])
+            terms[p] = err
+            sums = np.bincount((gate + np.arange(0, (p + 1) * g, g)[:, None]).ravel(), terms.ravel(), (p + 1) * g).reshape(p + 1, g)
+            sums *= scale
+            self.weights += sums[:p].T
+            self.bias += sums[p]
+        else:
+            for k in range(p):
+                self.weights[:, k] += scale * np.bincount(gate, err * x[k], g)
+            self.bias += scale * np.bincount(gate, err, g)
+        # by gate, step and outcome: all that fell there, and what of it belongs to the step above
+        low, beyond = self.steps(z)
+        cell = (gate * STEPS + low) * 2 + one
+        both = np.bincount(cell, weight, 2 * g * STEPS).astype(float).reshape(g, STEPS, 2)
+        above = np.bincount(cell, beyond if weight is None else beyond * weight, 2 * g * STEPS).reshape(g, STEPS, 2)
+        both -= above
+        both[:, 1:] += above[:, :-1]
+        hit, ones = both[:, :, 0] + both[:, :, 1], both[:, :, 1]
+        self.refine += (ones - hit * self.refine) / (hit + 200.0)
         self.seen += len(one) if weight is None else float(weight.sum())
 
     def packed(self) -> bytes:
@@ -237,8 +269,15 @@ def of_kind(ctx: np.ndarray, kind) -> np.ndarray:
     return mix64(ctx + (np.atleast_1d(np.asarray(kind, np.uint64)) + np.uint64(1)) * _NODE)
 
 
-def slot(ctx: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return (((ctx ^ ((node.astype(np.uint64) + np.uint64(1)) * _NODE)) * _PRIME) >> np.uint64(64 - bits)).astype(np.int64)
+def cell_hash(ctx: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """A hash of each context and the node of its decision."""
+    h = ctx ^ salt
+    h *= _PRIME
+    return h
+
+
+def slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).view(np.int64)
 
 
 _FROZEN: dict = {}  # of the shared tables that a worker scores with
@@ -260,28 +299,33 @@ class Tables:
             ctx = contexts(flat, place)
             here = place >= deep_at[word]
             rest = place > 0
-            for p in (WHOLE, KIND) if deep else range(PREDICTORS):
-                at = np.flatnonzero(here & rest if deep else (rest if p < WHOLE else rest & ~here))
-                if not len(at):
+            for predictors in ((WHOLE,), (KIND,)) if deep else (range(WHOLE), (WHOLE,), (KIND,)):
+                at = np.flatnonzero(here & rest if deep else (rest if predictors[0] < WHOLE else rest & ~here))
+                # the words by kind, all kinds' in a row, or once for all kinds
+                if WHOLE in predictors:
+                    kind, live, w = None, at, times.sum(axis=1)[word[at]]
+                    if not w.all():
+                        live, w = live[w > 0], w[w > 0]
+                else:
+                    kind, some = np.nonzero(times.T[:, word[at]])
+                    live = at[some]
+                    w = times[word[live], kind]
+                if not len(live):
                     continue
-                weights = times[word[at]]
-                for kind in range(times.shape[1]) if p != WHOLE else (None,):
-                    w = weights.sum(axis=1) if kind is None else weights[:, kind]
-                    if p < WHOLE:
-                        w = np.minimum(w, 1)  # each word once: short contexts speak for words not seen
-                    live = np.flatnonzero(w)
-                    if not len(live):
-                        continue
-                    c = ctx[p][at[live]] if kind is None else of_kind(ctx[p][at[live]], kind)
-                    f, w = flat[at[live]], w[live]
+                if WHOLE not in predictors and KIND not in predictors:
+                    w = np.minimum(w, 1)  # each word once: short contexts speak for words not seen
+                f, w = flat[live], w.astype(np.float32)
+                length, on, steps = code.length[f], np.arange(len(f)), []
+                for d in range(code.node.shape[1]):
+                    on = on[length[on] > d]
+                    if not len(on):
+                        break
+                    steps.append((on, *code.step(d, f[on]), w[on]))
+                for p in predictors:
+                    c = ctx[p][live] if kind is None else of_kind(ctx[p][live], kind)
                     table, bits = (self.own[p - WHOLE], self.own_bits) if deep else (self.shared[p], self.bits)
-                    for d in range(code.node.shape[1]):
-                        on = np.flatnonzero(code.length[f] > d)
-                        if not len(on):
-                            break
-                        g = f[on]
-                        cell = slot(c[on], code.node[g, d], bits) * 2 + code.bit[g, d]
-                        np.add.at(table, cell, w[on].astype(np.float32))
+                    for on, salt, one, times_on in steps:
+                        np.add.at(table, slot(cell_hash(c[on], salt), bits) * 2 + one, times_on)
 
     def freeze(self) -> None:
         """Work out all logits and parts of gates once, for scoring; own counts go."""
@@ -294,29 +338,25 @@ class Tables:
             self.own_gates = [gate_part(p, sum(pair(t))) for p, t in zip((WHOLE, KIND), self.own, strict=True)]
             self.own = self.own[:, :0]
 
-    def frozen(self, p: int, ctx: np.ndarray, node: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """Logits of each context and its part of the gate, if it has one."""
-        s = slot(ctx, node, self.bits)
-        x, n = self.logits[p][s], self.gates[p][s] if p in self.gates else None
+    def frozen(self, p: int, h: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Logits of each context (by its hash with the node) and its part of the gate, if it has one."""
+        s = slot(h, self.bits)
+        x, n = np.take(self.logits[p], s), np.take(self.gates[p], s) if p in self.gates else None
         if p >= WHOLE and len(deep):
             if self.own is None:
                 x[deep] = n[deep] = 0
             else:
-                s = slot(ctx[deep], node[deep], self.own_bits)
-                x[deep], n[deep] = self.own_logits[p - WHOLE][s], self.own_gates[p - WHOLE][s]
+                s = slot(h[deep], self.own_bits)
+                x[deep], n[deep] = np.take(self.own_logits[p - WHOLE], s), np.take(self.own_gates[p - WHOLE], s)
         return x, n
 
-    def look(self, p: int, ctx: np.ndarray, node: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones seen in each context; deep: where the own tables count."""
-        s = slot(ctx, node, self.bits) * 2
-        zeros, ones = self.shared[p][s], self.shared[p][s + 1]
+    def look(self, p: int, h: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones seen in each context (by its hash with the node); deep: where the own tables count."""
+        # both counts of a slot as one value, so that it is visited once
+        seen = np.take(self.shared[p].view(np.complex64), slot(h, self.bits))
         if p >= WHOLE and len(deep):
-            if self.own is None:
-                zeros[deep] = ones[deep] = 0
-            else:
-                s = slot(ctx[deep], node[deep], self.own_bits) * 2
-                zeros[deep], ones[deep] = self.own[p - WHOLE][s], self.own[p - WHOLE][s + 1]
-        return zeros, ones
+            seen[deep] = 0 if self.own is None else np.take(self.own[p - WHOLE].view(np.complex64), slot(h[deep], self.own_bits))
+        return seen.real, seen.imag
 
 
 def _stretches(words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -346,8 +386,8 @@ def gate_part(p: int, seen: np.ndarray) -> np.ndarray:
     return ((seen > 0).astype(np.int16) + (seen > 3)) * np.int16(12 if p == KIND else 4)
 
 
-def _decisions(tables: Tables, flat: np.ndarray, word: np.ndarray, place: np.ndarray, kind, deep_at: np.ndarray, lone: np.ndarray | None = None):
-    """For each step of the code: which bytes have it, inputs, gates and outcomes.
+def _decisions(tables: Tables, flat: np.ndarray, word: np.ndarray, place: np.ndarray, kind, deep_at: np.ndarray, lone: np.ndarray | None = None, but: np.ndarray | None = None):
+    """For each step of the code: which bytes (without ``but``) have it, inputs, gates and outcomes.
 
     lone: take one occurrence of each word out of the counts, and of words that are so all there is of them.
     """
@@ -356,25 +396,46 @@ def _decisions(tables: Tables, flat: np.ndarray, word: np.ndarray, place: np.nda
         if p != WHOLE:
             ctx[p] = of_kind(ctx[p], kind)
     here = place >= deep_at[word]
-    length = np.where(place > 0, tables.code.length[flat], 0)
-    for d in range(tables.code.node.shape[1]):
-        on = np.flatnonzero(length > d)
+    code = tables.code
+    on = np.flatnonzero(place > 0 if but is None else (place > 0) & ~but)
+    length = code.length[flat]
+    for d in range(code.node.shape[1]):
+        on = on[length[on] > d]
         if not len(on):
             return
-        f = flat[on]
-        node, one = tables.code.node[f, d], tables.code.bit[f, d]
+        salt, one = code.step(d, flat[on])
         deep = np.flatnonzero(here[on])
-        x, gates = np.empty((PREDICTORS, len(on)), np.float32), [None] * PREDICTORS
+        x, gates = np.empty((PREDICTORS, len(on)), np.float32), np.full(len(on), _DEPTH[d])
+        if lone is not None:
+            ones_out = one.astype(np.float32)
+            zeros_out = 1 - ones_out
+            only = lone[word[on]].astype(np.float32)
+            short_ones_out, short_zeros_out = ones_out * only, zeros_out * only
         for p in range(PREDICTORS):
+            h = cell_hash(ctx[p][on], salt)
             if lone is None:
-                x[p], gates[p] = tables.frozen(p, ctx[p][on], node, deep)
-                continue
-            zeros, ones = tables.look(p, ctx[p][on], node, deep)
-            out = lone[word[on]] if p < WHOLE else True
-            zeros, ones = np.maximum(zeros - (~one & out), 0), np.maximum(ones - (one & out), 0)
-            x[p] = _input(zeros, ones)
-            gates[p] = gate_part(p, zeros + ones) if p in GATED else None
-        yield on, x, sum(gates[p] for p in GATED).astype(np.int64) + _DEPTH[d], one
+                x[p], gate = tables.frozen(p, h, deep)
+            else:
+                zeros, ones = tables.look(p, h, deep)
+                zeros = np.maximum(zeros - (short_zeros_out if p < WHOLE else zeros_out), 0)
+                ones = np.maximum(ones - (short_ones_out if p < WHOLE else ones_out), 0)
+                x[p] = _input(zeros, ones)
+                gate = gate_part(p, zeros + ones) if p in GATED else None
+            if gate is not None:
+                gates += gate
+        yield on, x, gates, one
+
+
+def _as_before(flat: np.ndarray, word: np.ndarray, place: np.ndarray, deep_at: np.ndarray) -> np.ndarray:
+    """Bytes up to which a word is equal to the one before it: sorted words share beginnings, which have one value."""
+    sizes = np.bincount(word - word[0])
+    ahead = np.append(0, sizes[:-1])
+    w = word - word[0]
+    equal = (place < ahead[w]) & (flat == flat[np.arange(len(flat)) - ahead[w]])
+    equal &= deep_at[word] == deep_at[np.maximum(word - 1, word[0])]
+    differ = np.cumsum(~equal)
+    starts = np.cumsum(sizes) - sizes
+    return differ - (differ[starts] - ~equal[starts])[w] == 0
 
 
 def log_probabilities(m: Mixer, tables: Tables, words: list[bytes], kind: int, deep_at: np.ndarray) -> np.ndarray:
@@ -384,9 +445,13 @@ def log_probabilities(m: Mixer, tables: Tables, words: list[bytes], kind: int, d
         tables.freeze()
     for flat, word, place in _stretches(words, CHUNK):
         total = np.zeros(len(flat))
-        for on, x, gate, one in _decisions(tables, flat, word, place, kind, deep_at):
+        shared = _as_before(flat, word, place, deep_at)
+        for on, x, gate, one in _decisions(tables, flat, word, place, kind, deep_at, but=shared):
             p = m.probability(x, gate)
             total[on] += np.log10(np.where(one, p, 1 - p))
+        # a beginning has the value that it has in the word before
+        by_place = np.argsort(place.astype(np.uint16) if place.max() < 1 << 16 else place, kind="stable")
+        total[by_place] = total[by_place][np.maximum.accumulate(np.where(shared[by_place], 0, np.arange(len(flat))))]
         first, last = int(word[0]), int(word[-1]) + 1
         out[first:last] = np.bincount(word - first, total, last - first)
     return out
@@ -406,18 +471,29 @@ def fit_words(tables: Tables, words: list[bytes], times: np.ndarray, deep_at: np
     Each occurrence is predicted from counts without itself, so that words seen once stand for
     words not seen. times: word x kind.
     """
-    m = Mixer.fresh(WORD_GATES, PREDICTORS)
+    # a step of the code has gates of one depth only: a mixer for each depth
+    depths = int(_DEPTH.max()) + 1
+    parts = [Mixer.fresh(WORD_GATES // depths, PREDICTORS) for _ in range(depths)]
     mass = times.astype(float).ravel()
     order, weights = visits(mass, np.random.default_rng(seed))
     kinds = times.shape[1]
-    for s in range(0, len(order), batch):
-        some, weight = order[s : s + batch], weights[s : s + batch]
+    # what is mixed does not depend on the mixer: it is looked up for some batches at once
+    for start in range(0, len(order), batch * AHEAD):
+        some, weight = order[start : start + batch * AHEAD], weights[start : start + batch * AHEAD]
         at = some // kinds
         flat, word, place = spelled([words[i] for i in at])
-        lr = rate / (1 + 3 * s / len(order))
-        for on, x, gate, one in _decisions(tables, flat, word, place, (some % kinds)[word], deep_at[at], mass[some] == 1):
-            m.learn(x, gate, one, lr, weight[word[on]])
-    return m
+        steps = list(_decisions(tables, flat, word, place, (some % kinds)[word], deep_at[at], mass[some] == 1))
+        ends = np.searchsorted(word, np.arange(batch, len(some) + batch, batch))
+        cuts = [np.append(0, np.searchsorted(on, ends)).tolist() for on, *_ in steps]
+        steps = [(x, gate // depths, one, weight[word[on]]) for on, x, gate, one in steps]
+        for b in range(len(ends)):
+            lr = rate / (1 + 3 * (start + b * batch) / len(order))
+            for d, (x, gate, one, w) in enumerate(steps):
+                u = slice(cuts[d][b], cuts[d][b + 1])
+                if u.start < u.stop:
+                    parts[_DEPTH[d]].learn(x[:, u], gate[u], one[u], lr, w[u])
+    joined = lambda f: np.stack([f(m) for m in parts], axis=1).reshape(WORD_GATES, *f(parts[0]).shape[1:])
+    return Mixer(joined(lambda m: m.weights), joined(lambda m: m.bias), joined(lambda m: m.refine), sum(m.seen for m in parts))
 
 
 # ---- texts: words in a row
@@ -436,7 +512,11 @@ def short_buckets(words: pa.Array) -> np.ndarray:
 
 def text_vectors(words: pa.Array, at: np.ndarray) -> np.ndarray:
     """Text x bucket: its short words."""
-    bucket, text = short_buckets(words), np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return bucket_counts(short_buckets(words), at)
+
+
+def bucket_counts(bucket: np.ndarray, at: np.ndarray) -> np.ndarray:
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     ok = bucket >= 0
     return np.bincount(text[ok] * BUCKETS + bucket[ok], minlength=(len(at) - 1) * BUCKETS).reshape(-1, BUCKETS)
 
@@ -468,12 +548,13 @@ class Spoken:
     def __init__(self, texts: pa.Array, kinds: Kinds, code: Code | None = None):
         words, at = words_of(texts)
         self.n = len(at) - 1
-        # by einsum: a small product, for which the threads of a matrix library would only wait, and a text's sums are the same in any batch
-        self.kind = (np.einsum("ij,kj->ik", text_vectors(words, at).astype(float), kinds.logs) + np.log(kinds.prior)).argmax(axis=1)
         coded = words.dictionary_encode()
         self.distinct = coded.dictionary
+        codes = coded.indices.to_numpy()
+        # by einsum: a small product, for which the threads of a matrix library would only wait, and a text's sums are the same in any batch
+        self.kind = (np.einsum("ij,kj->ik", bucket_counts(short_buckets(self.distinct)[codes], at).astype(float), kinds.logs) + np.log(kinds.prior)).argmax(axis=1)
         end = len(self.distinct)
-        self.codes = np.insert(coded.indices.to_numpy(), at[1:], end)
+        self.codes = np.insert(codes, at[1:], end)
         self.at = at + np.arange(self.n + 1)
         self.text = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.at))
         self.hash = word_hashes(pa.concat_arrays([self.distinct, pa.array([END], pa.binary())]))
@@ -513,9 +594,14 @@ class Spoken:
         self.block = (base.astype(np.int32)[self.text] + place // BLOCK) << 8
         n = int(sizes.sum())
         own = np.bincount(((self.block[self.on] + self.node) << 1) + self.bit, minlength=n * 512).astype(np.float32)
-        own = own.reshape(n, 512)
-        run = np.cumsum(own, axis=0) - own
-        run -= np.repeat(run[base], sizes, axis=0)
+        run, begins = own.reshape(n, 512), np.zeros(n, bool)
+        begins[base] = True
+        held = np.zeros(512, np.float32)
+        for row, new in zip(run, begins.tolist(), strict=True):
+            if new:
+                held[:] = 0
+            held += row
+            np.subtract(held, row, out=row)
         self.own = run.reshape(-1, 2)
 
     def places(self, p: int, on: np.ndarray) -> np.ndarray | int:
@@ -539,31 +625,32 @@ def opening_inputs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def openings(q: Spoken, logits: np.ndarray, seen: np.ndarray, chosen: np.ndarray | None = None):
     """For each step of the code of first bytes: which (chosen) words have it, inputs, gates and outcomes."""
-    own, shown = _input(q.own[:, 0], q.own[:, 1]).astype(np.float32), q.own.sum(axis=1) >= 2
+    own, shown = _input(q.own[:, 0], q.own[:, 1]).astype(np.float32), q.own[:, 0] + q.own[:, 1] >= 2
     for d, (low, high) in enumerate(zip(q.ends[:-1], q.ends[1:], strict=True)):
         all_on, nodes, bits = q.on[low:high], q.node[low:high], q.bit[low:high]
         if chosen is not None:
             keep = np.flatnonzero(chosen[all_on])
             all_on, nodes, bits = all_on[keep], nodes[keep], bits[keep]
         for s in range(0, len(all_on), 1 << 15):
-            on, node = all_on[s : s + (1 << 15)], nodes[s : s + (1 << 15)]
+            on, node = all_on[s : s + (1 << 15)].astype(np.intp), nodes[s : s + (1 << 15)]
             x = np.empty((OPENERS, len(on)), np.float32)
             at = [q.places(p, on) + node for p in range(OPENERS - 1)]
             for p in range(OPENERS - 1):
                 np.take(logits, at[p], out=x[p], mode="clip")
             mine = q.block[on] + node
-            x[-1] = own[mine]
-            yield on, x, min(d, 7) * 4 + seen[at[3]] * 2 + shown[mine], bits[s : s + (1 << 15)]
+            np.take(own, mine, out=x[-1], mode="clip")
+            yield on, x, min(d, 7) * 4 + np.take(seen, at[3]) * 2 + np.take(shown, mine), bits[s : s + (1 << 15)]
 
 
 def _opening_cells(q: Spoken, pairs: np.ndarray, chosen: np.ndarray) -> None:
     """Add the chosen words' first bytes to the counts of (context, byte)."""
     on = np.flatnonzero(chosen)
     first = q.first[on].astype(np.int32)
+    one = np.ones(len(on), pairs.dtype)  # of the table's own type, which is much quicker
     for p, (low, high) in enumerate(zip(_BASES[:-1].tolist(), _BASES[1:].tolist(), strict=True)):
         at = q.places(p, on) - low + first
         if high - low > len(on):
-            np.add.at(pairs[low:high], at, 1)
+            np.add.at(pairs[low:high], at.astype(np.intp), one)
         else:
             pairs[low:high] += np.bincount(at, minlength=high - low)
 
@@ -870,11 +957,11 @@ def fit_model(rows: DataFrame, bits: int = TABLE_BITS, kinds: int = KINDS, ws: W
         to = pairs.reshape(-1)[r.part * _SEGMENT : (r.part + 1) * _SEGMENT]
         to[:] = got[: len(to)]
     # the mixer of first bytes: each half of the texts meets the counts of the other one, dealt to shards by hashes
+    sizes = {r.fits: r.size for r in rows.where("learn").groupBy(fits).agg(F.sum(F.octet_length("text")).alias("size")).collect()}
     halves = []
     for half in range(HALVES):
         some = rows.where("learn").where(fits if half else ~fits).select("text", told.alias("h"))
-        held = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        shards = max(1, min(4096, held // SHARD_BYTES))
+        shards = max(1, min(4096, sizes.get(bool(half), 0) // SHARD_BYTES))
         some = some.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).repartition(shards, "shard").sortWithinPartitions("shard", "h")
         model = spark.sparkContext.broadcast(_packed(known, firsts, *opening_inputs(opening_counts(pairs[1 - half], firsts))))
         halves.append(_averaged(some.select("shard", "text").mapInArrow(_fit_openings(model), MIXERS), OPEN_GATES, OPENERS))

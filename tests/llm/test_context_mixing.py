@@ -234,3 +234,44 @@ def test_visits_take_all():
     order, weight = cm.visits(mass, np.random.default_rng(0))
     assert set(order) == {1, 2, 3, 4, 6} and np.allclose(np.bincount(order, weight, 7), mass * 5 / 500) and weight.max() <= cm.VISIT
     assert len(cm.visits(np.zeros(3), np.random.default_rng(0))[0]) == 0
+
+
+def _small_tables():
+    w = sorted({b"%s%s" % (a, b) for a in (b"inter", b"internation", b"co", b"x") for b in (b"", b"al", b"ally", b"est", b"val")}) + [b""]
+    code, deep = byte_code(np.ones(256, int)), np.full(len(w), 6)
+    deep[w.index(b"internationest")] = 12  # a neighbour of other depth
+    times = np.random.default_rng(0).integers(0, 4, (len(w), 4))
+    shared = Tables(code, 12)
+    shared.add(w, times, deep, deep=False)
+    return own_tables(code, shared.shared, 12, w, times, deep), w, times, deep
+
+
+def test_words_are_looked_up_for_many_batches_at_once(monkeypatch):
+    """Learning is the same, and works out contexts once for some batches."""
+    calls, contexts, got = [], cm.contexts, []
+    monkeypatch.setattr(cm, "contexts", lambda *a: calls.append(1) or contexts(*a))
+    tables, w, times, deep = _small_tables()
+    for ahead in (1, 8):
+        calls.clear()
+        monkeypatch.setattr(cm, "AHEAD", ahead)
+        got.append((fit_words(tables, w, times, deep, batch=8), len(calls)))
+    n = len(cm.visits(times.astype(float).ravel(), np.random.default_rng(9))[0])
+    assert [c for _, c in got] == [-(-n // 8), -(-n // 64)]
+    a, b = got[0][0], got[1][0]
+    assert a.seen == b.seen and np.array_equal(a.weights, b.weights) and np.array_equal(a.refine, b.refine) and np.abs(a.weights - 2 / cm.PREDICTORS).max() > 0
+
+
+def test_beginnings_of_sorted_words_are_scored_once(monkeypatch):
+    """The same values as of words by themselves, from fewer decisions."""
+    tables, w, times, deep = _small_tables()
+    m = fit_words(tables, w, times, deep)
+    done, probability = [], Mixer.probability
+    monkeypatch.setattr(Mixer, "probability", lambda self, x, gate: done.append(len(gate)) or probability(self, x, gate))
+    for kind in range(4):
+        alone = [log_probabilities(m, tables, [x], kind, deep[i : i + 1])[0] for i, x in enumerate(w)]
+        every = sum(done)
+        done.clear()
+        assert np.allclose(log_probabilities(m, tables, w, kind, deep), alone, rtol=1e-6)
+        assert np.allclose(log_probabilities(m, tables, w[::-1], kind, deep[::-1]), alone[::-1], rtol=1e-6)
+        assert sum(done) / 2 < 0.7 * every
+        done.clear()
