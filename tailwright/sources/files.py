@@ -13,6 +13,7 @@ BLOCK = 1 << 20
 #: Settings of stores that workers need, by their beginnings.
 SETTINGS = ("fs.s3a.", "fs.azure.account.key.", "fs.azure.sas.")
 _OPEN: dict[tuple, fs.FileSystem] = {}
+_LOCAL = fs.LocalFileSystem()
 
 
 def store_settings(spark: SparkSession) -> dict[str, str]:
@@ -48,10 +49,10 @@ def place(uri: str, settings: dict[str, str] | None = None) -> tuple[fs.FileSyst
     only Spark's own readers know them.
     """
     if ":" not in uri.split("/")[0]:
-        return fs.LocalFileSystem(), uri
+        return _LOCAL, uri
     at = urlsplit(uri)
     if at.scheme == "file":
-        return fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "", 1) if uri.startswith("file://") else uri.removeprefix("file:")
+        return _LOCAL, uri.removeprefix("file:").replace("//", "", 1) if uri.startswith("file://") else uri.removeprefix("file:")
     key = (at.scheme, at.netloc)
     if at.scheme in ("s3", "s3a", "s3n"):
         if key not in _OPEN:
@@ -114,9 +115,13 @@ def behind_last_newline(uri: str, at: int, settings: dict[str, str] | None = Non
 
 
 def write_once(uri: str, data: bytes, attempt: str) -> None:
-    """Write under a name of this attempt, then move: a repeated task leaves one whole file."""
+    """Write under a name of this attempt, then move: a repeated task leaves one whole file. A folder is made when one is missing."""
     store, path = place(uri)
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(f"{path}.{attempt}") as out:
+    try:
+        out = store.open_output_stream(f"{path}.{attempt}", buffer_size=0)
+    except FileNotFoundError:
+        store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        out = store.open_output_stream(f"{path}.{attempt}", buffer_size=0)
+    with out:
         out.write(data)
     store.move(f"{path}.{attempt}", path)

@@ -9,10 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tailwright.functions.session import prepare_session
 from tailwright.sources import files as stores
 from tailwright.sources.files import behind_last_newline, place, reachable, walk
 from tailwright.sources.store import append_records, known_keys, may_hold, sketch, sketches, stored_records
-from tailwright.sources.transcripts import add_cursors, list_folders, load_cursors, read_lines
+from tailwright.sources.transcripts import add_cursors, list_folders, load_cursors, read_lines, read_transcripts
 from tailwright.streaming.tail import ENTRIES, Log, TailReader
 
 RANGES = "file_path string, start long, end long, lines_before long"
@@ -210,3 +211,15 @@ def test_listing_and_newlines(tmp_path):
     assert sorted((p.removeprefix(f"{tmp_path}/"), n) for p, n in walk(str(tmp_path), ".jsonl")) == [("a/b/z.jsonl", 6), ("a/y.jsonl", 6), ("x.jsonl", 6)]
     assert list(walk(f"{tmp_path}/none", ".jsonl")) == []
     assert [behind_last_newline(f"{tmp_path}/x.jsonl", at) for at in range(7)] == [0, 0, 2, 2, 2, 5, 5]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Files are dealt to tasks by their bytes, not 32 to a task; folders are made where they are missing."""
+    prepare_session(spark)
+    for i in range(300):
+        stores.write_once(f"file://{tmp_path}/in/s{i % 3}/f{i}.jsonl", b"%d\n" % i, "1")
+    stores.write_once(f"file://{tmp_path}/in/s0/f0.jsonl", b"again\n", "2")
+    files = read_transcripts(spark, f"file://{tmp_path}/in")
+    assert files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
+    got = {Path(r.file_path).name: bytes(r.content) for r in files.collect()}
+    assert got == {f"f{i}.jsonl": b"%d\n" % i if i else b"again\n" for i in range(300)}
