@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ OWN_SLOTS = 16
 #: a visit for so many times a word's share of the occurrences.
 HALVES = 2
 VISIT = 4.0
-AHEAD = 8  # batches of words that are looked up at once
+AHEAD = 32  # batches of words that are looked up at once
 #: Words, by occurrences, whose values are sent to all tasks; the others are joined.
 HEAD_WORDS = 1 << 18
 #: Bytes of texts that one shard's mixer learns from, in a fixed order; and shards whose mixers are averaged in one go.
@@ -103,11 +104,13 @@ class Code:
     bit: np.ndarray
 
     def __post_init__(self):
-        self.salt = (self.node.astype(np.uint64) + np.uint64(1)) * _NODE
+        self.salt = np.ascontiguousarray(((self.node.astype(np.uint64) + np.uint64(1)) * _NODE).T)
+        self.one = np.ascontiguousarray(self.bit.T)
+        self.shortness = (self.node.shape[1] - self.length).astype(np.uint8)
 
     def step(self, d: int, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the node of each byte's decision d adds to its contexts, and the outcome."""
-        return np.take(self.salt[:, d], f), np.take(self.bit[:, d], f)
+        return np.take(self.salt[d], f), np.take(self.one[d], f)
 
 
 def byte_code(counts: np.ndarray) -> Code:
@@ -183,12 +186,19 @@ class Mixer:
         z, p = self.raw(x, gate)
         return np.clip(0.5 * p + 0.5 * self.refined(gate, z), 1e-7, 1 - 1e-7)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, one: np.ndarray, rate: float, weight: np.ndarray | None = None) -> None:
-        """A step down the slope of the code length, and of the map towards what was seen; weight: of each decision, one if not given."""
+    def learn(self, x: np.ndarray, gate: np.ndarray, one: np.ndarray, rate: float, weight: np.ndarray | None = None, part: np.ndarray | None = None) -> None:
+        """A step down the slope of the code length, and of the map towards what was seen; weight: of each decision, one if not given.
+
+        part: of decisions that are of several parts; the step is then the sum of those that the parts would take by themselves.
+        """
         g, p = len(self.bias), len(x)
         z, guess = self.raw(x, gate)
         err = one - guess if weight is None else (one - guess) * weight
-        scale = rate / np.sqrt(np.maximum(np.bincount(gate, weight, g), 1))
+        if part is None:
+            scale = rate / np.sqrt(np.maximum(np.bincount(gate, weight, g), 1))
+        else:
+            key, scale = part * g + gate, 1.0
+            err *= np.take(rate / np.sqrt(np.maximum(np.bincount(key, weight), 1)), key)
         if len(one) < 4096:  # few decisions cost a call each rather than their sums
             terms = np.empty((p + 1, len(one)))
             np.multiply(x, err, out=terms[:p])
@@ -229,18 +239,39 @@ class Mixer:
 def _input(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """A predictor's logits, shrunk where it has seen little."""
     n = zeros + ones
-    return np.log((ones + 0.02) / (zeros + 0.02)) * (n / (n + 0.4))
+    x = ones + np.float32(0.02)
+    x /= zeros + np.float32(0.02)
+    np.log(x, out=x)
+    x *= n
+    n += np.float32(0.4)
+    x /= n
+    return x
 
 
 # ---- words: the bytes after the first one
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _offsets(words: pa.Array) -> np.ndarray:
+    return np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+
+
+def _array(words: pa.Array | list[bytes]) -> pa.Array:
+    return words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+
+
+def spelled(words: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes with end marks in a row, the word of each, and its place in the word."""
-    flat = np.frombuffer(b"".join(w + END for w in words), np.uint8)
-    lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    words = _array(words)
+    at = _offsets(words)
+    lengths = np.diff(at) + 1
+    ends = np.cumsum(lengths)
+    flat = np.full(int(lengths.sum()), END[0], np.uint8)
+    inner = np.ones(len(flat), bool)
+    inner[ends - 1] = False
+    if at[-1] > at[0]:
+        flat[inner] = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
     word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
     return flat, word, place
 
 
@@ -292,7 +323,7 @@ class Tables:
         self.own_bits = max(8, int(np.ceil(np.log2(OWN_SLOTS * deep_bytes + 1)))) if deep_bytes else 0
         self.own = np.zeros((2, 2 << self.own_bits), np.float32) if deep_bytes else None
 
-    def add(self, words: list[bytes], times: np.ndarray, deep_at: np.ndarray, deep: bool) -> None:
+    def add(self, words: pa.Array | list[bytes], times: np.ndarray, deep_at: np.ndarray, deep: bool) -> None:
         """Count every decision of the words but their first bytes', in the shared tables or (deep) the own ones. times: word x kind."""
         code = self.code
         for flat, word, place in _stretches(words, 4 * CHUNK):
@@ -301,73 +332,89 @@ class Tables:
             rest = place > 0
             for predictors in ((WHOLE,), (KIND,)) if deep else (range(WHOLE), (WHOLE,), (KIND,)):
                 at = np.flatnonzero(here & rest if deep else (rest if predictors[0] < WHOLE else rest & ~here))
+                # bytes of long codes first: those that have a step of the code are the first so many
+                at = at[_long_first(code, flat[at])]
                 # the words by kind, all kinds' in a row, or once for all kinds
                 if WHOLE in predictors:
-                    kind, live, w = None, at, times.sum(axis=1)[word[at]]
-                    if not w.all():
-                        live, w = live[w > 0], w[w > 0]
+                    shares = [(None, times.sum(axis=1))]
                 else:
-                    kind, some = np.nonzero(times.T[:, word[at]])
-                    live = at[some]
-                    w = times[word[live], kind]
-                if not len(live):
-                    continue
-                if WHOLE not in predictors and KIND not in predictors:
-                    w = np.minimum(w, 1)  # each word once: short contexts speak for words not seen
-                f, w = flat[live], w.astype(np.float32)
-                length, on, steps = code.length[f], np.arange(len(f)), []
-                for d in range(code.node.shape[1]):
-                    on = on[length[on] > d]
-                    if not len(on):
-                        break
-                    steps.append((on, *code.step(d, f[on]), w[on]))
-                for p in predictors:
-                    c = ctx[p][live] if kind is None else of_kind(ctx[p][live], kind)
-                    table, bits = (self.own[p - WHOLE], self.own_bits) if deep else (self.shared[p], self.bits)
-                    for on, salt, one, times_on in steps:
-                        np.add.at(table, slot(cell_hash(c[on], salt), bits) * 2 + one, times_on)
+                    shares = list(enumerate(times.T))
+                for kind, share in shares:
+                    w = np.take(share, np.take(word, at))
+                    live = at
+                    if not w.all():
+                        some = np.flatnonzero(w)
+                        live, w = at[some], w[some]
+                    if not len(live):
+                        continue
+                    if WHOLE not in predictors and KIND not in predictors:
+                        w = np.minimum(w, 1)  # each word once: short contexts speak for words not seen
+                    f, w = np.take(flat, live), w.astype(np.float32)
+                    steps = [(n, *code.step(d, f[:n])) for d, n in _steps(code, f)]
+                    for p in predictors:
+                        c = np.take(ctx[p], live)
+                        if kind is not None:
+                            c = of_kind(c, kind)
+                        table, bits = (self.own[p - WHOLE], self.own_bits) if deep else (self.shared[p], self.bits)
+                        for n, salt, one in steps:
+                            at_slot = slot(cell_hash(c[:n], salt), bits)
+                            at_slot <<= 1
+                            at_slot += one
+                            np.add.at(table, at_slot, w[:n])
 
     def freeze(self) -> None:
-        """Work out all logits and parts of gates once, for scoring; own counts go."""
-        pair = lambda t: (t[0::2], t[1::2])
+        """Work out all logits and parts of gates of the shared tables once, for scoring."""
         if _FROZEN.get("of") is not self.shared:
+            pair = lambda t: (t[0::2], t[1::2])
             _FROZEN.update(of=self.shared, logits=np.stack([_input(*pair(t)) for t in self.shared]), gates={p: gate_part(p, sum(pair(self.shared[p]))) for p in GATED})
         self.logits, self.gates = _FROZEN["logits"], _FROZEN["gates"]
-        if self.own is not None:
-            self.own_logits = [_input(*pair(t)) for t in self.own]
-            self.own_gates = [gate_part(p, sum(pair(t))) for p, t in zip((WHOLE, KIND), self.own, strict=True)]
-            self.own = self.own[:, :0]
 
-    def frozen(self, p: int, h: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
-        """Logits of each context (by its hash with the node) and its part of the gate, if it has one."""
+    def frozen(self, p: int, h: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Logits of each context (by its hash with the node) and its part of the gate, if it has one; own: the own tables count."""
+        if own and p >= WHOLE:  # few of their slots are asked for
+            zeros, ones = self.look(p, h, own)
+            return _input(zeros, ones), gate_part(p, zeros + ones)
         s = slot(h, self.bits)
-        x, n = np.take(self.logits[p], s), np.take(self.gates[p], s) if p in self.gates else None
-        if p >= WHOLE and len(deep):
-            if self.own is None:
-                x[deep] = n[deep] = 0
-            else:
-                s = slot(h[deep], self.own_bits)
-                x[deep], n[deep] = np.take(self.own_logits[p - WHOLE], s), np.take(self.own_gates[p - WHOLE], s)
-        return x, n
-
-    def look(self, p: int, h: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones seen in each context (by its hash with the node); deep: where the own tables count."""
+        return np.take(self.logits[p], s), np.take(self.gates[p], s) if p in self.gates else None
+
+    def look(self, p: int, h: np.ndarray, own: bool, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones seen in each context (by its hash with the node); own: the own tables count; out: what is taken out of the counts, zeros and ones as one value."""
         # both counts of a slot as one value, so that it is visited once
-        seen = np.take(self.shared[p].view(np.complex64), slot(h, self.bits))
-        if p >= WHOLE and len(deep):
-            seen[deep] = 0 if self.own is None else np.take(self.own[p - WHOLE].view(np.complex64), slot(h[deep], self.own_bits))
+        if not (own and p >= WHOLE):
+            seen = np.take(self.shared[p].view(np.complex64), slot(h, self.bits))
+        elif self.own is None:
+            seen = np.zeros(len(h), np.complex64)
+        else:
+            seen = np.take(self.own[p - WHOLE].view(np.complex64), slot(h, self.own_bits))
+        if out is not None:
+            seen -= out
+            both = seen.view(np.float32)
+            np.maximum(both, 0, out=both)
         return seen.real, seen.imag
 
 
-def _stretches(words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _long_first(code: Code, f: np.ndarray) -> np.ndarray:
+    """The order of bytes by the length of their codes, the longest ones first."""
+    return np.argsort(np.take(code.shortness, f), kind="stable")
+
+
+def _steps(code: Code, f: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each step of the code, how many of the bytes have it. f: the longest codes first."""
+    sizes = np.bincount(np.take(code.length, f), minlength=code.node.shape[1] + 1)
+    for d, n in enumerate((len(f) - np.cumsum(sizes))[:-1].tolist()):
+        if n:
+            yield d, n
+
+
+def _stretches(words: pa.Array | list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Spelled words, so many at once that they have about ``most`` bytes; words numbered over all."""
+    words = _array(words)
+    at = _offsets(words)
+    ends = at[1:] - at[0] + np.arange(1, len(at))
     start = 0
     while start < len(words):
-        end, size = start, 0
-        while end < len(words) and (end == start or size + len(words[end]) < most):
-            size += len(words[end]) + 1
-            end += 1
-        flat, word, place = spelled(words[start:end])
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most)))
+        flat, word, place = spelled(words.slice(start, end - start))
         yield flat, word + start, place
         start = end
 
@@ -377,6 +424,7 @@ def _stretches(words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.n
 WORD_GATES = 8 * 3 * 3 * 4
 GATED = (WHOLE, KIND, WHOLE - 1)
 _DEPTH = np.array([0, 1, 1, 2, 2, 2] + [3] * 300)
+_ONCE = np.array([1, 1j], np.complex64)  # one zero, one one
 
 
 def gate_part(p: int, seen: np.ndarray) -> np.ndarray:
@@ -387,43 +435,48 @@ def gate_part(p: int, seen: np.ndarray) -> np.ndarray:
 
 
 def _decisions(tables: Tables, flat: np.ndarray, word: np.ndarray, place: np.ndarray, kind, deep_at: np.ndarray, lone: np.ndarray | None = None, but: np.ndarray | None = None):
-    """For each step of the code: which bytes (without ``but``) have it, inputs, gates and outcomes.
+    """For bytes that shared tables tell all of, and then those that own ones tell of, each step of the code: its number, which bytes (without ``but``) have it, inputs, gates and outcomes.
 
     lone: take one occurrence of each word out of the counts, and of words that are so all there is of them.
     """
-    ctx = contexts(flat, place)
-    for p in range(PREDICTORS):
-        if p != WHOLE:
-            ctx[p] = of_kind(ctx[p], kind)
+    every = contexts(flat, place)
     here = place >= deep_at[word]
     code = tables.code
-    on = np.flatnonzero(place > 0 if but is None else (place > 0) & ~but)
-    length = code.length[flat]
-    for d in range(code.node.shape[1]):
-        on = on[length[on] > d]
-        if not len(on):
-            return
-        salt, one = code.step(d, flat[on])
-        deep = np.flatnonzero(here[on])
-        x, gates = np.empty((PREDICTORS, len(on)), np.float32), np.full(len(on), _DEPTH[d])
-        if lone is not None:
-            ones_out = one.astype(np.float32)
-            zeros_out = 1 - ones_out
-            only = lone[word[on]].astype(np.float32)
-            short_ones_out, short_zeros_out = ones_out * only, zeros_out * only
-        for p in range(PREDICTORS):
-            h = cell_hash(ctx[p][on], salt)
-            if lone is None:
-                x[p], gate = tables.frozen(p, h, deep)
-            else:
-                zeros, ones = tables.look(p, h, deep)
-                zeros = np.maximum(zeros - (short_zeros_out if p < WHOLE else zeros_out), 0)
-                ones = np.maximum(ones - (short_ones_out if p < WHOLE else ones_out), 0)
-                x[p] = _input(zeros, ones)
-                gate = gate_part(p, zeros + ones) if p in GATED else None
-            if gate is not None:
-                gates += gate
-        yield on, x, gates, one
+    rest = place > 0 if but is None else (place > 0) & ~but
+    for own in (False, True):
+        at = np.flatnonzero(rest & here if own else rest & ~here)
+        if not len(at):
+            continue
+        if lone is None:  # those that have a step are the first so many
+            at = at[_long_first(code, flat[at])]
+        f = flat[at]
+        ctx = [np.take(c, at) for c in every]
+        k = np.take(kind, at) if np.ndim(kind) else kind
+        ctx = [c if p == WHOLE else of_kind(c, k) for p, c in enumerate(ctx)]
+        if lone is None:
+            steps = ((d, slice(0, n)) for d, n in _steps(code, f))
+        else:
+            length = code.length[f]
+            least = int(length.min())
+            steps = ((d, slice(None) if d < least else np.flatnonzero(length > d)) for d in range(int(length.max())))
+            only = lone[word[at]].astype(np.float32)
+        for d, on in steps:
+            salt, one = code.step(d, f[on])
+            x, gates = np.empty((PREDICTORS, len(one)), np.float32), np.full(len(one), _DEPTH[d])
+            if lone is not None:
+                out = _ONCE[one.view(np.uint8)]
+                short_out = out * only[on]
+            for p in range(PREDICTORS):
+                h = cell_hash(ctx[p][on], salt)
+                if lone is None:
+                    x[p], gate = tables.frozen(p, h, own)
+                else:
+                    zeros, ones = tables.look(p, h, own, short_out if p < WHOLE else out)
+                    x[p] = _input(zeros, ones)
+                    gate = gate_part(p, zeros + ones) if p in GATED else None
+                if gate is not None:
+                    gates += gate
+            yield d, at[on], x, gates, one
 
 
 def _as_before(flat: np.ndarray, word: np.ndarray, place: np.ndarray, deep_at: np.ndarray) -> np.ndarray:
@@ -438,7 +491,7 @@ def _as_before(flat: np.ndarray, word: np.ndarray, place: np.ndarray, deep_at: n
     return differ - (differ[starts] - ~equal[starts])[w] == 0
 
 
-def log_probabilities(m: Mixer, tables: Tables, words: list[bytes], kind: int, deep_at: np.ndarray) -> np.ndarray:
+def log_probabilities(m: Mixer, tables: Tables, words: pa.Array | list[bytes], kind: int, deep_at: np.ndarray) -> np.ndarray:
     """log10 probability of what follows each word's first byte, in a text of the kind."""
     out = np.zeros(len(words))
     if not hasattr(tables, "logits"):
@@ -446,7 +499,7 @@ def log_probabilities(m: Mixer, tables: Tables, words: list[bytes], kind: int, d
     for flat, word, place in _stretches(words, CHUNK):
         total = np.zeros(len(flat))
         shared = _as_before(flat, word, place, deep_at)
-        for on, x, gate, one in _decisions(tables, flat, word, place, kind, deep_at, but=shared):
+        for _, on, x, gate, one in _decisions(tables, flat, word, place, kind, deep_at, but=shared):
             p = m.probability(x, gate)
             total[on] += np.log10(np.where(one, p, 1 - p))
         # a beginning has the value that it has in the word before
@@ -465,15 +518,14 @@ def visits(mass: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.n
     return order, weight[order] / times[order]
 
 
-def fit_words(tables: Tables, words: list[bytes], times: np.ndarray, deep_at: np.ndarray, batch: int = 256, rate: float = 0.02, seed: int = 9) -> Mixer:
+def fit_words(tables: Tables, words: pa.Array | list[bytes], times: np.ndarray, deep_at: np.ndarray, batch: int = 256, rate: float = 0.02, seed: int = 9) -> Mixer:
     """Learn the mixer online, a batch of words after another, from all words with a count, each weighted by its occurrences.
 
     Each occurrence is predicted from counts without itself, so that words seen once stand for
     words not seen. times: word x kind.
     """
-    # a step of the code has gates of one depth only: a mixer for each depth
-    depths = int(_DEPTH.max()) + 1
-    parts = [Mixer.fresh(WORD_GATES // depths, PREDICTORS) for _ in range(depths)]
+    m = Mixer.fresh(WORD_GATES, PREDICTORS)
+    words = _array(words)
     mass = times.astype(float).ravel()
     order, weights = visits(mass, np.random.default_rng(seed))
     kinds = times.shape[1]
@@ -481,19 +533,20 @@ def fit_words(tables: Tables, words: list[bytes], times: np.ndarray, deep_at: np
     for start in range(0, len(order), batch * AHEAD):
         some, weight = order[start : start + batch * AHEAD], weights[start : start + batch * AHEAD]
         at = some // kinds
-        flat, word, place = spelled([words[i] for i in at])
-        steps = list(_decisions(tables, flat, word, place, (some % kinds)[word], deep_at[at], mass[some] == 1))
+        flat, word, place = spelled(words.take(pa.array(at)))
         ends = np.searchsorted(word, np.arange(batch, len(some) + batch, batch))
-        cuts = [np.append(0, np.searchsorted(on, ends)).tolist() for on, *_ in steps]
-        steps = [(x, gate // depths, one, weight[word[on]]) for on, x, gate, one in steps]
+        steps, cuts = [], []
+        for d, on, x, gate, one in _decisions(tables, flat, word, place, (some % kinds)[word], deep_at[at], mass[some] == 1):
+            steps.append((x, gate, one, weight[word[on]], np.full(len(on), d)))
+            cuts.append([0, *np.searchsorted(on, ends).tolist()])
+        if not steps:
+            continue
         for b in range(len(ends)):
-            lr = rate / (1 + 3 * (start + b * batch) / len(order))
-            for d, (x, gate, one, w) in enumerate(steps):
-                u = slice(cuts[d][b], cuts[d][b + 1])
-                if u.start < u.stop:
-                    parts[_DEPTH[d]].learn(x[:, u], gate[u], one[u], lr, w[u])
-    joined = lambda f: np.stack([f(m) for m in parts], axis=1).reshape(WORD_GATES, *f(parts[0]).shape[1:])
-    return Mixer(joined(lambda m: m.weights), joined(lambda m: m.bias), joined(lambda m: m.refine), sum(m.seen for m in parts))
+            # all decisions of a batch at once, those of each step of the code as a part of their own
+            x, gate, one, w, step = (np.concatenate([part[..., c[b] : c[b + 1]] for part, c in zip(parts, cuts, strict=True)], axis=-1) for parts in zip(*steps, strict=True))
+            if len(one):
+                m.learn(x, gate, one, rate / (1 + 3 * (start + b * batch) / len(order)), w, step)
+    return m
 
 
 # ---- texts: words in a row
@@ -543,9 +596,12 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Spoken:
-    """A batch of texts as codes of distinct words, with an end behind each text. Without a code their first bytes are not taken apart into decisions."""
+    """A batch of texts as codes of distinct words, with an end behind each text. Without a code their first bytes are not taken apart into decisions.
+
+    sort: decisions are held in the order of the first bytes, the longest codes first (``order`` has their words), not of the text.
+    """
 
-    def __init__(self, texts: pa.Array, kinds: Kinds, code: Code | None = None):
+    def __init__(self, texts: pa.Array, kinds: Kinds, code: Code | None = None, sort: bool = False):
         words, at = words_of(texts)
         self.n = len(at) - 1
         coded = words.dictionary_encode()
@@ -576,24 +632,36 @@ class Spoken:
         self.first = f = first[self.codes]
         if code is None:
             return
-        # all decisions, step by step of the code: which words have it, the node and the outcome
-        on = np.arange(len(f), dtype=np.int32)
-        steps, self.ends = [], [0]
-        for d in range(code.node.shape[1]):
-            live = np.flatnonzero((code.length > d)[f])
-            on, f = on[live], f[live]
-            if not len(on):
-                break
-            steps.append((on, np.ascontiguousarray(code.node[:, d])[f], np.ascontiguousarray(code.bit[:, d])[f]))
-            self.ends.append(self.ends[-1] + len(on))
-        self.on, self.node, self.bit = (np.concatenate(x) for x in zip(*steps, strict=True))
         # the text's own decisions up to the block before
         place = np.arange(len(self.first), dtype=np.int32) - self.at[:-1].astype(np.int32)[self.text]
         sizes = -(-np.diff(self.at) // BLOCK)
         base = np.cumsum(sizes) - sizes
         self.block = (base.astype(np.int32)[self.text] + place // BLOCK) << 8
+        if sort:  # what is looked up together lies together, and those that have a step are the first so many
+            self.order = np.argsort(np.lexsort((np.arange(256), code.shortness)).argsort().astype(np.uint8)[f], kind="stable")
+            f, self.block = np.take(f, self.order), np.take(self.block, self.order)
+            self.cells = [c if isinstance(c, int) else np.take(c, self.order) for c in self.cells]
+        # all decisions, step by step of the code: which words have it, the node and the outcome
+        on = None  # all
+        steps, self.ons = [], []
+        for d in range(code.node.shape[1]):
+            live = (code.length > d)[f]
+            if not live.all():
+                live = np.flatnonzero(live)
+                on = live.astype(np.int32) if on is None else on[live]
+                f = f[live]
+            if not len(f):
+                break
+            self.ons.append(on if on is not None and not sort else slice(0, len(f)))
+            steps.append((code.node[:, d].copy()[f], code.bit[:, d].copy()[f]))
+        self.ends = np.cumsum([0, *(len(node) for node, _ in steps)]).tolist()
+        self.node, self.bit = (np.concatenate(x) for x in zip(*steps, strict=True))
         n = int(sizes.sum())
-        own = np.bincount(((self.block[self.on] + self.node) << 1) + self.bit, minlength=n * 512).astype(np.float32)
+        at_own = np.concatenate([self.block[on] for on in self.ons])
+        at_own += self.node
+        at_own <<= 1
+        at_own += self.bit
+        own = np.bincount(at_own, minlength=n * 512).astype(np.float32)
         run, begins = own.reshape(n, 512), np.zeros(n, bool)
         begins[base] = True
         held = np.zeros(512, np.float32)
@@ -604,7 +672,7 @@ class Spoken:
             np.subtract(held, row, out=row)
         self.own = run.reshape(-1, 2)
 
-    def places(self, p: int, on: np.ndarray) -> np.ndarray | int:
+    def places(self, p: int, on: np.ndarray | slice) -> np.ndarray | int:
         """Cells of a predictor, less the node."""
         return self.cells[p] if isinstance(self.cells[p], int) else self.cells[p][on]
 
@@ -623,23 +691,20 @@ def opening_inputs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return logits, seen
 
 
-def openings(q: Spoken, logits: np.ndarray, seen: np.ndarray, chosen: np.ndarray | None = None):
-    """For each step of the code of first bytes: which (chosen) words have it, inputs, gates and outcomes."""
+def openings(q: Spoken, logits: np.ndarray, seen: np.ndarray):
+    """For each step of the code of first bytes: which words have it, inputs, gates and outcomes."""
     own, shown = _input(q.own[:, 0], q.own[:, 1]).astype(np.float32), q.own[:, 0] + q.own[:, 1] >= 2
-    for d, (low, high) in enumerate(zip(q.ends[:-1], q.ends[1:], strict=True)):
-        all_on, nodes, bits = q.on[low:high], q.node[low:high], q.bit[low:high]
-        if chosen is not None:
-            keep = np.flatnonzero(chosen[all_on])
-            all_on, nodes, bits = all_on[keep], nodes[keep], bits[keep]
-        for s in range(0, len(all_on), 1 << 15):
-            on, node = all_on[s : s + (1 << 15)].astype(np.intp), nodes[s : s + (1 << 15)]
-            x = np.empty((OPENERS, len(on)), np.float32)
+    for d, (low, high, all_on) in enumerate(zip(q.ends[:-1], q.ends[1:], q.ons, strict=True)):
+        for s in range(low, high, 1 << 15):
+            e = min(s + (1 << 15), high)
+            on, node = slice(s - low, e - low) if isinstance(all_on, slice) else all_on[s - low : e - low].astype(np.intp), q.node[s:e]
+            x = np.empty((OPENERS, e - s), np.float32)
             at = [q.places(p, on) + node for p in range(OPENERS - 1)]
             for p in range(OPENERS - 1):
                 np.take(logits, at[p], out=x[p], mode="clip")
             mine = q.block[on] + node
             np.take(own, mine, out=x[-1], mode="clip")
-            yield on, x, min(d, 7) * 4 + np.take(seen, at[3]) * 2 + np.take(shown, mine), bits[s : s + (1 << 15)]
+            yield on, x, min(d, 7) * 4 + np.take(seen, at[3]) * 2 + np.take(shown, mine), q.bit[s:e]
 
 
 def _opening_cells(q: Spoken, pairs: np.ndarray, chosen: np.ndarray) -> None:
@@ -731,7 +796,7 @@ def _fit_openings(model):
         def learn() -> None:
             q = Spoken(pa.array(held, pa.binary()), kinds, code)
             for on, x, gate, one in openings(q, logits, seen):
-                for s in range(0, len(on), 8192):
+                for s in range(0, len(one), 8192):
                     u = slice(s, s + 8192)
                     mixer.learn(x[:, u], gate[u], one[u], 0.02 / (1 + mixer.seen / 5e6))
 
@@ -766,8 +831,9 @@ def _sum_cells(key, parts):
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())})
 
 
-def _spell(words: list[bytes]) -> list[bytes]:
-    return [b"" if w == END else w for w in words]
+def _spell(words: pa.Array) -> pa.Array:
+    """The words as they are spelled: the end of a text is the empty word."""
+    return pc.if_else(pc.equal(words, pa.scalar(END, words.type)), pa.scalar(b"", words.type), words)
 
 
 def _times(b: pa.RecordBatch, kinds: int, held_out: bool = False) -> np.ndarray:
@@ -778,7 +844,7 @@ def _count_bits(code: Code, bits: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, any_ = Tables(code, bits), False
         for b in batches:
-            tables.add(_spell(b.column("word").to_pylist()), _times(b, kinds), b.column("deep").to_numpy(), deep=False)
+            tables.add(_spell(b.column("word")), _times(b, kinds), b.column("deep").to_numpy(), deep=False)
             any_ |= bool(b.num_rows)
         if any_:
             for k, row in enumerate(tables.shared.reshape(-1, _SEGMENT)):
@@ -798,9 +864,11 @@ def _sum_parts(key, parts):
     return pa.table({"segment": pa.array([key[0].as_py()]), "part": pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())})
 
 
-def own_tables(code: Code, shared: np.ndarray, bits: int, words: list[bytes], times: np.ndarray, deep_at: np.ndarray) -> Tables:
+def own_tables(code: Code, shared: np.ndarray, bits: int, words: pa.Array | list[bytes], times: np.ndarray, deep_at: np.ndarray) -> Tables:
     """Tables for a set of words that holds all words of each of their beginnings."""
-    tables = Tables(code, bits, shared, deep_bytes=sum(max(0, len(w) + 1 - d) for w, t, d in zip(words, times.any(axis=1).tolist(), deep_at.tolist(), strict=True) if t))
+    words = _array(words)
+    deep_bytes = np.maximum(np.diff(_offsets(words)) + 1 - deep_at, 0)[times.any(axis=1)]
+    tables = Tables(code, bits, shared, deep_bytes=int(deep_bytes.sum()))
     if tables.own is not None:
         tables.add(words, times, deep_at, deep=True)
     return tables
@@ -810,10 +878,10 @@ def _held(batches: Iterator[pa.RecordBatch], kinds: int):
     got = [b for b in batches if b.num_rows]
     if not got:
         return None
-    words = [w for b in got for w in b.column("word").to_pylist()]
-    order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)  # however they came
+    words = pa.concat_arrays([b.column("word") for b in got])
+    order = pc.array_sort_indices(words).to_numpy().astype(np.int64)  # however they came
     join = lambda f: np.concatenate([f(b) for b in got])[order]
-    return [words[i] for i in order], join(lambda b: _times(b, kinds)), join(lambda b: _times(b, kinds, True)), join(lambda b: b.column("deep").to_numpy())
+    return words.take(pa.array(order)), join(lambda b: _times(b, kinds)), join(lambda b: _times(b, kinds, True)), join(lambda b: b.column("deep").to_numpy())
 
 
 def _fit(model, kinds: int):
@@ -841,14 +909,15 @@ def _score_words(model, mixer: Mixer, kinds: int):
         lp = np.zeros((len(words), kinds))
         for k in range(kinds):
             some = np.flatnonzero(every[:, k])
-            lp[some, k] = log_probabilities(mixer, tables, [words[i] for i in some], k, deep_at[some])
-        cols = [pa.array(word_hashes(pa.array(names, pa.binary())).view(np.int64)), pa.array(times.sum(axis=1)), pa.array(every.sum(axis=1)), *(pa.array(lp[:, k]) for k in range(kinds))]
+            lp[some, k] = log_probabilities(mixer, tables, words.take(pa.array(some)), k, deep_at[some])
+        cols = [pa.array(word_hashes(names).view(np.int64)), pa.array(times.sum(axis=1)), pa.array(every.sum(axis=1)), *(pa.array(lp[:, k]) for k in range(kinds))]
         yield from pa.Table.from_arrays(cols, names=["h", "c", "c_all", *(f"lp{k}" for k in range(kinds))]).to_batches(10_000)
 
     return run
 
 
-ROWS = "doc_id long, th long, learn boolean, copies long, n_tokens long, n_bytes long, n_known long, base_score double, score double, kind int, h long, n long"
+OWN = {"copies": "long", "n_tokens": "long", "n_bytes": "long", "n_known": "long", "base_score": "double", "score": "double"}
+ROWS = f"doc_id long, th long, learn boolean, kind int, h long, n long, own struct<{', '.join(f'{k}: {v}' for k, v in OWN.items())}>"
 
 
 def _look_up(model, total: int, distinct: int):
@@ -859,15 +928,18 @@ def _look_up(model, total: int, distinct: int):
         give_back()
         kinds, code, mixer, logits, seen, head, c, lp = _opened(model.value)
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1))) if total else np.zeros(len(c))
-        names = [x.split()[0] for x in ROWS.split(", ")]
         for b in pieces(batches, rows=1000, size=PIECE):
-            q = Spoken(b.column("text"), kinds, code)
-            gain = np.zeros(len(q.codes))
+            q = Spoken(b.column("text"), kinds, code, sort=True)
+            likely = np.ones(len(q.codes))
             for on, x, gate, one in openings(q, logits, seen):
                 p = mixer.probability(x, gate)
-                gain[on] += np.log10(np.where(one, p, 1 - p))
+                likely[on] *= np.where(one, p, 1 - p)  # a code has some dozen decisions, of 1e-7 at least each
+            gain = np.empty(len(q.codes))
+            gain[q.order] = np.log10(likely)
             signed = q.hash.view(np.int64)
-            at = np.searchsorted(head, signed)
+            by_hash = np.argsort(signed)  # neighbours are found together
+            at = np.empty(len(signed), np.int64)
+            at[by_hash] = np.searchsorted(head, signed[by_hash])
             at[at == len(head)] = 0
             common = head[at] == signed if len(head) else np.zeros(len(signed), bool)
             known = common[q.codes]
@@ -881,19 +953,19 @@ def _look_up(model, total: int, distinct: int):
             key, times = np.unique(q.text[~known] * len(q.hash) + q.codes[~known], return_counts=True)
             rest, own = key // len(q.hash), q.n
             rows = pa.array(np.concatenate([np.arange(own), rest]))
-            padded = lambda v: pa.array(np.concatenate([v, np.zeros(len(rest), v.dtype)]))  # noqa: E731, B023
             values = [
                 np.ones(own, np.int64), tokens, n_bytes, add(t, (c[where] > 0).astype(float)).astype(np.int64),
                 add(t, base[where]), add(q.text, gain) + np.log10(kinds.prior)[q.kind],
             ]
+            sums = pa.StructArray.from_arrays([pa.array(v) for v in values], names=list(OWN))
             # a text's own row must meet no word and no crowd: its key is its own hash
             h = np.concatenate([b.column("th").to_numpy(), signed[key % len(q.hash)]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id").take(rows), b.column("th").take(rows), b.column("learn").take(rows), *map(padded, values),
-                    pa.array(np.concatenate([q.kind, q.kind[rest]]), pa.int32()), pa.array(h), pa.array(np.concatenate([np.zeros(own, np.int64), times])),
+                    *(b.column(x).take(rows) for x in ("doc_id", "th", "learn")), pa.array(np.concatenate([q.kind, q.kind[rest]]), pa.int32()),
+                    pa.array(h), pa.array(np.concatenate([np.zeros(own, np.int64), times])), pa.concat_arrays([sums, pa.nulls(len(rest), sums.type)]),
                 ],
-                names=names,
+                names=["doc_id", "th", "learn", "kind", "h", "n", "own"],
             )
 
     return run
@@ -1044,16 +1116,16 @@ def score_rows(rows: DataFrame, m: Model, head_words: int = HEAD_WORDS) -> DataF
     model = spark.sparkContext.broadcast(_packed(m.kinds, m.firsts, m.opening, *opening_inputs(m.counts), head[order], top.column("c").to_numpy()[order], values))
     looked = rows.withColumn("th", F.xxhash64("doc_id", "text")).select("doc_id", "text", "th", "learn").mapInArrow(_look_up(model, n, v), ROWS)
     unigram = F.log10((F.coalesce("w_c", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1))) if n else F.lit(0.0)
-    own = F.col("copies") > 0
+    own = F.col("own").isNotNull()
     words = m.scored.select(F.col("h"), F.col("c").alias("w_c"), F.array(*lps).alias("w_lp"))
     counts, sums = ["copies", "n_tokens", "n_bytes", "n_known"], ["base_score", "score"]
     summed = (
-        looked.join(words, "h", "left")
+        looked.join(words.hint("shuffle_hash"), "h", "left")  # some tens of thousands of words a partition: sorts would cost more
         .select(
-            "doc_id", "th", "learn", "copies", "n_tokens", "n_bytes",
-            F.when(own, F.col("n_known")).otherwise(F.when(F.col("w_c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-            F.when(own, F.col("base_score")).otherwise(F.col("n") * unigram).alias("base_score"),
-            F.when(own, F.col("score")).otherwise(F.col("n") * F.get("w_lp", F.col("kind"))).alias("score"),
+            "doc_id", "th", "learn", "own.copies", "own.n_tokens", "own.n_bytes",
+            F.when(own, F.col("own.n_known")).otherwise(F.when(F.col("w_c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
+            F.when(own, F.col("own.base_score")).otherwise(F.col("n") * unigram).alias("base_score"),
+            F.when(own, F.col("own.score")).otherwise(F.col("n") * F.get("w_lp", F.col("kind"))).alias("score"),
         )
         .groupBy("doc_id", "th", "learn")
         .agg(*(F.sum(c).alias(c) for c in [*counts, *sums]))

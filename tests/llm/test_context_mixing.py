@@ -275,3 +275,41 @@ def test_beginnings_of_sorted_words_are_scored_once(monkeypatch):
         assert np.allclose(log_probabilities(m, tables, w[::-1], kind, deep[::-1]), alone[::-1], rtol=1e-6)
         assert sum(done) / 2 < 0.7 * every
         done.clear()
+
+
+def test_a_batch_of_words_is_learned_at_once(monkeypatch):
+    """One call a batch, as long a step as its parts would take by themselves; counts of own tables are not worked out slot by slot."""
+    tables, w, times, deep = _small_tables()
+    calls, learn = [], Mixer.learn
+    monkeypatch.setattr(Mixer, "learn", lambda self, x, gate, one, *a: calls.append(len(one)) or learn(self, x, gate, one, *a))
+    m = fit_words(tables, w, times, deep, batch=8)
+    n = len(cm.visits(times.astype(float).ravel(), np.random.default_rng(9))[0])
+    assert len(calls) == -(-n // 8) and m.seen > 0
+    for k in (500, 6000):  # few decisions and many
+        rng = np.random.default_rng(k)
+        x, gate, one, weight, part = rng.normal(size=(3, k)).astype(np.float32), rng.integers(0, 5, k), rng.random(k) < 0.3, rng.random(k), rng.integers(0, 4, k)
+        whole, alone = Mixer.fresh(5, 3), [Mixer.fresh(5, 3) for _ in range(4)]
+        first = whole.weights.copy()
+        learn(whole, x, gate, one, 0.02, weight, part)
+        for d, a in enumerate(alone):
+            learn(a, x[:, part == d], gate[part == d], one[part == d], 0.02, weight[part == d])
+        assert np.allclose(whole.weights - first, sum(a.weights - first for a in alone), atol=1e-6) and np.allclose(whole.bias, sum(a.bias for a in alone), atol=1e-6)
+        assert whole.seen == pytest.approx(weight.sum())
+
+
+def test_first_bytes_have_the_same_values_in_any_order():
+    """Sorted by their bytes, decisions take fewer gathers; each word's value stays."""
+    texts = pa.array([" ".join(words(i, 150 + 40 * i)).encode() for i in range(12)] + [b"", b"\xc3\xa9 z"], pa.binary())
+    rng = np.random.default_rng(1)
+    kinds = cm.Kinds(np.log(rng.dirichlet(np.ones(cm.BUCKETS), 4)), np.full(4, 0.25))
+    code = byte_code(rng.integers(0, 99, 256))
+    logits, seen = rng.normal(size=cm.CELLS).astype(np.float32), rng.random(cm.CELLS) < 0.5
+    m = Mixer(rng.normal(size=(cm.OPEN_GATES, cm.OPENERS)), rng.normal(size=cm.OPEN_GATES), rng.random((cm.OPEN_GATES, cm.STEPS)))
+    got = []
+    for sort in (False, True):
+        q = cm.Spoken(texts, kinds, code, sort=sort)
+        p = np.ones(len(q.codes))
+        for on, x, gate, one in cm.openings(q, logits, seen):
+            p[on] *= np.where(one, m.probability(x, gate), 1 - m.probability(x, gate))
+        got.append(p)
+    assert np.array_equal(got[0][q.order], got[1]) and np.array_equal(np.sort(q.order), np.arange(len(q.order)))
