@@ -1,4 +1,4 @@
-"""Shared helpers: tables, the shared work folder, small hashing utilities."""
+"""Shared helpers: tables, the shared work folder, memory of workers, small hashing utilities."""
 
 from __future__ import annotations
 
@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of text that a Python worker works on at once. Spark's own batches are bounded by
-#: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB) and 10,000 rows.
+#: ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB, see ``small_batches``) and 10,000 rows.
 BATCH_ROWS = 500
 BATCH_BYTES = 12 << 20
+#: Bytes of a batch on its way to a Python worker. Buffers of many megabytes are no part of the executor's pool: every
+#: thread allocates them anew, and what is freed stays with the thread.
+ARROW_BYTES = 4 << 20
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str | None = "text", rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batches of at most so many rows and, but for a single long text, bytes in ``column`` (None: rows only)."""
+    give_back()  # what the worker's last task held
     for batch in batches:
         if column is None:
             yield from (batch.slice(s, rows) for s in range(0, batch.num_rows, rows))
@@ -39,6 +44,13 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str | None = "text", rows:
             s = e
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python workers have ``ARROW_BYTES`` at most, but for a single long row; a smaller bound stays."""
+    have = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < have <= ARROW_BYTES:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_pairs, each_group
-from .common import WordHashes, Workspace, mix64, pieces
+from .common import WordHashes, Workspace, mix64, pieces, small_batches
 from .components import connected_components, spanning
 
 SHINGLE = 5
@@ -253,6 +253,7 @@ def dedup_documents(
     of which one text is compared. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ws = ws or Workspace(spark, "minhash-dedup")
     bands = bands_for(percent, per_band) if bands is None else bands
     plausible = plausible_for(percent, 2 * bands * per_band) if plausible is None else plausible

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clusters import BUCKETS, Kinds, learn_kinds
-from .common import Workspace, pieces
+from .common import Workspace, pieces, small_batches
 from .texts import word_hashes, words_of
 
 TOPICS = 8
@@ -287,6 +287,7 @@ def mix_documents(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
     weight 1 and probability 1. Repeated rows share a draw. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ws = ws or Workspace(spark, "mixing")
     m, pooled = fit_mixture(ws.save(measured(docs, ws, topics), "measured"), targets, temper, most, budget)
     weight = chance = F.lit(1.0)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, pieces
+from .common import Workspace, pieces, small_batches
 from .tokens import SLICE, encoder
 
 WINDOW = 2048
@@ -178,6 +178,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     empty table gives no rows. A length that a third of the rows share is ranked in salted parts.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ws = ws or Workspace(spark, "packing")
     extra = ", ids array<long>" if with_ids else ""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))

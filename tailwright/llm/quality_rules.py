@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 #: Phrases of boilerplate lines, in lower case.
@@ -171,6 +171,7 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), cleaned: bool = True,
     Null and empty texts have zero counts, fail at the base and clean to ''. Repeated rows get equal
     results; an empty table gives no rows. Texts are never cut; a task holds one batch of them.
     """
+    small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     kinds = {k: t for k, t in docs.dtypes if k in keep} | {"doc_id": "long"}
     column = "kept_text" if kinds.get("text") == "string" else "text"  # a text that goes along goes once

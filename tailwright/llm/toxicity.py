@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fold, give_back
+from .common import Workspace, fold, give_back, small_batches
 from .common import pieces as slices
 
 #: Labelled texts of a shard, by number and by bytes; and shards whose numbers are added up in one go.
@@ -235,6 +235,7 @@ def _shard_epochs(sent, weight: np.ndarray, rates: list[float], seed: int):
     """Each shard learns from the common state; what it sends are its numbers, weighted by its texts or by how often they moved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             for r in range(b.num_rows):
                 shard = b.column("shard")[r].as_py()
@@ -327,6 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 6,
     labels the largest counts, of one with several texts the least. Texts stay on the executors: they are dealt to shards of
     some ``shard_rows`` by hashes of their ids, and encoded once.
     """
+    small_batches(docs.sparkSession)
     ws = ws or Workspace(docs.sparkSession, "toxicity")
     able = labels.where(F.col(label).isin(0, 1)).where(fold() != 0).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     # ids and labels alone: as long as they are few, texts need no shuffle to meet them
@@ -386,6 +388,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None)
     columns to return unchanged, in place of doc_id alone. Null and empty texts are one window of padding and get a
     score; texts without words are never rejected. Repeated rows get equal scores.
     """
+    small_batches(docs.sparkSession)
     keep = keep or ["doc_id"]
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     kinds = {k: t for k, t in docs.dtypes if k in keep} | {"doc_id": "long"}
