@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -384,13 +385,19 @@ def dry_run_of_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files_written(spark: SparkSession, sf_dir: str) -> str:
-    """The document files as real files in the shared folder; returns their root."""
+    """The document files as real files in the shared folder; returns their root.
+
+    Every row is a file, those of one path too: a task has its own folder, and in it one for each time that a path occurs.
+    """
     root = work_folder(spark, "transcripts")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, met = TaskContext.get(), Counter()
         for batch in batches:
             for r in batch.to_pylist():
-                write_once(root + r["file_path"], r["content"], str(TaskContext.get().taskAttemptId()))
+                path = r["file_path"]
+                write_once(f"{root}/{task.partitionId()}/{met[path]}{path}", r["content"], str(task.taskAttemptId()))
+                met[path] += 1
             yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
 
     _doc_files(spark, sf_dir).select("file_path", "content").mapInArrow(write, "files long").agg(F.sum("files")).collect()

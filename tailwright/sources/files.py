@@ -78,10 +78,22 @@ def reachable(uri: str, settings: dict[str, str] | None = None) -> bool:
     return True
 
 
+def _before(root: str, path: str) -> str:
+    """What a path in the store lacks of its URI; nothing for local ones."""
+    return root[: len(root) - len(path)] if ":" in root.split("/")[0] and not root.startswith("file:") else ""
+
+
+def top_of(root: str, settings: dict[str, str] | None = None) -> tuple[list[str], list[tuple[str, int]]]:
+    """The folders that lie in a folder, and its files with their sizes; none if it is missing."""
+    store, path = place(root, settings)
+    before, top = _before(root, path), store.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return [before + x.path for x in top if x.type == fs.FileType.Directory], [(before + x.path, x.size) for x in top if x.is_file]
+
+
 def walk(root: str, ending: str, settings: dict[str, str] | None = None) -> Iterator[tuple[str, int]]:
     """Path and size of every file under a folder whose name ends so; none if the folder is missing. Folders are listed side by side."""
     store, path = place(root, settings)
-    before = root[: len(root) - len(path)] if ":" in root.split("/")[0] and not root.startswith("file:") else ""
+    before = _before(root, path)
     top = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
     with ThreadPoolExecutor(16) as pool:
         below = pool.map(lambda d: store.get_file_info(fs.FileSelector(d.path, recursive=True, allow_not_found=True)), [x for x in top if x.type == fs.FileType.Directory])

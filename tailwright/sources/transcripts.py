@@ -13,34 +13,77 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .files import reachable, read_range, store_settings
+from .files import reachable, read_range, store_settings, top_of, walk
 
+ENDING = ".jsonl"
+FILE = "file_path string, content binary, length long"
+_FILE = pa.schema([("file_path", pa.string()), ("content", pa.binary()), ("length", pa.int64())])
 CURSOR = "file_path string, bytes_uploaded long, lines_uploaded long, sha256_of_last_upload string, last_run_at string"
 
 
 def list_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """file_path and length of all files under ``root`` whose names end in .jsonl; no content is read."""
-    return read_transcripts(spark, root).drop("content")
+    """file_path and length of all files under ``root`` whose names end in .jsonl, but those without bytes, which have nothing to read; no content is read."""
+    return _with_bytes(spark, root).drop("content")
 
 
 def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
     """All files under ``root`` whose names end in .jsonl, as file_path, content, length; none if it is missing.
 
     Names that begin with a dot or an underscore are hidden from Spark. A file is one row, of 2 GB at most;
-    passes take ``list_transcripts``, of any size, and read byte ranges.
+    passes take ``list_transcripts``, of any size, and read byte ranges. A file that is gone since it was listed is left out; one
+    that is there and breaks off fails its task, which is tried again, and in the end the job.
     """
+    return _with_bytes(spark, root).unionByName(_without_bytes(spark, root))
+
+
+def _with_bytes(spark: SparkSession, root: str) -> DataFrame:
     try:
         files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-            .option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{ENDING}")
+            .option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "false").load(root)
         )
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "file_path string, content binary, length long")
+        return spark.createDataFrame([], FILE)
     return files.select(F.regexp_replace("path", "^file:(//)?", "").alias("file_path"), "content", "length")
 
 
+def _without_bytes(spark: SparkSession, root: str) -> DataFrame:
+    """The same of files without bytes, which Spark's readers leave out. Tasks list the folders of ``root``; those of stores that only Spark knows are listed by the driver."""
+    settings, root = store_settings(spark), root.rstrip("/")
+    if not reachable(root, settings):
+        store, at = _hadoop(spark, root)
+        found, more = [], [at] if store.exists(at) else []
+        while more:
+            for s in store.listStatus(more.pop()):
+                if _hidden(s.getPath().getName()):
+                    continue
+                if s.isDirectory():
+                    more.append(s.getPath())
+                elif s.getLen() == 0 and s.getPath().getName().endswith(ENDING):
+                    found.append((s.getPath().toString(), b"", 0))
+        return spark.createDataFrame(found, FILE)
+    folders, files = top_of(root, settings)
+    own = [(p, b"", 0) for p, n in files if n == 0 and p.endswith(ENDING) and not _hidden(p.rsplit("/", 1)[-1])]
+    folders = [(f,) for f in folders if not _hidden(f.rsplit("/", 1)[-1])]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                names = [p for p, n in walk(folder, ENDING, settings) if n == 0 and not any(map(_hidden, p[len(folder) :].split("/")))]
+                yield pa.RecordBatch.from_pydict({"file_path": names, "content": [b""] * len(names), "length": [0] * len(names)}, schema=_FILE)
+
+    tasks = max(1, min(len(folders), spark.sparkContext.defaultParallelism))
+    below = spark.createDataFrame(folders, "folder string").repartition(tasks).mapInArrow(listed, FILE)
+    return below.unionByName(spark.createDataFrame(own, FILE)) if own else below
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's readers pass over a file or folder of this name."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
 def valid_cursors(cursors: DataFrame) -> DataFrame:
     """Rows with every field; damaged ones are dropped, so that their files are read from the start."""
     return cursors.dropna(subset=[c.split()[0] for c in CURSOR.split(", ")])

@@ -43,3 +43,16 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rows_of_one_path_are_all_listed(spark, tmp_path):
+    """Repeated ids, in one task and in others, give as many files as rows, as in the SQL."""
+    rows = [(1, "a", "en", "s", 1), (1, "a", "en", "s", 1), (1, "bb", "en", "s", 2), (3, "", "en", "s", 0), (4, "", "en", "s", 0), (4, "é\n", "de", "s2", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = QUERIES["transcripts_listed"](spark, str(tmp_path)).select("file_path", "length", "sha256")
+    want = con.sql(ORACLES["transcripts_listed"]).select("file_path, length, sha256").fetchall()
+    assert len(want) == 12 and sorted(map(tuple, got.collect())) == sorted(want)

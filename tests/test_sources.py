@@ -223,3 +223,22 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert files.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism + 1
     got = {Path(r.file_path).name: bytes(r.content) for r in files.collect()}
     assert got == {f"f{i}.jsonl": b"%d\n" % i if i else b"again\n" for i in range(300)}
+
+
+def test_broken_files_are_not_left_out(spark, tmp_path):
+    """A file that breaks off is an error, not one row less."""
+    (tmp_path / "a.jsonl").write_bytes(b"1\n")
+    (tmp_path / ".a.jsonl.crc").write_bytes(b"crc\0\0\0\2\0wrong")
+    with pytest.raises(Exception, match="a.jsonl"):
+        read_transcripts(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("root", ["{}", "file://{}/", "file:{}", "viewfs://empties{}"])
+def test_files_without_bytes_are_read(spark, tmp_path, root):
+    """Spark's readers leave files of no bytes out; hidden ones stay so."""
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.empties.link.{tmp_path}", f"file://{tmp_path}")
+    for name in ("x.jsonl", "a/b/e.jsonl", "a/b/f.jsonl", "a/e.txt", "a/_e.jsonl", ".b/e.jsonl", "c/_d/e.jsonl", "c/d=1/e.jsonl", "_k=1/e.jsonl"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1\n" if name.endswith("f.jsonl") else b"")
+    got = sorted((r.file_path.rpartition(f"{tmp_path}/")[2], bytes(r.content), r.length) for r in read_transcripts(spark, root.format(tmp_path)).collect())
+    assert got == [("_k=1/e.jsonl", b"", 0), ("a/b/e.jsonl", b"", 0), ("a/b/f.jsonl", b"1\n", 2), ("c/d=1/e.jsonl", b"", 0), ("x.jsonl", b"", 0)]
