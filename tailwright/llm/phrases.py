@@ -1,6 +1,7 @@
 """Phrases of words that stand together more often than apart, counted by dynamic itemset counting.
 
-The texts are dealt into shards, which are scanned in turn, round after round. Words are counted from the first scan on. As soon as both
+The texts are cut into words once, and written as packed lists: the words of some texts, each once, and which of them stands where. The lists are
+dealt into shards, which are scanned in turn, round after round. Words are counted from the first scan on. As soon as both
 parts of a longer phrase (all words but the last, all but the first) have reached the threshold, the phrase is counted from the next scan on, whatever its length, and
 until each shard was scanned once. Counts are packed arrays of hashed phrases, dealt by hash, so no phrase, however common, is more than one
 number of a task; which phrases are in use is a table of fixed size. At the end frequent phrases get their words back; those that share a hash are
@@ -15,10 +16,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix64, parts_of, pieces
+from .common import Workspace, give_back, mix64, parts_of, pieces
 from .texts import PIECE_ENDS, PIECE_GAPS, PRIME, placed_words, word_hashes
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
@@ -31,7 +33,10 @@ FILTER_BITS = 26
 HELD = 2 << 20
 #: Bytes of input, by the planner's estimate, that one task scans: the more, the fewer times a common phrase is sent.
 TASK_BYTES = 32 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+PIECE_ROWS = 4000
+#: Slots of what a task of the last scan has named; what finds no slot is named again.
+SEEN_BITS = 22
 #: A key: the hash, two bits of its length, five bits of the scan that its count began with.
 LENGTH_AT, START = 5, np.uint64(31)
 #: Partial lists of the best phrases of a language, from many to few.
@@ -39,6 +44,9 @@ SALTS = (64, 4)
 OFF = 255
 
 PACKED = "bucket int, keys binary, counts binary"
+#: Texts as packed lists: languages and numbers of words of each text, the words that occur and their sizes, which of them stands at each place, and whether it goes on the piece of the one before.
+LISTS = "langs array<string>, texts binary, words binary, sizes binary, places binary, follows binary"
+_LISTS = [c.split()[0] for c in LISTS.split(", ")]
 STATE = f"{PACKED}, done_keys binary, done_counts binary, reached binary"
 
 
@@ -54,7 +62,7 @@ def _opened(sent) -> np.ndarray:
 def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Texts of a few MB with their languages; a longer text is cut where a piece ends."""
     ends = PIECE_ENDS
-    for b in pieces(batches, "text", size=PIECE_BYTES):
+    for b in pieces(batches, "text", PIECE_ROWS, PIECE_BYTES):
         lang, text = b.column("lang"), b.column("text").cast(pa.large_binary()).fill_null(b"")
         if b.num_rows > 1 or (n := len(text[0].as_py())) <= 2 * PIECE_BYTES:
             yield lang, text
@@ -69,22 +77,45 @@ def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array,
             at = to
 
 
-def _hashed(text: pa.Array, lang: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, where texts begin, whether a word goes on the piece of the one before, and a hash of language and word."""
-    words, starts, places, data = placed_words(text, PIECE_GAPS)
-    known = words.dictionary_encode()
-    own = word_hashes(known.dictionary)[known.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
-    tongue = word_hashes(pc.binary_join_element_wise(pa.scalar(b"l"), lang.cast(pa.binary()), pa.scalar(b"")))
-    hashes = mix64(own + np.repeat(tongue, np.diff(starts)) * PRIME)
-    passed = np.cumsum(PIECE_ENDS[data], dtype=np.int32)[places]
-    follows = np.zeros(len(words) + 1, bool)
-    follows[1:-1] = passed[1:] == passed[:-1]
-    follows[starts] = False
-    return words, starts, follows, hashes
+def _packing(shards: int):
+    """Texts as ``LISTS``, dealt to shards in turn."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() if TaskContext.get() else 0
+        for lang, text in _text_slices(batches):
+            words, starts, begins, data = placed_words(text, PIECE_GAPS)
+            known = words.dictionary_encode()
+            places, offsets = known.indices.to_numpy(zero_copy_only=False), np.frombuffer(known.dictionary.buffers()[1], np.int32)[: len(known.dictionary) + 1]
+            passed = np.cumsum(PIECE_ENDS[data], dtype=np.int32)[begins]
+            follows = np.zeros(len(words) + 1, bool)
+            follows[1:-1] = passed[1:] == passed[:-1]
+            follows[starts] = False
+            packs = [np.diff(starts).astype(np.int32), np.frombuffer(known.dictionary.buffers()[2] or b"", np.uint8)[: offsets[-1]], np.diff(offsets), places.astype(np.uint16 if len(offsets) <= 1 << 16 else np.int32), np.packbits(follows)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang.to_pylist()], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in packs), pa.array([shard % shards], pa.int32())], names=[*_LISTS, "shard"])
+            shard += 1
+
+    return run
 
-def _grams(hashes: np.ndarray, follows: np.ndarray, mask: np.uint64, since: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """length, places, hashes and first scan of all phrases whose parts are in use; ``since`` has the scan from which a phrase is (OFF: not yet)."""
+
+def _unpacked_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each list: languages and numbers of words of its texts, the words that occur, which of them stands where, whether it goes on the piece of the one before, and hashes of language and word."""
+    give_back()
+    for b in batches:
+        for row in range(b.num_rows):
+            langs = b.column("langs")[row].as_py()
+            sizes, data, widths, places, follows = (b.column(c)[row].as_buffer() for c in _LISTS[1:])
+            sizes, widths = np.frombuffer(sizes, np.int32), np.frombuffer(widths, np.int32)
+            n = int(sizes.sum())
+            places = np.frombuffer(places, np.uint16 if len(widths) < 1 << 16 else np.int32)
+            follows = np.unpackbits(np.frombuffer(follows, np.uint8), count=n + 1).view(bool)
+            words = pa.Array.from_buffers(pa.binary(), len(widths), [None, pa.py_buffer(np.append(0, np.cumsum(widths)).astype(np.int32)), data])
+            tongue = word_hashes(pc.binary_join_element_wise(pa.scalar(b"l"), pa.array(langs, pa.string()).cast(pa.binary()), pa.scalar(b"")))
+            hashes = mix64(word_hashes(words)[places] + np.repeat(tongue * PRIME, sizes))
+            yield langs, sizes, words, places, follows, hashes
+
+
+def _grams(hashes: np.ndarray, follows: np.ndarray, mask: np.uint64, since: Callable[[np.ndarray], np.ndarray], least: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """length, places, hashes and first scan of all phrases whose parts are in use; ``since`` has the scan from which a phrase is (OFF: not yet). Of the longest ones, whose extensions nobody asks for, those since scan ``least`` or later."""
     n = len(hashes)
     place, value, first = np.arange(n), hashes, np.zeros(n, np.uint8)
     yield 1, place, value, first
@@ -94,6 +125,8 @@ def _grams(hashes: np.ndarray, follows: np.ndarray, mask: np.uint64, since: Call
         on = (used[place] != OFF) & (used[place + 1] != OFF)
         if length == 2:
             on &= follows[place + 1]
+        if length == LONGEST and least:
+            on &= np.maximum(used[place], used[place + 1]) >= least
         place, value = place[on], value[on]
         value = mix64(value * PRIME + hashes[place + length - 1] + np.uint64(length)) & mask
         first = np.maximum(used[place], used[place + 1])
@@ -109,7 +142,7 @@ def _slot(value: np.ndarray) -> np.ndarray:
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys)
+    order = np.argsort(keys, kind="stable")  # quicker where sorted lists follow each other
     keys, counts = keys[order], counts[order]
     heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
@@ -137,9 +170,8 @@ def _counting(scan: int, shards: int, table, bucket_bits: int, mask: np.uint64):
             return use[_slot(value)]
 
         held, sums, size, distinct = [], [], 0, 0
-        for lang, text in _text_slices(batches):
-            _, _, follows, hashes = _hashed(text, lang)
-            for length, _, value, first in _grams(hashes & mask, follows, mask, since):
+        for _, _, _, _, follows, hashes in _unpacked_lists(batches):
+            for length, _, value, first in _grams(hashes & mask, follows, mask, since, max(0, scan - shards + 1)):
                 now = first.astype(np.int16) + shards > scan
                 keys = _key(value[now], length) | first[now].astype(np.uint64)
                 held.append(keys)
@@ -187,17 +219,16 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": (np.frombuffer(k, np.uint64) >> np.uint64(LENGTH_AT)).astype(np.int64), "f": np.frombuffer(c, np.int64)})
 
 
-def _probes(key: np.ndarray) -> list[np.ndarray]:
-    """Three places of a key in the filter of frequent phrases."""
-    x = mix64(key)
-    return [((x >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64) for s in (0, 19, 38)]
+def _probe(key: np.ndarray, k: int) -> np.ndarray:
+    """The first, second or third place of a key in the filter of frequent phrases."""
+    return ((mix64(key) >> np.uint64(19 * k)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def _filtering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, bool)
     for b in batches:
-        for p in _probes(b.column("key").to_numpy().view(np.uint64)):
-            bits[p] = True
+        for k in range(3):
+            bits[_probe(b.column("key").to_numpy().view(np.uint64), k)] = True
     whole = np.packbits(bits, bitorder="little").reshape(256, -1)
     yield pa.RecordBatch.from_pydict({"block": np.arange(256, dtype=np.int32), "bits": [zlib.compress(x.tobytes(), 1) for x in whole]})
 
@@ -220,38 +251,46 @@ def _naming(table, bits, mask: np.uint64, once: bool):
             return use[_slot(value)]
 
         def frequent(key: np.ndarray) -> np.ndarray:
-            inside = np.ones(len(key), bool)
-            for p in _probes(key):
-                inside &= (filled[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
-            return inside
+            at = np.arange(len(key))
+            for k in range(3):
+                p = _probe(key[at], k)
+                at = at[(filled[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0]
+            return at
+
+        seen = np.zeros(1 << SEEN_BITS if once else 0, np.uint64)
+
+        def fresh(second: np.ndarray) -> np.ndarray:
+            """Where phrases stand that the task has not named, each once; they count as named from now on, as far as there are slots."""
+            at = np.flatnonzero(seen[slots(second, 0)] != second)
+            at = at[seen[slots(second[at], SEEN_BITS)] != second[at]]
+            new, first = np.unique(second[at], return_index=True)
+            full = seen[slots(new, 0)] != 0
+            seen[slots(new[~full], 0)] = new[~full]
+            seen[slots(new[full], SEEN_BITS)] = new[full]
+            return at[first]
+
+        def slots(second: np.ndarray, shift: int) -> np.ndarray:
+            return ((second >> np.uint64(shift)) & np.uint64(len(seen) - 1)).astype(np.int64)
 
-        seen = np.zeros(0, np.uint64)
         total: dict[str, int] = {}
-        for lang, text in _text_slices(batches):
-            words, starts, follows, hashes = _hashed(text, lang)
+        for langs, sizes, words, places, follows, hashes in _unpacked_lists(batches):
             other = mix64(hashes ^ PRIME)
-            tongues, sizes = lang.to_pylist(), np.diff(starts)
-            for k, x in enumerate(tongues):
-                total[x] = total.get(x, 0) + int(sizes[k])
-            found = []
+            for x, n in zip(langs, sizes.tolist(), strict=True):
+                total[x] = total.get(x, 0) + n
+            ends = np.cumsum(sizes)
             for length, place, value, _ in _grams(hashes & mask, follows, mask, since):
                 key = _key(value, length) >> np.uint64(LENGTH_AT)
                 on = frequent(key)
                 key, place = key[on], place[on]
                 if once:  # phrases that share a key are told apart by a second hash
-                    second = mix64(key + sum(other[place + k] * PRIME ** np.uint64(k + 1) for k in range(length)))
-                    second, first = np.unique(second, return_index=True)
-                    fresh = ~np.isin(second, seen, assume_unique=True)
-                    key, place = key[first[fresh]], place[first[fresh]]
-                    found.append(second[fresh])
+                    on = fresh(mix64(key + sum(other[place + k] * PRIME ** np.uint64(k + 1) for k in range(length))) | np.uint64(1))  # 0: a free slot
+                    key, place = key[on], place[on]
                 if not len(key):
                     continue
-                parts = [words.take(pa.array(place + k)) for k in range(length)]
+                parts = [words.take(pa.array(places[place + k])) for k in range(length)]
                 phrase = parts[0] if length == 1 else pc.binary_join_element_wise(*parts, b" ")
-                own = lang.take(pa.array(np.searchsorted(starts, place, side="right") - 1))
+                own = pa.array(langs, pa.string()).take(pa.array(np.searchsorted(ends, place, side="right")))
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), own, phrase.cast(pa.string()), pa.array(np.ones(len(key), np.int64))], names=["key", "lang", "phrase", "f"])
-            if once:
-                seen = np.union1d(seen, np.concatenate(found))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(total), pa.int64()), pa.array(list(total), pa.string()), pa.nulls(len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["key", "lang", "phrase", "f"])
 
     return run
@@ -264,17 +303,17 @@ def count_phrases(docs: DataFrame, ws: Workspace, least: int = LEAST, shards: in
     spark = docs.sparkSession
     mask = np.uint64(((1 << hash_bits) - 1) << (64 - hash_bits))
     bucket_bits = min(20, max(5, (parts_of(docs) - 1).bit_length()))
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(_packing(shards), f"{LISTS}, shard int")
     task = spark.sparkContext.defaultParallelism
     estimate = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     rows.write.partitionBy("shard").parquet(f"{ws.path}/shards")
-    texts = spark.read.schema("lang string, text string, shard int").parquet(f"{ws.path}/shards")
+    lists = spark.read.schema(f"{LISTS}, shard int").parquet(f"{ws.path}/shards")
     of_shard, of_all = (max(task, min(estimate // n // TASK_BYTES, 1_000_000)) for n in (shards, 1))
     table = np.full(1 << SLOT_BITS, OFF, np.uint8)
     state, scan, last = spark.createDataFrame([], STATE), 0, 0
     while scan < last + shards:
         sent = _sent(spark, table)
-        counted = texts.where(F.col("shard") == scan % shards).select("lang", "text").coalesce(of_shard).mapInArrow(_counting(scan, shards, sent, bucket_bits, mask), PACKED)
+        counted = lists.where(F.col("shard") == scan % shards).select(*_LISTS).coalesce(of_shard).mapInArrow(_counting(scan, shards, sent, bucket_bits, mask), PACKED)
         both = state.drop("reached").unionByName(counted, allowMissingColumns=True)
         state = ws.save(both.groupBy("bucket").applyInArrow(_merging(scan, shards, bucket_bits, least), STATE), f"scan{scan}")
         # a bit for each slot, however many phrases there are
@@ -295,14 +334,15 @@ def count_phrases(docs: DataFrame, ws: Workspace, least: int = LEAST, shards: in
     bits = _sent(spark, np.frombuffer(b"".join(r.bits for r in sorted(blocks, key=lambda r: r.block)), np.uint8))
     sent = _sent(spark, table)
     schema = "key long, lang string, phrase string, f long"
-    named = ws.save(texts.select("lang", "text").coalesce(of_all).mapInArrow(_naming(sent, bits, mask, True), schema), "named")
+    named = ws.save(lists.select(*_LISTS).coalesce(of_all).mapInArrow(_naming(sent, bits, mask, True), schema), "named")
     sizes = named.where("key is null").groupBy("lang").agg(F.sum("f").alias("n"))
-    name = named.where("key is not null").groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name"), F.max(F.struct("lang", "phrase")).alias("other"))
+    # dealt before they are grouped: a task has hardly a key twice
+    name = named.where("key is not null").repartition("key").groupBy("key").agg(F.min(F.struct("lang", "phrase")).alias("name"), F.max(F.struct("lang", "phrase")).alias("other"))
     met = ws.save(frequent.join(name, "key").withColumn("alone", F.col("name") == F.col("other")), "met")
     out = met.where("alone").select("name.lang", "name.phrase", "f")
     shared = met.where("not alone").select("key").distinct()
     if not shared.isEmpty():
-        again = texts.select("lang", "text").coalesce(of_all).mapInArrow(_naming(sent, bits, mask, False), schema).join(shared, "key", "left_semi")
+        again = lists.select(*_LISTS).coalesce(of_all).mapInArrow(_naming(sent, bits, mask, False), schema).join(shared, "key", "left_semi")
         out = out.unionByName(again.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
     return ws.save(out, "phrases"), sizes
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -96,3 +97,40 @@ def test_long_texts_are_cut_where_a_piece_ends(monkeypatch):
     got = list(phrases._text_slices(iter([batch])))
     assert len(got) > 10 and b"".join(t[0].as_py() for _, t in got[:-1]).decode() == text
     assert all(t[0].as_py()[-1:] in b",\n" for _, t in got[:-2])
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """Scans read packed lists, which say the same as the texts."""
+    docs = [(lang or "und", text) for lang, text in _docs(5, 80)]
+    ws = Workspace(spark, "t")
+    count_phrases(_df(spark, docs), ws, 8, 2)
+    lists = spark.read.parquet(f"{ws.path}/shards")
+    assert set(lists.columns) == {*phrases._LISTS, "shard"}
+    for lang, text in [zip(*docs, strict=True)]:
+        batch = pa.RecordBatch.from_pydict({"lang": list(lang), "text": list(text)})
+        packed = list(phrases._packing(2)(iter([batch.slice(0, 50), batch.slice(50)])))
+    assert [b.column("shard")[0].as_py() for b in packed] == [0, 1]
+    got, breaks = [], []
+    for langs, sizes, words, places, follows, _ in phrases._unpacked_lists(iter(packed)):
+        assert langs == list(lang[len(breaks) and 50 :])[: len(langs)] and sizes.sum() == len(places) == len(follows) - 1
+        assert len(set(words.to_pylist())) == len(words)
+        got += [w.decode() for w in words.take(pa.array(places)).to_pylist()]
+        breaks += [not x for x in follows[:-1]]
+    pieces = [w for _, text in docs for w in _pieces(text) if w]
+    assert got == [x for w in pieces for x in w] and breaks == [k == 0 for w in pieces for k in range(len(w))]
+
+
+def test_a_task_names_a_phrase_once():
+    """However many lists it is in; and those that find no slot, again."""
+    docs = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 30, "text": ["new york city", "new york"] * 30})
+    packed = list(phrases._packing(1)(iter([docs.slice(k, 4) for k in range(0, 60, 4)])))
+    table, bits = np.zeros(1 << phrases.SLOT_BITS, np.uint8), np.full(1 << phrases.FILTER_BITS - 3, 255, np.uint8)
+    sent = [type("Sent", (), {"value": phrases.zlib.compress(x.tobytes(), 1)}) for x in (table, bits)]
+    mask = np.uint64(2**64 - 128)
+    rows = [r for b in phrases._naming(*sent, mask, True)(iter(packed)) for r in b.to_pylist()]
+    want = {(lang, p) for lang in ("en", "de") for p in ("new", "york", "new york")} | {("en", p) for p in ("city", "york city", "new york city")}
+    named = [(r["lang"], r["phrase"]) for r in rows if r["key"] is not None]
+    assert len(named) == len(want) and set(named) == want
+    assert {(r["lang"], r["f"]) for r in rows if r["key"] is None} == {("en", 90), ("de", 60)}
+    every = [r for b in phrases._naming(*sent, mask, False)(iter(packed)) for r in b.to_pylist() if r["key"] is not None]
+    assert len(every) == 30 * (6 + 3)
