@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, give_back, mix64, parts_of, pieces
+from .common import Workspace, give_back, mix64, parts_of, pieces, small_batches
 from .texts import PIECE_ENDS, PIECE_GAPS, PRIME, placed_words, word_hashes
 
 LEAST, LONGEST, TOP, COVERED = 30, 4, 2000, 80
@@ -357,6 +357,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: i
     Null texts are empty, a null language is ``und``; repeated rows count as often as they occur; an empty table, or one without frequent phrases, gives no rows.
     Ties are in order of counts, then of the phrase's bytes.
     """
+    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "phrases")
     counts, sizes = count_phrases(docs, ws, least, shards, hash_bits)
     words = F.split("phrase", " ", -1)
